@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from panelmill.plans import q_panel  # noqa: F401
+from panelmill.plans import q_features, q_panel  # noqa: F401
 from panelmill.plans.registry import QUERIES  # noqa: F401
