@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from panelmill.plans import q_decision, q_features, q_panel  # noqa: F401
+from panelmill.plans import q_decision, q_features, q_ledger, q_models, q_panel, q_sampling  # noqa: F401
 from panelmill.plans.registry import QUERIES  # noqa: F401
