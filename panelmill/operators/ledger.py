@@ -54,20 +54,25 @@ def append_submissions(submissions: DataFrame, files: DataFrame, new: DataFrame,
     )
 
 
-def set_state(submissions: DataFrame, where: Column, state: str, notes: str | None = None) -> DataFrame:
+def set_state(submissions: DataFrame, where: Column, state: str, notes: str | None = None,
+              sent_at: Column | None = None) -> DataFrame:
+    """Change the state of the rows that match, and with it their notes and moment of sending.
+
+    All columns change at once, so `where` always speaks of the old row.
+    """
     if state not in STATES:
         raise ValueError(f"invalid state: {state}")
-    out = submissions.withColumn("estado", F.when(where, state).otherwise(F.col("estado")))
+    changes = {"estado": F.lit(state)}
     if notes is not None:
-        out = out.withColumn("notas", F.when(where, F.lit(notes)).otherwise(F.col("notas")))
-    return out
+        changes["notas"] = F.lit(notes)
+    if sent_at is not None:
+        changes["enviado_en"] = sent_at
+    return submissions.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
 def mark_sent(submissions: DataFrame, where: Column, at: Column) -> DataFrame:
     """State "enviado" and the moment of sending."""
-    return set_state(submissions, where, "enviado").withColumn(
-        "enviado_en", F.when(where, at).otherwise(F.col("enviado_en"))
-    )
+    return set_state(submissions, where, "enviado", sent_at=at)
 
 
 def record_results(submissions: DataFrame, results: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

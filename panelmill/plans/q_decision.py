@@ -421,10 +421,11 @@ _GUARD = {"sin_movimientos": "ctrx_quarter = 0", "saldo_en_rojo": "mcuentas_sald
     _RANKED + f""", t as (select r.*, f.marcador, f.on_ from ranked r, lateral (values {", ".join(
         f"('{n}', coalesce({c}, false))" for n, c in _GUARD.items())}) f(marcador, on_) where modelo = 1),
     g as (select marcador, sum(case when puesto <= 300 then 1 else 0 end)::bigint as cubiertos,
-      avg(case when puesto <= 300 then on_::int end) as p_elegidos, avg(case when puesto > 300 then on_::int end) as p_resto from t group by 1)
-    select marcador, cubiertos, p_elegidos, p_resto, round(p_elegidos / nullif(p_resto, 0), 9) as lift, cubiertos = 300 as cobertura_total,
-      coalesce(cubiertos = 300 and min(case when p_elegidos / nullif(p_resto, 0) is null then 0 else 1 end) over () = 1
-        and max(p_elegidos / nullif(p_resto, 0)) over () >= 2, false) as valida from g""",
+      avg(case when puesto <= 300 then on_::int end) as p_elegidos, avg(case when puesto > 300 then on_::int end) as p_resto from t group by 1),
+    p as (select least(300, count(*)) as pedidos from scores where modelo = 1)
+    select marcador, cubiertos, p_elegidos, p_resto, round(p_elegidos / nullif(p_resto, 0), 9) as lift, cubiertos = pedidos as cobertura_total,
+      coalesce(cubiertos = pedidos and min(case when p_elegidos / nullif(p_resto, 0) is null then 0 else 1 end) over () = 1
+        and max(p_elegidos / nullif(p_resto, 0)) over () >= 2, false) as valida from g cross join p""",
 )
 def selection_guard(spark, folder):
     table = scores(spark, folder).filter("modelo = 1")
