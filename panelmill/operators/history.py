@@ -40,7 +40,8 @@ def all_rows() -> WindowSpec:
 
 def lags(columns: Iterable[str], n: int = 1, cast: str | None = None) -> Features:
     """The value n present rows ago; a gap makes it older than n months."""
-    out = {f"{c}__lag{n}": F.lag(c, n).over(history()) for c in columns}
+    h = history()
+    out = {f"{c}__lag{n}": F.lag(c, n).over(h) for c in columns}
     return {k: v.cast(cast) for k, v in out.items()} if cast else out
 
 
@@ -61,15 +62,20 @@ def calendar_lags(columns: Iterable[str], n: int = 1) -> Features:
 
 
 def deltas(columns: Iterable[str], n: int = 1, cast: str | None = None) -> Features:
-    out = {f"{c}__delta{n}": F.col(c) - F.lag(c, n).over(history()) for c in columns}
+    h = history()
+    out = {f"{c}__delta{n}": F.col(c) - F.lag(c, n).over(h) for c in columns}
     return {k: v.cast(cast) for k, v in out.items()} if cast else out
 
 
-def lag_block(columns: Sequence[str], cast: str | None = "float") -> Features:
+def lag_block(columns: Sequence[str], cast: str = "float") -> Features:
     """lag1, delta1, lag2, delta2 of every column, narrowed to 4-byte floats."""
-    out: Features = {}
+    h, out = history(), {}
     for c in columns:
-        out |= lags([c], 1, cast) | deltas([c], 1, cast) | lags([c], 2, cast) | deltas([c], 2, cast)
+        now = F.col(c)
+        for n in (1, 2):
+            before = F.lag(now, n).over(h)
+            out[f"{c}__lag{n}"] = before.cast(cast)
+            out[f"{c}__delta{n}"] = (now - before).cast(cast)
     return out
 
 
@@ -94,9 +100,9 @@ def running_count(condition: Column) -> Column:
 
 
 def transitions(columns: Iterable[str]) -> Features:
-    out: Features = {}
+    h, out = history(), {}
     for c in columns:
-        now, before = zero(c), F.lag(c, 1).over(history())
+        now, before = zero(c), F.lag(c, 1).over(h)
         out[f"{c}__a_cero"] = ((now == 0) & (before > 0)).cast("byte")
         out[f"{c}__a_negativo"] = ((now < 0) & (before >= 0)).cast("byte")
         out[f"{c}__desde_cero"] = ((now > 0) & (before == 0)).cast("byte")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
@@ -23,6 +23,13 @@ from panelmill.operators.ordered import (
 )
 from panelmill.session import broadcast_if_small
 
+E, P = K.ENTITY, K.PERIOD
+
+#: The rank functions that a plain window has.
+WINDOW_FUNCTIONS = {
+    "percent_rank": F.percent_rank, "cume_dist": F.cume_dist, "rank": F.rank, "dense_rank": F.dense_rank,
+}
+
 
 def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     """(entity, period, feature, v...) -> one row per (entity, period).
@@ -30,14 +37,14 @@ def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str])
     Hashed on the entity alone, so that windows over the entity need no further shuffle.
     """
     wide = (
-        long.repartition(F.col(K.ENTITY))
-        .groupBy(K.ENTITY, K.PERIOD)
+        long.repartition(F.col(E))
+        .groupBy(E, P)
         .pivot("feature", list(features))
         .agg(*[F.max(v).alias(v) for v in values])
     )
     single = len(values) == 1
     return wide.select(
-        K.ENTITY, K.PERIOD,
+        E, P,
         *[
             F.col(f if single else f"{f}_{v}").alias(name.format(f))
             for f in features
@@ -46,33 +53,54 @@ def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str])
     )
 
 
+#: Periods of at most this many rows are ranked by plain windows, one task each.
+WINDOW_ROWS = 1_000_000
+
+
+def largest_period(panel: DataFrame) -> int:
+    rows = panel.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return rows[0] or 0
+
+
 def period_ranks(
     panel: DataFrame,
     columns: Sequence[str],
     functions: Sequence[str] = ("percent_rank",),
     nulls: str = "last",
     replace: bool = False,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Rank of each column within its period, as `<column>__<function>`.
 
     `nulls`: "last" ranks NULLs together after all values; "keep" leaves them NULL, though
     they still count in the number of rows. With `replace`, the rank takes the column's place.
+
+    Periods are counted first. Small ones are ranked by a window per column; beyond
+    `window_rows` the ranks come from value counts, spread over periods, columns and values.
     """
-    long = unpivot(panel, [K.ENTITY, K.PERIOD], columns)
-    positions = value_positions(long, [K.PERIOD, "feature"])
-    ranks = positions.select(
-        F.col(K.PERIOD).alias("_p"), F.col("feature").alias("_f"), F.col("value").alias("_v"),
+    name = "{}" if replace else "{}__{}"
+    if largest_period(panel) <= window_rows:
+        ranks = {}
+        for c in columns:
+            ordered = Window.partitionBy(P).orderBy(F.col(c).cast("double").asc_nulls_last())
+            for f in functions:
+                rank = WINDOW_FUNCTIONS[f]().over(ordered)
+                ranks[name.format(c, f)] = F.when(F.col(c).isNotNull(), rank) if nulls == "keep" else rank
+        return panel.withColumns(ranks)
+    long = unpivot(panel, [E, P], columns)
+    positions = value_positions(long, [P, "feature"])
+    table = positions.select(
+        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("value").alias("_v"),
         *[RANK_FUNCTIONS[f]().alias(f"_rank_{f}") for f in functions],
     )
-    same_group = (F.col(K.PERIOD) == F.col("_p")) & (F.col("feature") == F.col("_f"))
+    same_group = (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
     if nulls == "keep":
-        ranked = long.join(ranks, same_group & (F.col("value") == F.col("_v")), "left")
+        ranked = long.join(table, same_group & (F.col("value") == F.col("_v")), "left")
     else:
-        ranked = long.join(ranks, same_group & F.col("value").eqNullSafe(F.col("_v")))
-    names = {f"_rank_{f}": "{}" if replace else "{}__" + f for f in functions}
-    wide = _widen(ranked, columns, names)
+        ranked = long.join(table, same_group & F.col("value").eqNullSafe(F.col("_v")))
+    wide = _widen(ranked, columns, {f"_rank_{f}": "{}" if replace else "{}__" + f for f in functions})
     kept = panel.drop(*columns) if replace else panel
-    return kept.join(wide, [K.ENTITY, K.PERIOD])
+    return kept.join(wide, [E, P])
 
 
 def zero_fixed_ranks(panel: DataFrame, columns: Sequence[str], suffix: str = "rank_cero_fijo") -> DataFrame:
@@ -80,28 +108,28 @@ def zero_fixed_ranks(panel: DataFrame, columns: Sequence[str], suffix: str = "ra
 
     The rank is the value's cumulative share on its own side of zero, so it lies in [-1, 1].
     """
-    long = unpivot(panel, [K.ENTITY, K.PERIOD], columns, keep_nulls=False).withColumn(
+    long = unpivot(panel, [E, P], columns, keep_nulls=False).withColumn(
         "signo", F.signum("value").cast("int")
     )
     size = F.abs("value")
-    sides = long.filter("signo <> 0").select(K.PERIOD, "feature", "signo", size.alias("tamano"))
-    ranks = value_positions(sides, [K.PERIOD, "feature", "signo"], "tamano").select(
-        F.col(K.PERIOD).alias("_p"), F.col("feature").alias("_f"), F.col("signo").alias("_s"),
+    sides = long.filter("signo <> 0").select(P, "feature", "signo", size.alias("tamano"))
+    ranks = value_positions(sides, [P, "feature", "signo"], "tamano").select(
+        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("signo").alias("_s"),
         F.col("tamano").alias("_t"), RANK_FUNCTIONS["cume_dist"]().alias("_r"),
     )
     ranked = long.join(
         ranks,
-        (F.col(K.PERIOD) == F.col("_p")) & (F.col("feature") == F.col("_f"))
+        (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
         & (F.col("signo") == F.col("_s")) & (size == F.col("_t")),
         "left",
     ).withColumn("_r", F.coalesce(F.col("_r"), F.lit(0.0)) * F.col("signo"))
-    return panel.join(_widen(ranked, columns, {"_r": "{}__" + suffix}), [K.ENTITY, K.PERIOD], "left")
+    return panel.join(_widen(ranked, columns, {"_r": "{}__" + suffix}), [E, P], "left")
 
 
 def period_ntiles(panel: DataFrame, column: str, tiles: Sequence[int] = (4, 10)) -> DataFrame:
     """ntile within the period, ties broken by entity: one distributed numbering for all k."""
     numbered = row_numbers(
-        panel, [K.PERIOD], [F.col(column).asc_nulls_last(), F.col(K.ENTITY).asc()], "_rn", "_n"
+        panel, [P], [F.col(column).asc_nulls_last(), F.col(E).asc()], "_rn", "_n"
     )
     return numbered.withColumns(
         {f"{column}__ntile_{k}": ntile_of(k, F.col("_rn"), F.col("_n")) for k in tiles}
@@ -110,20 +138,19 @@ def period_ntiles(panel: DataFrame, column: str, tiles: Sequence[int] = (4, 10))
 
 def expression_rank(panel: DataFrame, name: str, value, nulls: str = "last") -> DataFrame:
     """percent_rank within the period of a computed value."""
-    ranked = period_ranks(panel.withColumn(name, value), [name], nulls=nulls, replace=True)
-    return ranked
+    return period_ranks(panel.withColumn(name, value), [name], nulls=nulls, replace=True)
 
 
 def period_medians(panel: DataFrame, columns: Sequence[str], positive: bool = True) -> DataFrame:
     """(period, feature, mediana): exact median of positive values, or of |x| where x <> 0."""
-    long = unpivot(panel, [K.PERIOD], columns, keep_nulls=False)
+    long = unpivot(panel, [P], columns, keep_nulls=False)
     long = long.filter("value > 0") if positive else long.filter("value <> 0").withColumn("value", F.abs("value"))
-    return group_quantiles(long, [K.PERIOD, "feature"], "value", {"mediana": 0.5})
+    return group_quantiles(long, [P, "feature"], "value", {"mediana": 0.5})
 
 
 def wide_medians(panel: DataFrame, columns: Sequence[str], positive: bool = True, name: str = "{}") -> DataFrame:
     """One row per period with a median per column; periods without any value have no row."""
-    return period_medians(panel, columns, positive).groupBy(K.PERIOD).agg(
+    return period_medians(panel, columns, positive).groupBy(P).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("mediana"))).alias(name.format(c)) for c in columns]
     )
 
@@ -131,7 +158,7 @@ def wide_medians(panel: DataFrame, columns: Sequence[str], positive: bool = True
 def with_medians(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Attach the period's medians as `<column>__d` by a join on the period."""
     medians = broadcast_if_small(wide_medians(panel, columns, name="{}__d"))
-    return panel.join(medians, K.PERIOD, "left")
+    return panel.join(medians, P, "left")
 
 
 def deflate(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,8 +172,8 @@ def deflate(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
 def price_index(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(period, feature, mediana, indice): median of |x| where x <> 0, first period = 100."""
     medians = broadcast_if_small(period_medians(panel, columns, positive=False))
-    first = medians.groupBy(F.col("feature").alias("_f")).agg(F.min_by("mediana", K.PERIOD).alias("_base"))
+    first = medians.groupBy(F.col("feature").alias("_f")).agg(F.min_by("mediana", P).alias("_base"))
     return medians.join(first, F.col("feature") == F.col("_f")).select(
-        K.PERIOD, "feature", "mediana",
+        P, "feature", "mediana",
         (F.try_divide(F.col("mediana"), F.col("_base")) * 100).alias("indice"),
     )
