@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,8 +63,19 @@ def zero_where_injected(column: str, companion: str, periods: Sequence[int] | No
     return F.when(injected, 0).otherwise(F.col(column))
 
 
+def _without(panel: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The panel without the columns and without what was derived from them."""
+    stale = {f"{c}{s}" for c in names for s in ("", "__lag1", "__delta1", "__lag2", "__delta2")}
+    return panel.drop(*[c for c in panel.columns if c in stale])
+
+
+def repaired_in_place(panel: DataFrame, repairs: Mapping[str, Column]) -> DataFrame:
+    """Swap columns for repaired ones computed from the same rows: no join."""
+    fresh = panel.withColumns({f"_r_{c}": e for c, e in repairs.items()})
+    return _without(fresh, repairs).withColumnsRenamed({f"_r_{c}": c for c in repairs})
+
+
 def replace_columns(panel: DataFrame, repaired: DataFrame) -> DataFrame:
-    """Swap columns of the panel for the same-named ones of `repaired`, by key."""
+    """Swap columns of a stored panel for the same-named ones of another table, by key."""
     names = [c for c in repaired.columns if c not in (K.ENTITY, K.PERIOD)]
-    stale = {f"{c}{s}" for c in names for s in ("", "__lag1", "__delta1", "__lag2", "__delta2")}
-    return panel.drop(*[c for c in panel.columns if c in stale]).join(repaired, [K.ENTITY, K.PERIOD])
+    return _without(panel, names).join(repaired, [K.ENTITY, K.PERIOD])

@@ -254,29 +254,25 @@ def repaired_transitions(panel: DataFrame) -> DataFrame:
 
 def deflated_fees(panel: DataFrame, columns: Sequence[str] = FEES) -> DataFrame:
     """Fees over the month's median fee in place of the raw fees, and their history."""
-    base = R.with_medians(panel.select(K.ENTITY, K.PERIOD, *columns), columns)
-    repaired = base.select(K.ENTITY, K.PERIOD, *[ratio(c, f"{c}__d").alias(c) for c in columns])
-    return H.add(Q.replace_columns(panel, repaired), H.lag_block(columns))
+    joined = R.with_medians(panel, columns)
+    repaired = Q.repaired_in_place(joined, {c: ratio(c, f"{c}__d") for c in columns})
+    return H.add(repaired.drop(*[f"{c}__d" for c in columns]), H.lag_block(columns))
 
 
 def without_bonus(panel: DataFrame, columns: Sequence[str] = BONUS_FIELDS) -> DataFrame:
     """The half-yearly bonus taken out of June where there is evidence of it, and history."""
     evidence = Q.bonus_month(BONUS_PERIOD, "mpayroll", "cpayroll_trx")
-    repaired = panel.select(
-        K.ENTITY, K.PERIOD, *[Q.without_bonus(c, evidence, c.startswith("c")).alias(c) for c in columns]
-    )
-    return H.add(Q.replace_columns(panel, repaired), H.lag_block(columns))
+    repairs = {c: Q.without_bonus(c, evidence, c.startswith("c")) for c in columns}
+    return H.add(Q.repaired_in_place(panel, repairs), H.lag_block(columns))
 
 
 def calendar_repaired(panel: DataFrame) -> DataFrame:
     """VIP flag carried over its bad month, injected delinquency zeroed, and their history."""
-    columns = ["cliente_vip", "Visa_delinquency"]
-    repaired = panel.select(
-        K.ENTITY, K.PERIOD,
-        Q.carried("cliente_vip", BONUS_PERIOD).alias("cliente_vip"),
-        Q.zero_where_injected("Visa_delinquency", "Visa_Finiciomora", INJECTED_PERIODS).alias("Visa_delinquency"),
-    )
-    return H.add(Q.replace_columns(panel, repaired), H.lag_block(columns))
+    repairs = {
+        "cliente_vip": Q.carried("cliente_vip", BONUS_PERIOD),
+        "Visa_delinquency": Q.zero_where_injected("Visa_delinquency", "Visa_Finiciomora", INJECTED_PERIODS),
+    }
+    return H.add(Q.repaired_in_place(panel, repairs), H.lag_block(list(repairs)))
 
 
 def _shares() -> dict[str, Column]:
