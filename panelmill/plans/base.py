@@ -30,22 +30,14 @@ def based(spark: SparkSession, folder: str, columns: Iterable[str] | None = None
     return build_base(bank_panel(spark, folder, None if columns is None else list(columns)))
 
 
-#: Label by leads over the full grid, as CTEs after a `panel` CTE.
+#: Label by looking up the customer at the next two period positions, as CTEs after a `panel` CTE.
 LABEL_CTES = f""",
-periods as (select distinct {P} from panel),
-entities as (select distinct {E} from panel),
-presence as (
-  select g.{E}, g.{P}, case when c.{E} is null then 0 else 1 end as here
-  from (select * from entities cross join periods) g left join panel c on c.{E} = g.{E} and c.{P} = g.{P}
-),
-ahead as (
-  select *, lead(here, 1) over h as next_1, lead(here, 2) over h as next_2 from presence
-  window h as (partition by {E} order by {P})
-),
+positions as (select {P}, row_number() over (order by {P}) as pos, count(*) over () as fin from (select distinct {P} from panel)),
+placed as (select {E}, pos, fin, {P} from panel join positions using ({P})),
 tagged as (
-  select {E}, {P}, case when next_1 = 1 and next_2 = 0 then 'BAJA+2' when next_1 = 0 then 'BAJA+1'
-    when next_1 = 1 and next_2 = 1 then 'CONTINUA' end as {L}
-  from ahead where here = 1
+  select a.{E}, a.{P}, case when a.pos = a.fin then null when b.pos is null then 'BAJA+1' when a.pos + 1 = a.fin then null
+    when c.pos is null then 'BAJA+2' else 'CONTINUA' end as {L}
+  from placed a left join placed b on b.{E} = a.{E} and b.pos = a.pos + 1 left join placed c on c.{E} = a.{E} and c.pos = a.pos + 2
 ),
 labelled as (select panel.*, tagged.{L} from panel join tagged using ({E}, {P}))"""
 
