@@ -12,6 +12,7 @@ HAS_LEFT = "es_baja"
 EXIT_PERIOD = "mes_baja"
 PERIODS_LEFT = "k"
 
+# The three labels.
 STAYS = "CONTINUA"
 LEAVES_NEXT = "BAJA+1"
 LEAVES_IN_TWO = "BAJA+2"
@@ -21,6 +22,7 @@ LOOK_AHEAD = (LAST_PERIOD, EXIT_PERIOD, HAS_LEFT, PERIODS_LEFT, N_PERIODS)
 #: Keys, labels and weights, and the two columns broken in the target month.
 NOT_PREDICTORS = (ENTITY, PERIOD, LABEL, "clase_binaria", "peso", "Visa_Finiciomora", "Master_Finiciomora")
 
+# Gain of a hit, cost of a miss, bounds of a selection, seeds.
 GAIN_HIT = 1_072_500
 COST_MISS = 27_500
 BREAK_EVEN = COST_MISS / (GAIN_HIT + COST_MISS)

@@ -76,7 +76,7 @@ SUBMIT = "id long, nombre string, estado string, es_final boolean, enviado_en ti
 
 @pytest.fixture
 def submits(spark):
-    return spark.createDataFrame([(1, "c100_9000", "enviado", False, None, None), (2, "c101_9000", "preparado", True, None, "x")], SUBMIT)
+    return spark.createDataFrame([(1, "exp_a_9000", "enviado", False, None, None), (2, "exp_b_9000", "preparado", True, None, "x")], SUBMIT)
 
 
 @pytest.fixture
@@ -92,12 +92,12 @@ def test_upsert_keeps_what_is_not_given(spark):
 
 
 def test_append_is_all_or_nothing(spark, submits, files):
-    new = spark.createDataFrame([(3, "c102_9000")], "id long, nombre string")
+    new = spark.createDataFrame([(3, "exp_c_9000")], "id long, nombre string")
     new_files = spark.createDataFrame([(3, "a", "r/d")], files.schema)
     s, f = G.append_submissions(submits, files, new, new_files)
     assert s.count() == 3 and f.count() == 4 and s.filter("id = 3").first().estado == "preparado"
     bad = [
-        (new.withColumn("nombre", F.lit("c100_9000")), new_files, "already recorded"),
+        (new.withColumn("nombre", F.lit("exp_a_9000")), new_files, "already recorded"),
         (new.withColumn("nombre", F.lit("con espacio")), new_files, "other characters"),
         (new, new_files.unionByName(new_files), "file given twice"),
         (new, new_files.withColumn("submit_id", F.lit(8)), "without submission"),
@@ -119,7 +119,7 @@ def test_states(submits):
 
 def test_results_are_one_per_submission(spark, submits):
     results = spark.createDataFrame([], "submit_id long, public_gain_mean double")
-    new = spark.createDataFrame([("c100_9000", 92.5)], "nombre string, public_gain_mean double")
+    new = spark.createDataFrame([("exp_a_9000", 92.5)], "nombre string, public_gain_mean double")
     s, r = G.record_results(submits, results, new)
     assert s.filter("id = 1").first().estado == "respondido" and r.first().public_gain_mean == 92.5
     with pytest.raises(ValueError, match="already recorded"):
@@ -141,7 +141,7 @@ def test_digest_ignores_order_and_sees_changes(spark, files):
 
 
 def test_cut_comes_from_the_name_or_the_fallback(spark):
-    df = spark.createDataFrame([("c201_lags_14000", 1), ("c201_ens", 9000), ("c123_100", 5), ("x_123456", 7)], "n string, f int")
+    df = spark.createDataFrame([("exp_lags_14000", 1), ("exp_ens", 9000), ("exp_100", 5), ("x_123456", 7)], "n string, f int")
     got = [r[0] for r in df.select(G.cut_from_name(F.col("n"), F.col("f"))).collect()]
     assert got == [14000, 9000, 5, 23456]
 
