@@ -214,10 +214,11 @@ def push_test(ranked: DataFrame, flag: Column, low: int, high: int, k: int, grou
         moved, group, [F.col("_pasa").desc(), F.col("_antes").asc()],
         {"puesto": F.lit(1).cast("long"), "ganancia": contribution(hit)}, totals=False,
     )
-    before = ranked.filter(F.col("puesto") == k).select(*group, F.col("ganancia").alias("antes"))
-    after = again.filter(F.col("puesto") == k).select(*group, F.col("ganancia").alias("despues"))
-    joined = before.join(after, list(group)) if group else before.join(after)
-    return joined.withColumn("cambio", F.col("despues") - F.col("antes"))
+    gains = lambda r, name: r.filter(F.col("puesto") == k).select(*group, F.col("ganancia").alias(name))
+    both = gains(ranked, "antes").unionByName(gains(again, "despues"), allowMissingColumns=True)
+    return both.groupBy(*group).agg(F.max("antes").alias("antes"), F.max("despues").alias("despues")).withColumn(
+        "cambio", F.col("despues") - F.col("antes")
+    )
 
 
 # --- ensembles --------------------------------------------------------------------------------
