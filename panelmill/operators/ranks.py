@@ -53,8 +53,10 @@ def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str])
     )
 
 
-#: Periods of at most this many rows are ranked by plain windows, one task each.
+#: Periods of at most this many rows are ranked by windows, a task per period (and column).
 WINDOW_ROWS = 1_000_000
+#: Up to this many columns are ranked by a window each; more share one window in long form.
+FEW_COLUMNS = 4
 
 
 def largest_period(panel: DataFrame) -> int:
@@ -62,6 +64,17 @@ def largest_period(panel: DataFrame) -> int:
     return rows[0] or 0
 
 
+def _ranked_by_value(long: DataFrame, functions: Sequence[str], nulls: str) -> DataFrame:
+    table = value_positions(long, [P, "feature"]).select(
+        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("value").alias("_v"),
+        *[RANK_FUNCTIONS[f]().alias(f"_rank_{f}") for f in functions],
+    )
+    same_group = (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
+    if nulls == "keep":
+        return long.join(table, same_group & (F.col("value") == F.col("_v")), "left")
+    return long.join(table, same_group & F.col("value").eqNullSafe(F.col("_v")))
+
+
 def period_ranks(
     panel: DataFrame,
     columns: Sequence[str],
@@ -75,11 +88,13 @@ def period_ranks(
     `nulls`: "last" ranks NULLs together after all values; "keep" leaves them NULL, though
     they still count in the number of rows. With `replace`, the rank takes the column's place.
 
-    Periods are counted first. Small ones are ranked by a window per column; beyond
-    `window_rows` the ranks come from value counts, spread over periods, columns and values.
+    Periods are counted first. Small ones are ranked by windows: one per column for a few
+    columns, else one sort of (period, column, value). Beyond `window_rows` the ranks come
+    from value counts, spread over periods, columns and values.
     """
     name = "{}" if replace else "{}__{}"
-    if largest_period(panel) <= window_rows:
+    small = largest_period(panel) <= window_rows
+    if small and len(columns) <= FEW_COLUMNS:
         ranks = {}
         for c in columns:
             ordered = Window.partitionBy(P).orderBy(F.col(c).cast("double").asc_nulls_last())
@@ -88,16 +103,12 @@ def period_ranks(
                 ranks[name.format(c, f)] = F.when(F.col(c).isNotNull(), rank) if nulls == "keep" else rank
         return panel.withColumns(ranks)
     long = unpivot(panel, [E, P], columns)
-    positions = value_positions(long, [P, "feature"])
-    table = positions.select(
-        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("value").alias("_v"),
-        *[RANK_FUNCTIONS[f]().alias(f"_rank_{f}") for f in functions],
-    )
-    same_group = (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
-    if nulls == "keep":
-        ranked = long.join(table, same_group & (F.col("value") == F.col("_v")), "left")
+    if small:
+        ordered = Window.partitionBy(P, "feature").orderBy(F.col("value").asc_nulls_last())
+        known = F.col("value").isNotNull() | F.lit(nulls == "last")
+        ranked = long.withColumns({f"_rank_{f}": F.when(known, WINDOW_FUNCTIONS[f]().over(ordered)) for f in functions})
     else:
-        ranked = long.join(table, same_group & F.col("value").eqNullSafe(F.col("_v")))
+        ranked = _ranked_by_value(long, functions, nulls)
     wide = _widen(ranked, columns, {f"_rank_{f}": "{}" if replace else "{}__" + f for f in functions})
     kept = panel.drop(*columns) if replace else panel
     return kept.join(wide, [E, P])
