@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with about `most` bytes of text, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(sizes):
         if size and size + n > most:
@@ -41,12 +42,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES)
         yield batch.slice(start)
 
 
-def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = BATCH_BYTES) -> Callable:
     """A function for mapInArrow that gives `work` pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=most):
                 out = work(piece)
                 if out.num_rows:
                     yield out

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelmill.llm import exact, sharding
+from panelmill.llm import bpe, exact, langid, sharding
 from panelmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,33 @@ def op1_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.placed(table(spark, folder, "documents"), tree, sharding.grown(tree, 8))
 
 
+#: The rank file and pattern of the tokenizer; the file lies beside the installed package.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded rows."""
+    tokens = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op2_merge_replay_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"))
+
+
+@query()
+def op4_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(langid.remainder("doc_id") == 0, F.lit(False)).alias("held_out")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score")
+
+
 @query(r"""
 with texts as (
   select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
