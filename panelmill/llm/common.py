@@ -7,6 +7,7 @@ extra input columns never clash with theirs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +30,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_row_each(docs: DataFrame, keys: dict[str, Column], stay: DataFrame, largest: Column | None = None) -> DataFrame:
+    """One row, with all its columns, for each key that `stay` has (as columns of the same names, null-safe).
+
+    Rows alike in the key are folded on the map side first (the one with the `largest` value stays), so even a row
+    repeated a million times is shuffled once per partition.
+    """
+    rows = packed(docs, **keys, largest=F.lit(0) if largest is None else largest)
+    first = rows.groupBy(*keys).agg(F.max_by("row", "largest").alias("row"))
+    wanted = stay.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return first.join(wanted, same, "left_semi").select("row.*")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with about `most` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

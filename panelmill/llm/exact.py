@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import WHITE, id_and_text, packed
+from panelmill.llm.common import WHITE, id_and_text, one_row_each
 from panelmill.session import checkpoint
 
 #: Runs that input partitions are dealt to, and runs merged at a time: 4096 = 16 * 16 * 16, three rounds.
@@ -81,10 +81,5 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shuffled once per partition; then one join by (id, digest) picks the rows that stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = packed(docs, doc_id=F.col(id_col).cast("long"), points=F.length(text), **_keys(text))
-    first = rows.groupBy("doc_id", *_KEY).agg(F.max_by("row", "points").alias("row"))
-    stay = decide(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in _KEY]
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in _KEY], F.col("doc_id").eqNullSafe(F.col("_id")))
-    return first.join(stay, same, "left_semi").select("row.*")
+    stay = decide(docs, id_col, text_col).filter("kept")
+    return one_row_each(docs, {"doc_id": F.col(id_col).cast("long"), **_keys(text)}, stay, F.length(text))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, exact, langid, sharding
+from panelmill.llm import bpe, exact, langid, pii, sharding, simhash
 from panelmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,25 @@ from texts window best as (partition by text_sha256 order by points desc, doc_id
 def op8_digest_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
     decided = exact.decide(table(spark, folder, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op9_deobfuscated_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+@query()
+def op10_vantage_tree_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
