@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, exact, langid, pii, sharding, simhash
+from panelmill.llm import bpe, exact, langid, pii, sharding, simhash, substrings
 from panelmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,14 @@ def op4_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score")
 
 
+@query()
+def op6_seed_extend_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    ranges = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
+    return substrings.without_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", ranges.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query(r"""
 with texts as (
   select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
@@ -79,10 +87,13 @@ def op9_deobfuscated_pii(spark: SparkSession, folder: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def of_kind(kind):
+        return F.filter(base, lambda s: s["kind"] == kind)
+
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
