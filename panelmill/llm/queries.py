@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, exact, langid, pii, sharding, simhash, substrings
+from panelmill.llm import bpe, decontaminate, exact, langid, licenses, lines, pii, sharding, simhash, substrings
 from panelmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,14 @@ def op2_merge_replay_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
+@query()
+def op3_licence_inheritance(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents have no paths: they lie in <source>/<thousands>/<hundreds>/<doc_id>."""
+    number = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), (F.floor(number / 100) % 10).cast("string"), number.cast("string"))
+    return licenses.inherited(licenses.stated(table(spark, folder, "documents"), path))
+
+
 @query()
 def op4_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -58,6 +66,17 @@ def op4_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score")
 
 
+@query()
+def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    removed = lines.removed_lines(table(spark, folder, "documents"))
+    return removed.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+@query()
+def op7_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op6_seed_extend_substrings(spark: SparkSession, folder: str) -> DataFrame:
     ranges = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))

@@ -71,13 +71,13 @@ def _apart(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).astype(np.int16)
 
 
-def _split(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
+def _split(points: np.ndarray, rng: np.random.Generator, link: int = LINK) -> tuple[np.uint64, int] | None:
     """The vantage point and radius that leave least to compare; None if no split makes both branches smaller."""
     best = None
     for vantage in points[rng.integers(0, len(points), TRIALS)]:
         counts = np.bincount(_apart(points, vantage), minlength=65 + LINK)
         near = np.cumsum(counts)
-        far = len(points) - np.r_[np.zeros(LINK, int), near[:-LINK]]  # beyond radius - LINK
+        far = len(points) - np.r_[np.zeros(link, int), near[:-link]]  # beyond radius - link
         cost = near.astype(float) ** 2 + far.astype(float) ** 2
         radius = int(cost[:65].argmin())
         if max(near[radius], far[radius]) < len(points) and (best is None or cost[radius] < best[0]):
@@ -133,9 +133,9 @@ class Tree:
         return out
 
 
-def _linked(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _linked(points: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the connected sets of a few points: (point, smallest point it reaches here)."""
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= LINK
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= link
     some = np.flatnonzero(near.sum(axis=1) > 1)
     if not len(some):
         return points[:0], points[:0]
@@ -151,7 +151,7 @@ def _linked(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[moved], points[label[moved]]
 
 
-def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(points: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
     """Links of distinct points by a vantage-point tree; where no split helps, blocks meet in pairs."""
     rng = np.random.default_rng(SEED)
     left, right, todo = [], [], [points]
@@ -160,14 +160,14 @@ def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(own) <= 1:
             continue
         if len(own) <= BLOCK:
-            pair = [_linked(own)]
-        elif found := _split(own, rng):
+            pair = [_linked(own, link)]
+        elif found := _split(own, rng, link):
             apart = _apart(own, found[0])
-            todo += [own[apart <= found[1]], own[apart > found[1] - LINK]]
+            todo += [own[apart <= found[1]], own[apart > found[1] - link]]
             continue
         else:
             blocks = [own[i : i + BLOCK // 2] for i in range(0, len(own), BLOCK // 2)]
-            pair = [_linked(np.concatenate([a, b])) for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
+            pair = [_linked(np.concatenate([a, b]), link) for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
         left += [a for a, _ in pair]
         right += [b for _, b in pair]
     if not left:
