@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import id_and_text, per_slice
 
 #: Text bytes of one block; its distinct pieces and their index live in one task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 _NONE = np.iinfo(np.int32).max
 #: White space before a space: only there may a piece of the pattern reach across the start of a space.
 _SPACES = regex.compile(r"\s ")
@@ -181,10 +182,13 @@ def encode_texts(texts: Sequence[str], ranks: Ranks, pattern: regex.Pattern) ->
         used.append(np.r_[np.int32(heads[first]), -1 - numbers])
     # chunks -> distinct pieces -> ids
     pieces = _numbered()
-    parts = [[pieces[p] for p in pattern.findall(c)] for c in (*heads, *(" " + c for c in known))]
+    of_chunks, counts = array("i"), array("i")
+    for chunk in chain(heads, (" " + c for c in known)):
+        own = pattern.findall(chunk)
+        counts.append(len(own))
+        of_chunks.extend(map(pieces.__getitem__, own))
     ids, offsets = replay([p.encode() for p in pieces], ranks)
-    inside = np.r_[0, np.cumsum([len(x) for x in parts])]
-    of_chunks = np.fromiter(chain.from_iterable(parts), np.int32, int(inside[-1]))
+    of_chunks, inside = np.array(of_chunks, np.int32), np.r_[0, np.cumsum(np.array(counts, np.int64))]
     flat = np.concatenate(used) if used else np.empty(0, np.int32)
     flat = np.where(flat < 0, len(heads) - 1 - flat, flat)
     piece = of_chunks[_ranges(inside[:-1][flat], np.diff(inside)[flat])]
