@@ -24,13 +24,18 @@ def period_ordinals(panel: DataFrame) -> DataFrame:
     )
 
 
-def churn_label(panel: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+def calendar(panel: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """The materialised calendar of a panel, or of `periods`, for labels and lifetimes: one row per period."""
+    return broadcast_if_small(period_ordinals(panel if periods is None else periods))
+
+
+def churn_label(panel: DataFrame, periods: DataFrame | None = None, ordinals: DataFrame | None = None) -> DataFrame:
     """Add the ternary label from presence in the next two observed periods.
 
     Equivalent to leads over the full entity x period grid, without building the grid: the
-    next row of an entity is compared by period position. `periods` may name the calendar.
+    next row of an entity is compared by period position. `periods` may name the calendar, `ordinals` give it.
     """
-    ordinals = broadcast_if_small(period_ordinals(panel if periods is None else periods))
+    ordinals = calendar(panel, periods) if ordinals is None else ordinals
     history = Window.partitionBy(K.ENTITY).orderBy(_ORD)
     o, last = F.col(_ORD), F.col(_LAST)
     one, two = F.lead(_ORD, 1).over(history), F.lead(_ORD, 2).over(history)
@@ -46,14 +51,14 @@ def churn_label(panel: DataFrame, periods: DataFrame | None = None) -> DataFrame
     return marked.withColumn(K.LABEL, label).drop(_ORD, _LAST, "_in_1", "_in_2")
 
 
-def lifetime(panel: DataFrame, step: int = 1) -> DataFrame:
+def lifetime(panel: DataFrame, step: int = 1, last: int | None = None) -> DataFrame:
     """Add last period, number of periods, left-or-not, exit period and periods left.
 
-    `step` is how many months one period lasts. The window has the partitioning of
-    `churn_label`, so the two together shuffle the panel once.
+    `step` is how many months one period lasts, `last` the panel's last period if known. The window has
+    the partitioning of `churn_label`, so the two together shuffle the panel once.
     """
     own = Window.partitionBy(K.ENTITY)
-    end = panel.select(F.max(K.PERIOD).alias("_end")).scalar()
+    end = panel.select(F.max(K.PERIOD).alias("_end")).scalar() if last is None else F.lit(last)
     with_last = panel.withColumns({
         K.LAST_PERIOD: F.max(K.PERIOD).over(own),
         K.N_PERIODS: F.count(F.lit(1)).over(own),
@@ -66,9 +71,14 @@ def lifetime(panel: DataFrame, step: int = 1) -> DataFrame:
     })
 
 
-def build_base(panel: DataFrame, step: int = 1) -> DataFrame:
-    """Raw panel -> panel with label and lifetime columns."""
-    return lifetime(churn_label(panel), step)
+def build_base(panel: DataFrame, step: int = 1, periods: DataFrame | None = None) -> DataFrame:
+    """Raw panel -> panel with label and lifetime columns.
+
+    The calendar is read once, from `periods` if given; beyond it the panel is scanned once.
+    """
+    ordinals = calendar(panel, periods)
+    last = ordinals.agg(F.max(K.PERIOD)).first()[0]
+    return lifetime(churn_label(panel, ordinals=ordinals), step, last)
 
 
 def presence_grid(panel: DataFrame) -> DataFrame:
@@ -106,8 +116,12 @@ def label_from_grid(panel: DataFrame) -> DataFrame:
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of one frame that the other lacks, marked by side; empty when they are equal."""
-    return (
-        left.exceptAll(right).withColumn("solo_en", F.lit("izquierda"))
-        .unionByName(right.exceptAll(left).withColumn("solo_en", F.lit("derecha")))
-    )
+    """Rows of one frame that the other lacks, as often as it lacks them, marked by side.
+
+    Empty when the two are equal. Both are read once: rows are counted with a sign per side.
+    """
+    columns = left.columns
+    signed = left.withColumn("_lado", F.lit(1)).unionByName(right.withColumn("_lado", F.lit(-1)))
+    excess = signed.groupBy(*columns).agg(F.sum("_lado").alias("_mas")).filter("_mas <> 0")
+    side = F.when(F.col("_mas") > 0, "izquierda").otherwise("derecha")
+    return excess.select(*columns, side.alias("solo_en"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_mas"))).alias("_vez")).drop("_vez")

@@ -134,11 +134,16 @@ def config_signature(config: Mapping[str, object]) -> str:
 
 
 def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Row count and an order-free digest of all columns: equal tables have equal digests.
+    """Row count and an order-free digest of all columns and their names.
 
-    The row hashes are added up, which combines map-side; no task sees the whole table.
+    A row's text gives each column's name and, unless it is NULL, the length and text of its value, so different
+    rows have different texts. The row hashes are added up, which combines map-side; no task sees the whole table.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)])
+    def told(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("null")), F.lit(";"))
+
+    text = F.concat(*[told(c) for c in sorted(df.columns)])
     digest = F.sha2(text, 256)
     part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
     return df.groupBy(*by).agg(

@@ -1,10 +1,14 @@
 """Ranks, running sums and quantiles of large groups, without one task per group.
 
-A window over a period, a model or a whole table sends that group to a single task.
-Here rows are range-partitioned on (group, order) instead, so a group spreads over as
-many blocks as its size asks for. Each block is summed, block offsets are accumulated on
-the tiny block table, and a window inside each block does the rest. The range-partitioned
-frame is checkpointed because both passes must see the same blocks.
+A window over a period, a model or a whole table sends that group to a single task. Here a group is cut into
+blocks at approximate quantiles of its order: the block of a row is a function of the row and its group's split
+points alone, so rows are shuffled once, by (group, block). Blocks are summed on the small block table and a
+window inside each block does the rest. A value that fills many quantiles has blocks of its own, cut again by
+the second sort key (or, for ranks, by a hash), and so do nulls: a value that a third of the rows share is
+spread like any other. Groups compare null-safe: rows whose group is NULL form a group.
+
+The input is checkpointed once, because split points, block table and windows all read it. Rows are then shuffled
+once, by the struct of their group and block: windows, block sums and the join of the two use that one key.
 """
 
 from __future__ import annotations
@@ -15,62 +19,102 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.session import checkpoint
+from panelmill.session import broadcast_if_small, checkpoint
 
-_BLOCK = "_block"
+_KEY, _ONE, _TWO = "_key", "_block_1", "_block_2"
+#: Doubles in one row of split points, by which a broadcast of the split points is sized.
+_DOUBLE = 8
+
+
+def same_group(group: Sequence[str], prefix: str = "_g_") -> Column:
+    """Null-safe equality of the group columns with their prefixed copies."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in group], F.lit(True))
+
+
+def _blocks(spark) -> int:
+    """Blocks that a group which is the whole table is to have: as many as the session shuffles into."""
+    return max(2, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _below(points: Column, x: Column, steps: int) -> Column:
+    """How many of the ascending points are less than x, by halving steps."""
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps.bit_length()))])
+
+    def go(at: Column, width: Column) -> Column:
+        on = at + width
+        return F.when((on <= F.size(points)) & (F.get(points, on - 1) < x), on).otherwise(at)
+
+    return F.aggregate(widths, F.lit(0), go)
+
+
+def _in_blocks(df: DataFrame, group: Sequence[str], first: Column, second: Column | None) -> DataFrame:
+    """The rows with `_key`, the struct of their group and two block numbers.
+
+    `first` never decreases along the order (NULL last), `second` never along equal `first`; without it equal
+    rows are spread by hash. Block 1 is odd if it holds a single value of `first` (or its NULLs), even otherwise.
+    """
+    n = _blocks(df.sparkSession)
+    shares = [i / n for i in range(1, n)]
+    keyed = checkpoint(df).withColumns({"_first": first.cast("double"), "_second": (F.xxhash64(*df.columns) if second is None else second).cast("double")})
+    known = F.when(~F.isnan("_first"), F.col("_first"))
+    points = keyed.groupBy(*group).agg(
+        F.percentile_approx(known, shares, 20 * n).alias("_p1"),
+        F.percentile_approx("_second", shares, 20 * n).alias("_p2"),
+        F.count(F.lit(1)).alias("_rows"), F.count("_first").alias("_known"),
+    ).select(*[F.col(c).alias(f"_g_{c}") for c in group], "_p1", "_p2", "_rows", "_known")
+    split = keyed.join(broadcast_if_small(points, row_bytes=2 * n * _DOUBLE), same_group(group), "inner" if group else "cross")
+    p1, p2, x = F.coalesce("_p1", F.array().cast("array<double>")), F.coalesce("_p2", F.array().cast("array<double>")), F.col("_first")
+    below = _below(p1, x, n)
+    alone = x.isNull() | F.coalesce(F.get(p1, below) == x, F.lit(False))
+    at = F.when(x.isNull(), 2 * F.size(p1) + 1).otherwise(2 * below + alone.cast("int"))
+    # parts of a single value: the quantiles it fills, or the share of rows that are NULL
+    parts = F.when(x.isNull(), F.ceil((F.col("_rows") - F.col("_known")) / F.col("_rows") * n)).otherwise(
+        F.size(F.filter(p1, lambda q: q == x))
+    )
+    place = _below(p2, F.col("_second"), n)  # 0 .. n - 1, each about 1 / n of the rows
+    two = F.when(alone & (parts > 1), F.floor(place * parts / n)).otherwise(0).cast("int")
+    key = F.struct(*group, at.alias(_ONE), two.alias(_TWO))
+    return split.withColumn(_KEY, key).select(*df.columns, _KEY)
 
 
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
+    along: Sequence[Column],
     sums: Mapping[str, Column],
     totals: bool = True,
 ) -> DataFrame:
     """Add, per group, the running sum of each expression up to and including the row.
 
-    `order` must be a total order inside the group, and group columns hold no NULL. For every name in `sums` the result
-    has `name` and, with `totals`, `name_total`, the sum over the whole group.
+    `order` must be a total order inside the group; `along` holds one or two numeric expressions that never
+    decrease along it (NULL last): for `score` descending, then entity, `[-score, entity]`. For every name in
+    `sums` the result has `name` and, with `totals`, `name_total`, the sum over the whole group.
     """
     names = list(sums)
-    blocks = checkpoint(
-        df.withColumns({f"_v_{n}": sums[n] for n in names})
-        .repartitionByRange(*[F.col(c).asc() for c in group], *order)
-        .withColumn(_BLOCK, F.spark_partition_id())
-    )
-    per_block = blocks.groupBy(*group, _BLOCK).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    second = along[1] if len(along) > 1 else F.lit(0)
+    rows = _in_blocks(df.withColumns({f"_v_{n}": sums[n] for n in names}), group, along[0], second)
+    per_block = rows.groupBy(_KEY).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    whole = Window.partitionBy(*[F.col(f"{_KEY}.{c}") for c in group])
+    before = whole.orderBy(f"{_KEY}.{_ONE}", f"{_KEY}.{_TWO}").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        *[F.col(c).alias(f"_g_{c}") for c in group],
-        F.col(_BLOCK).alias("_g_block"),
+        F.col(_KEY).alias("_block"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
         *([F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in names] if totals else []),
     )
-    inside = (
-        Window.partitionBy(*group, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = blocks.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
-    same_block = reduce(
-        lambda a, b: a & b,
-        [F.col(c) == F.col(f"_g_{c}") for c in group],
-        F.col(_BLOCK) == F.col("_g_block"),
-    )
-    joined = local.join(offsets, same_block)
-    return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in names}).drop(
-        _BLOCK,
-        "_g_block",
-        *[f"_g_{c}" for c in group],
-        *[f"_{k}_{n}" for k in "vol" for n in names],
+    inside = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
+    return local.join(offsets, F.col(_KEY) == F.col("_block")).withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in names}).drop(
+        _KEY, "_block", *[f"_{k}_{n}" for k in "vol" for n in names]
     )
 
 
 def row_numbers(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rn", total: str = "n"
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], along: Sequence[Column], name: str = "rn", total: str = "n"
 ) -> DataFrame:
     """Position of each row in its group under a total order, and the group's row count."""
     ones = F.lit(1).cast("long")
-    return running_sums(df, group, order, {name: ones}).withColumnRenamed(f"{name}_total", total)
+    return running_sums(df, group, order, along, {name: ones}).withColumnRenamed(f"{name}_total", total)
 
 
 def ntile_of(k: int, rn: Column, n: Column) -> Column:
@@ -105,6 +149,7 @@ def value_positions(
         counts,
         group,
         [F.col(value).asc_nulls_last()],
+        [F.col(value)],
         {"_upto": F.col("ties"), "level": F.lit(1).cast("long"), **{f"{n}_upto": F.col(n) for n in sums}},
     )
     return run.select(
@@ -118,32 +163,53 @@ def value_positions(
     )
 
 
-#: Rank functions as expressions over the columns of `value_positions`.
+#: Rank functions as expressions over the columns of `value_positions`, or the fields of a struct of them.
 RANK_FUNCTIONS = {
-    "percent_rank": lambda: F.when(F.col("n") > 1, F.col("less") / (F.col("n") - 1)).otherwise(F.lit(0.0)),
-    "cume_dist": lambda: (F.col("less") + F.col("ties")) / F.col("n"),
-    "rank": lambda: F.col("less") + 1,
-    "dense_rank": lambda: F.col("level"),
-    "rank_average": lambda: F.col("less") + (F.col("ties") + 1) / 2,
-    "rank_fraction": lambda: (F.col("less") + (F.col("ties") + 1) / 2) / F.col("n"),
+    "percent_rank": lambda at="": F.when(F.col(at + "n") > 1, F.col(at + "less") / (F.col(at + "n") - 1)).otherwise(F.lit(0.0)),
+    "cume_dist": lambda at="": (F.col(at + "less") + F.col(at + "ties")) / F.col(at + "n"),
+    "rank": lambda at="": F.col(at + "less") + 1,
+    "dense_rank": lambda at="": F.col(at + "level"),
+    "rank_average": lambda at="": F.col(at + "less") + (F.col(at + "ties") + 1) / 2,
+    "rank_fraction": lambda at="": (F.col(at + "less") + (F.col(at + "ties") + 1) / 2) / F.col(at + "n"),
 }
 
 
 def with_value_ranks(
     df: DataFrame, group: Sequence[str], value: str, ranks: Mapping[str, str]
 ) -> DataFrame:
-    """Add rank columns `{name: function}` of `value` inside each group to every row."""
-    positions = value_positions(df, group, value)
-    table = positions.select(
-        *[F.col(c).alias(f"_r_{c}") for c in (*group, value)],
-        *[RANK_FUNCTIONS[f]().alias(n) for n, f in ranks.items()],
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(c) == F.col(f"_r_{c}") for c in group],
-        F.col(value).eqNullSafe(F.col(f"_r_{value}")),
+    """Add rank columns `{name: function}` of `value` inside each group to every row, in place.
+
+    A block of several values holds all rows of each, so its own window ranks them; a value with blocks of its
+    own has one rank, which comes from the block table.
+    """
+    rows = _in_blocks(df, group, F.col(value), None)
+    if "dense_rank" in ranks.values():
+        per_value = rows.groupBy(_KEY, value).agg(F.count(F.lit(1)).alias("_n"))
+        table = per_value.groupBy(_KEY).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_levels"))
+    else:  # no need to tell values apart
+        table = rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_levels"))
+    groups, block_one = [F.col(f"{_KEY}.{c}") for c in group], f"{_KEY}.{_ONE}"
+    whole, one = Window.partitionBy(*groups), Window.partitionBy(*groups, block_one)
+    lower = whole.orderBy(block_one).rangeBetween(Window.unboundedPreceding, -1)
+    fresh = F.when(F.row_number().over(one.orderBy(f"{_KEY}.{_TWO}")) == 1, F.col("_levels")).otherwise(0)
+    table = table.withColumn("_fresh", fresh).select(
+        F.col(_KEY).alias("_block"),
+        F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), F.coalesce(F.sum("_fresh").over(lower), F.lit(0)).alias("_seen"),
+        F.sum("_n").over(one).alias("_alike"), F.sum("_n").over(whole).alias("_all"),
     )
-    return df.join(table, on).drop(*[f"_r_{c}" for c in (*group, value)])
+    inside = Window.partitionBy(_KEY).orderBy(F.col(value).asc_nulls_last())
+    local = rows.withColumns({
+        "_rank": F.rank().over(inside), "_dense": F.dense_rank().over(inside),
+        "_ties": F.count(F.lit(1)).over(Window.partitionBy(_KEY, value)),
+    })
+    alone = F.col(block_one) % 2 == 1
+    joined = local.join(table, F.col(_KEY) == F.col("_block"))
+    facts = {
+        "less": F.col("_before") + F.when(alone, 0).otherwise(F.col("_rank") - 1), "level": F.col("_seen") + F.when(alone, 1).otherwise(F.col("_dense")),
+        "ties": F.when(alone, F.col("_alike")).otherwise(F.col("_ties")), "n": F.col("_all"),
+    }
+    named = joined.withColumn("_facts", F.struct(*[e.cast("long").alias(k) for k, e in facts.items()]))
+    return named.select(*df.columns, *[RANK_FUNCTIONS[f]("_facts.").alias(n) for n, f in ranks.items()])
 
 
 def group_quantiles(

@@ -171,7 +171,7 @@ def lift_table(
 def decile_lift(panel: DataFrame, column: str, positive: str = K.LEAVES_IN_TWO, digits: int = 8) -> DataFrame:
     """Positive rate of each decile of a column over the period's base rate."""
     known = panel.filter(F.col(L).isNotNull())
-    numbered = row_numbers(known, [P], [F.col(column).asc_nulls_last(), F.col(E).asc()], "_rn", "_n")
+    numbered = row_numbers(known, [P], [F.col(column).asc_nulls_last(), F.col(E).asc()], [F.col(column), F.col(E)], "_rn", "_n")
     y = F.count_if(F.col(L) == positive)
     deciles = numbered.groupBy(P, ntile_of(10, F.col("_rn"), F.col("_n")).alias("decil")).agg(
         F.count(F.lit(1)).alias("n"), y.alias("positivos")

@@ -16,8 +16,6 @@ from panelmill.functions import keys as K
 from panelmill.operators.ordered import RANK_FUNCTIONS, running_sums, value_positions, with_value_ranks
 
 E = K.ENTITY
-#: Largest cut for which a global top-k goes through Spark's take-ordered operator.
-TAKE_ORDERED = 16_000
 
 
 def contribution(hit: Column) -> Column:
@@ -48,7 +46,7 @@ def ranking(scores: DataFrame, group: Sequence[str] = (), hit: str | None = "pos
     if hit is not None:
         is_hit = F.col(hit).cast("boolean")
         sums |= {"ganancia": contribution(is_hit), "aciertos": is_hit.cast("long")}
-    ranked = running_sums(scores, group, [F.col("score").desc(), F.col(E).asc()], sums)
+    ranked = running_sums(scores, group, [F.col("score").desc(), F.col(E).asc()], [-F.col("score"), F.col(E)], sums)
     ranked = ranked.withColumnRenamed("puesto_total", "n")
     if hit is None:
         return ranked
@@ -57,8 +55,6 @@ def ranking(scores: DataFrame, group: Sequence[str] = (), hit: str | None = "pos
 
 def top_k(scores: DataFrame, k: int, group: Sequence[str] = ()) -> DataFrame:
     """The k best rows (of each group); ties enter in entity order."""
-    if not group and k <= TAKE_ORDERED:
-        return scores.orderBy(F.col("score").desc(), F.col(E).asc()).limit(k)
     return ranking(scores, group, hit=None).filter(F.col("puesto") <= k).drop("puesto", "n")
 
 
@@ -211,7 +207,7 @@ def push_test(ranked: DataFrame, flag: Column, low: int, high: int, k: int, grou
     )
     hit = F.col("positivo").cast("boolean")
     again = running_sums(
-        moved, group, [F.col("_pasa").desc(), F.col("_antes").asc()],
+        moved, group, [F.col("_pasa").desc(), F.col("_antes").asc()], [F.when(F.col("_pasa"), 0).otherwise(1), F.col("_antes")],
         {"puesto": F.lit(1).cast("long"), "ganancia": contribution(hit)}, totals=False,
     )
     gains = lambda r, name: r.filter(F.col("puesto") == k).select(*group, F.col("ganancia").alias(name))

@@ -1,7 +1,7 @@
 """Ranks within a period and deflators, for many columns at once.
 
-The columns are turned into long form, equal values are counted, and ranks are looked up by
-value: see `ordered`. Neither a period nor a frequent value is ever handled by one task alone.
+The columns are turned into long form and ranked in place, block by block: see `ordered`. Neither a period
+nor a frequent value is ever handled by one task alone, and the path is the same at every size.
 """
 
 from __future__ import annotations
@@ -14,23 +14,16 @@ from pyspark.sql import functions as F
 from panelmill.functions import keys as K
 from panelmill.functions.scalars import safe_ratio
 from panelmill.operators.ordered import (
-    RANK_FUNCTIONS,
     group_quantiles,
     ntile_of,
     row_numbers,
     unpivot,
-    value_positions,
+    with_value_ranks,
 )
 from panelmill.session import broadcast_if_small
 
 E, P = K.ENTITY, K.PERIOD
 
-#: The rank functions that a plain window has.
-WINDOW_FUNCTIONS = {
-    "percent_rank": F.percent_rank, "cume_dist": F.cume_dist, "rank": F.rank, "dense_rank": F.dense_rank,
-}
-
-
 def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     """(entity, period, feature, v...) -> one row per (entity, period).
 
@@ -53,63 +46,23 @@ def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str])
     )
 
 
-#: Periods of at most this many rows are ranked by windows, a task per period (and column).
-WINDOW_ROWS = 1_000_000
-#: Up to this many columns are ranked by a window each; more share one window in long form.
-FEW_COLUMNS = 4
-
-
-def largest_period(panel: DataFrame) -> int:
-    rows = panel.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return rows[0] or 0
-
-
-def _ranked_by_value(long: DataFrame, functions: Sequence[str], nulls: str) -> DataFrame:
-    table = value_positions(long, [P, "feature"]).select(
-        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("value").alias("_v"),
-        *[RANK_FUNCTIONS[f]().alias(f"_rank_{f}") for f in functions],
-    )
-    same_group = (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
-    if nulls == "keep":
-        return long.join(table, same_group & (F.col("value") == F.col("_v")), "left")
-    return long.join(table, same_group & F.col("value").eqNullSafe(F.col("_v")))
-
-
 def period_ranks(
     panel: DataFrame,
     columns: Sequence[str],
     functions: Sequence[str] = ("percent_rank",),
     nulls: str = "last",
     replace: bool = False,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Rank of each column within its period, as `<column>__<function>`.
 
     `nulls`: "last" ranks NULLs together after all values; "keep" leaves them NULL, though
     they still count in the number of rows. With `replace`, the rank takes the column's place.
-
-    Periods are counted first. Small ones are ranked by windows: one per column for a few
-    columns, else one sort of (period, column, value). Beyond `window_rows` the ranks come
-    from value counts, spread over periods, columns and values.
     """
     name = "{}" if replace else "{}__{}"
-    small = largest_period(panel) <= window_rows
-    if small and len(columns) <= FEW_COLUMNS:
-        ranks = {}
-        for c in columns:
-            ordered = Window.partitionBy(P).orderBy(F.col(c).cast("double").asc_nulls_last())
-            for f in functions:
-                rank = WINDOW_FUNCTIONS[f]().over(ordered)
-                ranks[name.format(c, f)] = F.when(F.col(c).isNotNull(), rank) if nulls == "keep" else rank
-        return panel.withColumns(ranks)
-    long = unpivot(panel, [E, P], columns)
-    if small:
-        ordered = Window.partitionBy(P, "feature").orderBy(F.col("value").asc_nulls_last())
-        known = F.col("value").isNotNull() | F.lit(nulls == "last")
-        ranked = long.withColumns({f"_rank_{f}": F.when(known, WINDOW_FUNCTIONS[f]().over(ordered)) for f in functions})
-    else:
-        ranked = _ranked_by_value(long, functions, nulls)
-    wide = _widen(ranked, columns, {f"_rank_{f}": "{}" if replace else "{}__" + f for f in functions})
+    long = with_value_ranks(unpivot(panel, [E, P], columns), [P, "feature"], "value", {f"_rank_{f}": f for f in functions})
+    if nulls == "keep":
+        long = long.withColumns({f"_rank_{f}": F.when(F.col("value").isNotNull(), F.col(f"_rank_{f}")) for f in functions})
+    wide = _widen(long, columns, {f"_rank_{f}": name.format("{}", f) for f in functions})
     kept = panel.drop(*columns) if replace else panel
     return kept.join(wide, [E, P])
 
@@ -122,25 +75,17 @@ def zero_fixed_ranks(panel: DataFrame, columns: Sequence[str], suffix: str = "ra
     long = unpivot(panel, [E, P], columns, keep_nulls=False).withColumn(
         "signo", F.signum("value").cast("int")
     )
-    size = F.abs("value")
-    sides = long.filter("signo <> 0").select(P, "feature", "signo", size.alias("tamano"))
-    ranks = value_positions(sides, [P, "feature", "signo"], "tamano").select(
-        F.col(P).alias("_p"), F.col("feature").alias("_f"), F.col("signo").alias("_s"),
-        F.col("tamano").alias("_t"), RANK_FUNCTIONS["cume_dist"]().alias("_r"),
+    sized = long.withColumn("tamano", F.abs("value"))
+    ranked = with_value_ranks(sized, [P, "feature", "signo"], "tamano", {"_cume": "cume_dist"}).withColumn(
+        "_r", F.col("_cume") * F.col("signo")
     )
-    ranked = long.join(
-        ranks,
-        (F.col(P) == F.col("_p")) & (F.col("feature") == F.col("_f"))
-        & (F.col("signo") == F.col("_s")) & (size == F.col("_t")),
-        "left",
-    ).withColumn("_r", F.coalesce(F.col("_r"), F.lit(0.0)) * F.col("signo"))
     return panel.join(_widen(ranked, columns, {"_r": "{}__" + suffix}), [E, P], "left")
 
 
 def period_ntiles(panel: DataFrame, column: str, tiles: Sequence[int] = (4, 10)) -> DataFrame:
     """ntile within the period, ties broken by entity: one distributed numbering for all k."""
     numbered = row_numbers(
-        panel, [P], [F.col(column).asc_nulls_last(), F.col(E).asc()], "_rn", "_n"
+        panel, [P], [F.col(column).asc_nulls_last(), F.col(E).asc()], [F.col(column), F.col(E)], "_rn", "_n"
     )
     return numbered.withColumns(
         {f"{column}__ntile_{k}": ntile_of(k, F.col("_rn"), F.col("_n")) for k in tiles}

@@ -9,14 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.functions.draws import poisson_one, uniform
-from panelmill.operators.ordered import row_numbers, with_value_ranks
+from panelmill.operators.ordered import with_value_ranks
 from panelmill.operators.ranking import contribution
+from panelmill.session import broadcast_if_small
 
 E = K.ENTITY
 
@@ -35,20 +35,36 @@ def public_draws(selected: DataFrame, repetitions: int, share: float = 0.25, gro
     )
 
 
+#: Bands of the unit interval in which the numbers of a draw are counted.
+BANDS = 1024
+
+
 def exact_public_draws(population: DataFrame, repetitions: int, k: int, share: float = 0.25) -> DataFrame:
     """The same with exactly round(share * n) rows of the population in each draw.
 
-    `population` carries `puesto`; rows outside the top k earn nothing but take up places.
+    `population` carries `puesto`; rows outside the top k earn nothing but take up places. The numbers of each
+    draw are counted in bands on the map side. All rows below the band with the cut are in; only that band's rows,
+    one in BANDS, are shuffled and put in order.
     """
-    numbered = row_numbers(
-        with_draws(population, repetitions).withColumn("_u", uniform(E, "rep")),
-        ["rep"], [F.col("_u").asc(), F.col(E).asc()], "_rn", "_n",
-    )
-    inside = F.col("_rn") <= F.bround(F.col("_n") * share)
+    number = uniform(E, "rep")
+    drawn = with_draws(population.select(E, "positivo", "puesto"), repetitions).withColumn("_u", number)
+    drawn = drawn.withColumn("_band", F.least(F.floor(F.col("_u") * BANDS), F.lit(BANDS - 1)))
+    bands = drawn.groupBy("rep", "_band").agg(F.count(F.lit(1)).alias("_n"))
+    of_draw = Window.partitionBy("rep")
+    upto = F.sum("_n").over(of_draw.orderBy("_band"))
+    wanted = F.bround(F.sum("_n").over(of_draw) * share)
+    cuts = bands.select("rep", "_band", (upto - F.col("_n")).alias("_below"), upto.alias("_upto"), wanted.alias("_wanted")).filter(
+        "_below <= _wanted and (_upto > _wanted or _band = {0})".format(BANDS - 1)
+    ).groupBy("rep").agg(F.min_by(F.struct("_band", (F.col("_wanted") - F.col("_below")).alias("_rest"), "_wanted"), "_band").alias("_cut"))
+    cuts = broadcast_if_small(cuts.select(F.col("rep").alias("_r"), "_cut.*").withColumnRenamed("_band", "_at"))  # one row per draw
     gain = F.when(F.col("puesto") <= k, contribution(F.col("positivo").cast("boolean"))).otherwise(0)
-    return numbered.groupBy("rep").agg(
-        F.sum(F.when(inside, gain).otherwise(0)).alias("publico"), F.count_if(inside).alias("sorteados")
-    )
+    placed = drawn.join(cuts, F.col("rep") == F.col("_r"))
+    whole = placed.filter("_band < _at and puesto <= {0}".format(k)).select("rep", gain.alias("g"))
+    order = Window.partitionBy("rep").orderBy("_u", E)
+    edge = placed.filter("_band = _at").withColumn("_rn", F.row_number().over(order)).filter("_rn <= _rest").select("rep", gain.alias("g"))
+    none = cuts.select(F.col("_r").alias("rep"), F.lit(0).cast("long").alias("g"), "_wanted")
+    rows = whole.unionByName(edge).withColumn("_wanted", F.lit(None).cast("double")).unionByName(none.withColumn("_wanted", F.col("_wanted").cast("double")))
+    return rows.groupBy("rep").agg(F.sum("g").alias("publico"), F.max("_wanted").cast("long").alias("sorteados"))
 
 
 def paired_draws(draws: DataFrame, pairs: Sequence[tuple[str, str]], truth: DataFrame, model: str = "modelo",
@@ -136,21 +152,19 @@ def spearman(pairs: DataFrame, x: str, y: str, group: Sequence[str] = (), digits
     return out if group else out.drop("_g")
 
 
-def paired_comparison(observations: DataFrame, base: str, config: str = "config", keys: Sequence[str] = ("fold", "semilla"),
-                      value: str = "ganancia") -> DataFrame:
-    """Each configuration against `base` by (fold, seed): mean difference, wins, signed-rank statistic.
-
-    A group has one row per fold and seed.
-    """
+def _signed_ranks(observations: DataFrame, base: str, config: str, keys: Sequence[str], value: str) -> DataFrame:
+    """Differences to `base` with the average-tie rank of their size; a configuration has one row per fold and seed."""
     ref = observations.filter(F.col(config) == base).select(*keys, F.col(value).alias("_base"))
     diffs = observations.filter(F.col(config) != base).join(ref, list(keys)).select(
         config, *keys, (F.col(value) - F.col("_base")).alias("d")
     )
     sized = diffs.withColumn("_abs", F.when(F.col("d") != 0, F.abs("d")))
-    by_size = Window.partitionBy(config, "_abs")
     rank = F.rank().over(Window.partitionBy(config).orderBy(F.col("_abs").asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(by_size)
-    ranked = sized.withColumns({"_rank": rank + (ties - 1) / 2, "_ties": ties})
+    ties = F.count(F.lit(1)).over(Window.partitionBy(config, "_abs"))
+    return sized.withColumns({"_rank": rank + (ties - 1) / 2, "_ties": ties})
+
+
+def _signed_rank_statistics(ranked: DataFrame, config: str) -> DataFrame:
     used = F.col("_abs").isNotNull()
     stats = ranked.groupBy(config).agg(
         F.avg("d").alias("dif_media"),
@@ -170,39 +184,60 @@ def paired_comparison(observations: DataFrame, base: str, config: str = "config"
     )
 
 
-def _signed_rank_p(diffs: pd.Series) -> float:
-    """Exact two-sided signed-rank p up to 50 non-zero differences, normal beyond."""
-    d = diffs[diffs != 0]
-    if d.empty:
-        return 1.0
-    ranks = d.abs().rank()
-    w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
-    n = len(d)
-    if n <= 50:
-        ways = {0: 1}
-        for r in (int(2 * x) for x in ranks):
-            more = dict(ways)
-            for s, c in ways.items():
-                more[s + r] = more.get(s + r, 0) + c
-            ways = more
-        return min(1.0, 2 * sum(c for s, c in ways.items() if s <= 2 * w + 1e-9) / 2**n)
-    ties = ranks.value_counts()
-    variance = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-    return math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(2 * variance))
-
-
-def paired_p_values(observations: DataFrame, base: str, config: str = "config", keys: Sequence[str] = ("fold", "semilla"),
-                    value: str = "ganancia") -> DataFrame:
-    """Signed-rank p per configuration; its group is the small (fold, seed) grid."""
-    ref = observations.filter(F.col(config) == base).select(*keys, F.col(value).alias("_base"))
-    diffs = observations.filter(F.col(config) != base).join(ref, list(keys)).select(
-        F.col(config).cast("string").alias("config"), (F.col(value) - F.col("_base")).cast("double").alias("d")
-    )
+def paired_comparison(observations: DataFrame, base: str, config: str = "config", keys: Sequence[str] = ("fold", "semilla"),
+                      value: str = "ganancia") -> DataFrame:
+    """Each configuration against `base` by (fold, seed): mean difference, wins, signed-rank statistic."""
+    return _signed_rank_statistics(_signed_ranks(observations, base, config, keys, value), config)
+
+
+def _exact_p(doubled: Column, w: Column) -> Column:
+    """Two-sided p of the signed-rank statistic: the share of sign patterns whose rank sum is at most w, twice.
+
+    `doubled` holds twice the rank of each non-zero difference (whole numbers, ties included).
+    """
+    total = F.aggregate(doubled, F.lit(0), lambda a, r: a + r)
+    start = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def half(ways: Column, rank: Column) -> Column:
+        return F.transform(ways, lambda p, s: 0.5 * (p + F.coalesce(F.when(s >= rank, F.get(ways, s - rank)), F.lit(0.0))))
+
+    ways = F.aggregate(doubled, start, half)
+    low = F.slice(ways, 1, (F.floor(2 * w + 1e-9) + 1).cast("int"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(low, F.lit(0.0), lambda a, p: a + p))
 
-    def p_of(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"config": [group.config.iloc[0]], "p": [_signed_rank_p(group.d)]})
 
-    return diffs.groupBy("config").applyInPandas(p_of, "config string, p double")
+def _normal_p(z: Column) -> Column:
+    """Two-sided p of a normal score: 1 - erf(|z| / sqrt 2), by the series of positive terms."""
+    x = F.abs(z) / math.sqrt(2)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+
+    def step(acc: Column, n: Column) -> Column:
+        term = acc["term"] * 2 * x * x / (2 * n + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step)["sum"]
+    return F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series)
+
+
+def paired_p_values(observations: DataFrame, base: str, method: str = "exact", config: str = "config",
+                    keys: Sequence[str] = ("fold", "semilla"), value: str = "ganancia") -> DataFrame:
+    """(config, n, w, metodo, p): two-sided signed-rank p against `base`, by the method asked for at every n.
+
+    "exact" counts sign patterns over the ranks of the (fold, seed) grid, "normal" uses the normal score with
+    ties corrected. Without any difference p is 1.
+    """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
+    ranked = _signed_ranks(observations, base, config, keys, value)
+    stats = _signed_rank_statistics(ranked, config)
+    if method == "normal":
+        p = F.when(F.col("n") == 0, 1.0).otherwise(_normal_p(F.col("z")))
+        return stats.select(config, "n", "w", F.lit(method).alias("metodo"), p.alias("p"))
+    ranks = ranked.filter("_abs is not null").groupBy(F.col(config).alias("_c")).agg(
+        F.sort_array(F.collect_list((2 * F.col("_rank")).cast("int"))).alias("_doubled")
+    )
+    p = F.when(F.col("n") == 0, 1.0).otherwise(_exact_p(F.col("_doubled"), F.col("w")))
+    return stats.join(ranks, F.col(config).eqNullSafe(F.col("_c")), "left").select(config, "n", "w", F.lit(method).alias("metodo"), p.alias("p"))
 
 
 def difference_report(draws: DataFrame, a: str, b: str, model: str = "modelo", share: float = 0.25) -> DataFrame:

@@ -51,7 +51,7 @@ def match_positives(panel: DataFrame, period: int, like: int, seed: int, positiv
     is_positive = F.coalesce(F.col(L) == positive, F.lit(False))
     shuffled = rows.filter(is_positive).withColumn("_u", uniform(E, P, seed))
     kept = (
-        row_numbers(shuffled, [P], [F.col("_u").asc(), F.col(E).asc()], "_rn", "_n")
+        row_numbers(shuffled, [P], [F.col("_u").asc(), F.col(E).asc()], [F.col("_u"), F.col(E)], "_rn", "_n")
         .filter(F.col("_rn") <= wanted).drop("_u", "_rn", "_n")
     )
     return rows.filter(~is_positive).unionByName(kept)
@@ -154,7 +154,7 @@ def group_split(panel: DataFrame, seeds: Sequence[int], test_share: float = 0.3)
 def row_split(panel: DataFrame, seed: int, test_share: float = 0.3, classes: str = L) -> DataFrame:
     """Stratified split of rows. One entity can be on both sides: kept as the leaky counter-example."""
     known = panel.filter(F.col(classes).isNotNull()).withColumn("_u", uniform(E, P, seed))
-    numbered = row_numbers(known, [classes], [F.col("_u").asc(), F.col(E).asc(), F.col(P).asc()], "_rn", "_n")
+    numbered = row_numbers(known, [classes], [F.col("_u").asc(), F.col(E).asc(), F.col(P).asc()], [F.col("_u"), F.col(E)], "_rn", "_n")
     return numbered.withColumn("es_test", F.col("_rn") <= F.bround(F.col("_n") * test_share)).drop("_u", "_rn", "_n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.operators.label import build_base, churn_label
-from panelmill.plans.panels import bank_panel, bank_sql
+from panelmill.plans.panels import bank_panel, bank_sql, order_period
 from panelmill.sources.tables import table
 
 E, P, L = K.ENTITY, K.PERIOD, K.LABEL
@@ -18,7 +18,7 @@ E, P, L = K.ENTITY, K.PERIOD, K.LABEL
 def bank_periods(spark: SparkSession, folder: str) -> DataFrame:
     """The panel's calendar, from the order dates alone."""
     year = F.year("o_orderdate")
-    return table(spark, folder, "orders").select((F.lit(202100 - 1992) + year).cast("int").alias(P)).distinct()
+    return table(spark, folder, "orders").select(order_period(year).alias(P)).distinct()
 
 
 def labelled(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -27,7 +27,8 @@ def labelled(spark: SparkSession, folder: str, columns: Iterable[str] | None = N
 
 
 def based(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
-    return build_base(bank_panel(spark, folder, None if columns is None else list(columns)))
+    panel = bank_panel(spark, folder, None if columns is None else list(columns))
+    return build_base(panel, periods=bank_periods(spark, folder))
 
 
 #: Label by looking up the customer at the next two period positions, as CTEs after a `panel` CTE.

@@ -7,10 +7,11 @@ sums do not depend on the order in which rows arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
+from panelmill.functions.period import index_period
 from panelmill.sources.tables import table
 
 # --- bank-shaped panel: customer x order year, years 1995.. stand for months 202103.. ---------
@@ -33,6 +34,14 @@ _LINE_MEASURES = {
 }
 
 
+#: Order years are consecutive months: 1993 stands for 202101, whatever the first and last year are.
+_MONTHS = 2021 * 12 - 1993
+
+
+def order_period(year: Column) -> Column:
+    return index_period((F.lit(_MONTHS) + year).cast("int")).cast("int")
+
+
 def _count(cond: str) -> str:
     return f"cast(sum(case when {cond} then 1 else 0 end) as int)"
 
@@ -173,7 +182,7 @@ def bank_panel(spark: SparkSession, folder: str, columns: list[str] | None = Non
         orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return (
         orders.groupBy(
-            F.col("cust").cast("long").alias(K.ENTITY), (F.lit(202100 - 1992) + F.col("yr")).cast("int").alias(K.PERIOD)
+            F.col("cust").cast("long").alias(K.ENTITY), order_period(F.col("yr")).alias(K.PERIOD)
         ).agg(*_exprs(measures))
     )
 
@@ -190,7 +199,7 @@ bank_orders as (
   left join lines on o.o_orderkey = lines.l_orderkey
 ),
 panel as (
-  select cast(cust as bigint) as {K.ENTITY}, cast(202100 - 1992 + yr as int) as {K.PERIOD}
+  select cast(cust as bigint) as {K.ENTITY}, cast(({_MONTHS} + yr) // 12 * 100 + ({_MONTHS} + yr) % 12 + 1 as int) as {K.PERIOD}
     {''.join(', ' + e + ' as ' + n for n, e in measures.items())}
   from bank_orders group by 1, 2
 )"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
@@ -18,6 +20,7 @@ from panelmill.plans.scores import (
     scores_sql,
     uniform_sql,
 )
+from panelmill.session import checkpoint
 
 STEP, STOP = 25, 600
 KS = (100, 200, 300, 400)
@@ -434,7 +437,7 @@ def selection_guard(spark, folder):
 
 # --- resampling -------------------------------------------------------------------------------
 
-REPS = 100
+REPS, BOOTSTRAPS = 500, 1_000
 _DRAWS = f""", sel as (select * from ranked where puesto <= 300),
   sorteo as (select s.modelo, r.rep, case when {uniform_sql(E, 'rep')} < 0.25 then 1 else 0 end as pub,
     case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end as g
@@ -456,13 +459,13 @@ def public_private_draws(spark, folder):
 @query(
     "exact_size_draws", "SR1",
     _RANKED + f""", u as (select r.rep, positivo, puesto, row_number() over (partition by r.rep order by {uniform_sql(E, 'r.rep')}, {E}) as rn,
-      count(*) over (partition by r.rep) as n from ranked cross join (select cast(unnest(range(1, 21)) as int) as rep) r where modelo = 1)
+      count(*) over (partition by r.rep) as n from ranked cross join (select cast(unnest(range(1, {REPS} + 1)) as int) as rep) r where modelo = 1)
     select rep, sum(case when rn <= round_even(n * 0.25::double, 0) and puesto <= 300 then case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end else 0 end)::bigint as publico,
       sum(case when rn <= round_even(n * 0.25::double, 0) then 1 else 0 end)::bigint as sorteados from u group by 1""",
 )
 def exact_size_draws(spark, folder):
     ranked = R.ranking(scores(spark, folder).filter("modelo = 1"))
-    return S.exact_public_draws(ranked.select(E, "positivo", "puesto"), 20, 300)
+    return S.exact_public_draws(ranked.select(E, "positivo", "puesto"), REPS, 300)
 
 
 @query(
@@ -504,21 +507,21 @@ def argmax_bias(spark, folder):
 
 _POISSON = "(" + " + ".join(
     f"case when u >= {c!r}::double then 1 else 0 end" for c in [
-        sum(__import__("math").exp(-1) / __import__("math").factorial(i) for i in range(k + 1)) for k in range(10)]) + ")"
+        sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]) + ")"
 
 
 @query(
     "bootstrap_gain_difference", "SR4",
     _RANKED + f""", s as (select {E}, case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end as g, modelo from ranked where puesto <= 300 and modelo in (1, 2)),
     d as (select {E}, sum(case when modelo = 1 then g else -g end) as g from s group by 1 having count(*) = 1),
-    x as (select rep, g, {uniform_sql(E, 'rep', "'b'")} as u from d cross join (select cast(unnest(range(1, 201)) as int) as rep)),
+    x as (select rep, g, {uniform_sql(E, 'rep', "'b'")} as u from d cross join (select cast(unnest(range(1, {BOOTSTRAPS} + 1)) as int) as rep)),
     b as (select rep, sum(g * {_POISSON})::double as diferencia from x group by 1)
     select round(avg(diferencia), 4) as media, round(stddev_pop(diferencia), 4) as sd, round(quantile_cont(diferencia, 0.025), 4) as desde,
       round(quantile_cont(diferencia, 0.975), 4) as hasta, count(*) as repeticiones from b""",
 )
 def bootstrap_gain_difference(spark, folder):
     chosen = R.top_k(scores(spark, folder), 300, ["modelo"])
-    draws = S.bootstrap_difference(chosen.filter("modelo = 1"), chosen.filter("modelo = 2"), 200)
+    draws = S.bootstrap_difference(chosen.filter("modelo = 1"), chosen.filter("modelo = 2"), BOOTSTRAPS)
     return S.interval(draws)
 
 
@@ -564,9 +567,31 @@ def paired_signed_rank(spark, folder):
     return _round(S.paired_comparison(_observations(spark, folder), "base"), 8, "z")
 
 
-@query("paired_signed_rank_p", "SR6")
+#: The exact p by adding the ranks one by one to the distribution of their sum; the normal p by the series of erf.
+_P_SQL = """, o as (select config, cast(2 * r as int) as r2, row_number() over (partition by config order by r) as i from k where d <> 0),
+  s as (select config, cast(sum(r2) as int) as total, count(*) as n from o group by 1),
+  pasos as (
+    with recursive suma as (
+      select config, 0 as i, total, list_transform(range(total + 1), lambda x: case when x = 0 then 1.0::double else 0 end) as p from s
+      union all
+      select u.config, u.i + 1, u.total, list_transform(range(u.total + 1), lambda x: 0.5::double * (u.p[x + 1] + case when x >= o.r2 then u.p[x + 1 - o.r2] else 0 end))
+      from suma u join o on o.config = u.config and o.i = u.i + 1)
+    select suma.config, suma.p from suma join s on s.config = suma.config and s.n = suma.i),
+  z as (select w.*, least(wp, wm) as menor, abs((least(wp, wm) - n * (n + 1.0::double) / 4)
+    / nullif(sqrt(n * (n + 1.0::double) * (2 * n + 1) / 24 - tt / 48), 0)) / sqrt(2.0::double) as x from w)
+  select z.config, z.n, menor as w, 'exact' as metodo,
+    case when z.n = 0 then 1.0::double else round(least(1, 2 * list_sum(p[1:cast(floor(2 * menor + 1e-9) as int) + 1])), 8) end as p
+  from z left join pasos on pasos.config = z.config
+  union all
+  select config, n, menor, 'normal', case when n = 0 then 1.0::double else round(greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(200),
+    lambda m: exp((2 * m + 1) * ln(greatest(x, 1e-300)) + 2 * m * ln(2.0::double) + lgamma(m + 1.0::double) - lgamma(2 * m + 2.0::double))))), 8) end from z"""
+
+
+@query("paired_signed_rank_p", "SR6", _RANKED_ALL + _OBS + _P_SQL)
 def paired_signed_rank_p(spark, folder):
-    return S.paired_p_values(_observations(spark, folder), "base")
+    observed = checkpoint(_observations(spark, folder))
+    both = S.paired_p_values(observed, "base").unionByName(S.paired_p_values(observed, "base", "normal"))
+    return _round(both, 8, "p")
 
 
 @query(

@@ -69,13 +69,17 @@ def lifetime_rows(spark, folder):
 
 @query(
     "label_two_ways_differ", "IO14 WN2",
-    labelled_sql(["ctrx_quarter"]) + f" select {E}, {P}, {L}, 'izquierda' as solo_en from labelled where 1 = 0",
+    labelled_sql(["ctrx_quarter"]) + f" select {P}, count(*) as filas, 0::bigint as distintas from labelled group by 1",
 )
 def label_two_ways_differ(spark, folder):
-    """Empty: the shuffle-once label equals the one from leads over the grid."""
+    """Rows per period, and how many of them the label from leads over the grid has otherwise."""
     panel = bank_panel(spark, folder, ["ctrx_quarter"])
     fast = churn_label(panel, bank_periods(spark, folder)).select(E, P, L)
-    return differences(fast, label_from_grid(panel.select(E, P)))
+    other = differences(fast, label_from_grid(panel.select(E, P)))
+    rows = fast.select(P, F.lit(1).alias("fila"), F.lit(0).alias("distinta")).unionByName(
+        other.select(P, F.lit(0).alias("fila"), F.lit(1).alias("distinta"))
+    )
+    return rows.groupBy(P).agg(F.sum("fila").alias("filas"), F.sum("distinta").alias("distintas"))
 
 
 @query(

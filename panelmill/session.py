@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A per-period or per-feature table is broadcast only when it has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only when its counted rows take at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(app: str = "panelmill", cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -19,6 +19,7 @@ def local_session(app: str = "panelmill", cores: str = "8", memory: str = "8g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -45,10 +46,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise an aggregate, count it, and hint a broadcast only below the bound.
+def broadcast_if_small(df: DataFrame, row_bytes: int | None = None) -> DataFrame:
+    """Materialise an aggregate and hint a broadcast if its rows, of `row_bytes` each, fit the bound.
 
-    Above the bound the frame comes back without a hint and joins by shuffle.
+    Above the bound the frame comes back without a hint and joins by shuffle, with the same result. Without
+    `row_bytes` a row counts 64 bytes a column.
     """
     small = checkpoint(df)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    return F.broadcast(small) if small.count() * (row_bytes or 64 * len(df.columns)) <= BROADCAST_BYTES else small

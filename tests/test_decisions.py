@@ -1,5 +1,7 @@
 """Rankings, cuts, ensembles, resampling, targets and drift: properties and hand values."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -139,9 +141,17 @@ def test_exact_draws_have_exact_size(table):
     assert len(rows) == 5 and all(r.sorteados == 225 for r in rows)
 
 
-@pytest.mark.parametrize("d,p", [([1, 2, 3, 4, 5], 0.0625), ([1, -2, 3, 4, 5], 0.1875), ([0, 0], 1.0), ([3, 0, -1, 2], 0.5)])
-def test_signed_rank_p(d, p):
-    assert S._signed_rank_p(pd.Series(d, dtype=float)) == pytest.approx(p)
+@pytest.mark.parametrize("d,p", [([1, 2, 3, 4, 5], 0.0625), ([1, -2, 3, 4, 5], 0.1875), ([0, 0], 1.0), ([3, 0, -1, 2], 0.5), ([*range(1, 61)], 2 / 2**60)])
+def test_signed_rank_p(spark, d, p):
+    rows = [(c, i, 0, float(v)) for c, vs in (("base", [0] * len(d)), ("x", d)) for i, v in enumerate(vs)]
+    obs = spark.createDataFrame(rows, "config string, fold int, semilla int, ganancia double")
+    exact, normal = (S.paired_p_values(obs, "base", m).first() for m in ("exact", "normal"))
+    assert (exact.metodo, normal.metodo) == ("exact", "normal") and exact.p == pytest.approx(p, rel=1e-9)
+    n = sum(v != 0 for v in d)
+    ranks = pd.Series([abs(v) for v in d if v]).rank()
+    w = min(sum(r for r, v in zip(ranks, [v for v in d if v]) if v > 0), sum(r for r, v in zip(ranks, [v for v in d if v]) if v < 0))
+    want = 1.0 if not n else math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(2 * n * (n + 1) * (2 * n + 1) / 24))
+    assert normal.p == pytest.approx(want, abs=1e-12)
 
 
 def test_paired_comparison(spark):

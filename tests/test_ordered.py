@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill.operators import ordered as O
@@ -26,15 +27,48 @@ def _spark(spark, frame):
     return spark.createDataFrame(frame).withColumn("value", F.when(F.isnan("value"), None).otherwise(F.col("value")))
 
 
-def test_frames_have_several_blocks(spark, frame):
-    blocks = _spark(spark, frame).repartitionByRange("g", "id").withColumn("b", F.spark_partition_id())
-    assert blocks.select("b").distinct().count() > 1
+def _blocks_of(spark, frame, second=None):
+    return O._in_blocks(_spark(spark, frame), ["g"], F.col("value"), second).groupBy("_key").count().select("_key.*", "count").toPandas()
+
+
+def test_groups_are_cut_into_even_blocks(spark, frame):
+    """A group of 60 % of the rows, a third of them one value and a tenth NULL, fills no block beyond a few quantiles."""
+    whole = frame.groupby("g").size()
+    for second in (None, F.col("id")):
+        blocks = _blocks_of(spark, frame, second)
+        share = blocks["count"] / blocks["g"].map(whole)
+        assert share.max() <= 2.5 / O._blocks(spark)
+
+
+def test_rows_are_shuffled_once(spark, frame):
+    df = O.running_sums(_spark(spark, frame), ["g"], [F.col("id").asc()], [F.col("id")], {"rn": F.lit(1)})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4  # the rows; the block table by block, by group, by block
+
+
+def test_null_groups_are_groups(spark):
+    rows = spark.createDataFrame([(None, 1, 5.0), (None, 2, 5.0), ("a", 3, 1.0), ("a", 4, None)], "g string, id long, value double")
+    sums = O.running_sums(rows, ["g"], [F.col("id").asc()], [F.col("id")], {"s": F.lit(1)}).orderBy("id").collect()
+    assert [(r.g, r.s, r.s_total) for r in sums] == [(None, 1, 2), (None, 2, 2), ("a", 1, 2), ("a", 2, 2)]
+    ranks = O.with_value_ranks(rows, ["g"], "value", {"r": "rank", "f": "rank_fraction"}).orderBy("id").collect()
+    assert [(r.r, r.f) for r in ranks] == [(1, 0.75), (1, 0.75), (1, 0.5), (2, 1.0)]
+
+
+def test_value_shared_by_nine_tenths(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"g": "a", "id": np.arange(4_000), "value": np.where(rng.random(4_000) < 0.9, 7.0, rng.normal(7, 3, 4_000))})
+    got = O.with_value_ranks(spark.createDataFrame(frame), ["g"], "value", {"r": "rank", "d": "dense_rank", "c": "cume_dist"}).toPandas()
+    by = got["value"].rank(method="min")
+    assert (got["r"] == by).all() and (got["d"] == got["value"].rank(method="dense")).all()
+    np.testing.assert_allclose(got["c"], got["value"].rank(method="max") / 4_000)
+    blocks = _blocks_of(spark, frame)
+    assert blocks["count"].max() <= 4_000 * 2.5 / O._blocks(spark)
 
 
 @pytest.mark.parametrize("group", [["g"], []])
 def test_running_sums(spark, frame, group):
     order = [F.col("w").desc(), F.col("id").asc()]
-    got = O.running_sums(_spark(spark, frame), group, order, {"rn": F.lit(1), "s": F.col("w")}).toPandas()
+    got = O.running_sums(_spark(spark, frame), group, order, [-F.col("w"), F.col("id")], {"rn": F.lit(1), "s": F.col("w")}).toPandas()
     want = frame.sort_values(["w", "id"], ascending=[False, True])
     by = want.groupby("g") if group else want.assign(_="").groupby("_")
     want = want.assign(rn=by.cumcount() + 1, s=by["w"].cumsum(), s_total=by["w"].transform("sum"))
@@ -67,7 +101,7 @@ def test_quantiles_match_numpy(spark, frame):
 
 @pytest.mark.parametrize("k", [1, 3, 4, 10, 5_000])
 def test_ntile(spark, frame, k):
-    numbered = O.row_numbers(spark.createDataFrame(frame[["g", "id"]]), ["g"], [F.col("id").asc()])
+    numbered = O.row_numbers(spark.createDataFrame(frame[["g", "id"]]), ["g"], [F.col("id").asc()], [F.col("id")])
     got = numbered.withColumn("t", O.ntile_of(k, F.col("rn"), F.col("n")))
     got.createOrReplaceTempView("tiles")
     wrong = spark.sql(f"select * from (select *, ntile({k}) over (partition by g order by id) as want from tiles) where t <> want")
@@ -76,20 +110,21 @@ def test_ntile(spark, frame, k):
 
 @pytest.mark.parametrize("nulls", ["last", "keep"])
 @pytest.mark.parametrize("replace", [True, False])
-def test_period_ranks_are_the_same_on_both_sides_of_the_size_check(spark, frame, nulls, replace, monkeypatch):
+def test_period_ranks_match_windows_at_every_size(spark, frame, nulls, replace):
     panel = _spark(spark, frame).withColumnsRenamed({"id": K.ENTITY, "value": "mx"}).withColumn(
         K.PERIOD, F.when(F.col("g") == "a", 202103).otherwise(202104)
     ).withColumn("my", F.col("w").cast("double")).drop("g")
     functions = ("percent_rank",) if replace else ("percent_rank", "cume_dist", "rank", "dense_rank")
-    frames = [
-        R.period_ranks(panel, ["mx", "my"], functions, nulls, replace, window_rows=n).toPandas().sort_values(K.ENTITY)
-        for n in (0, 10**9)
-    ]
-    monkeypatch.setattr(R, "FEW_COLUMNS", 0)
-    frames.append(R.period_ranks(panel, ["mx", "my"], functions, nulls, replace).toPandas().sort_values(K.ENTITY))
-    first, *others = [f.reset_index(drop=True)[sorted(f.columns)] for f in frames]
-    for other in others:
-        pd.testing.assert_frame_equal(first, other, check_dtype=False)
+    got = R.period_ranks(panel, ["mx", "my"], functions, nulls, replace)
+    few = R.period_ranks(panel.limit(3), ["mx", "my"], functions, nulls, replace)
+    assert got.schema == few.schema  # the path and the types do not depend on the size
+    known = {c: F.col(c).isNotNull() | F.lit(nulls == "last") for c in ("mx", "my")}
+    order = {c: Window.partitionBy(K.PERIOD).orderBy(F.col(c).asc_nulls_last()) for c in known}
+    want = panel.select(K.ENTITY, *[
+        F.when(known[c], getattr(F, f)().over(order[c])).alias(c if replace else f"{c}__{f}") for c in known for f in functions
+    ])
+    a, b = (x.toPandas().sort_values(K.ENTITY).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(a[list(b.columns)], b, check_dtype=False)
 
 
 def test_zero_fixed_rank_keeps_sign_and_zero(spark, frame):

@@ -1,28 +1,13 @@
-"""Registered queries against DuckDB on the smallest tables.
-
-By default a spread of queries runs; PANELMILL_ALL_QUERIES=1 runs every one with check SQL.
-"""
+"""All registered queries with check SQL against DuckDB on the smallest tables."""
 
 import math
-import os
 
 import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import DATA
 
-SPREAD = (
-    "label_counts", "label_sparse_months", "lifetime_rows", "presence_per_period", "stock_entries_exits", "exit_trajectory",
-    "class_separation", "lags_and_deltas", "slopes_over_tenure", "streaks", "column_repairs", "bonus_month_removed",
-    "mixed_feature_panel", "risk_flag_panel", "fixed_window_flag_panel", "flag_lift_table", "combined_panel",
-    "repaired_transition_panel", "sums_and_streaks_panel", "decile_lift", "null_keeping_ranks", "zero_fixed_ranks", "price_index",
-    "cumulative_gain", "many_cuts", "scenario_regret", "curve_minimax", "quadratic_optimum", "marginal_push",
-    "heterogeneous_ensembles", "selection_guard", "public_private_draws", "bootstrap_gain_difference", "rank_correlation",
-    "walk_forward_folds", "positive_leak_audit", "concept_drift_screen", "columns_to_drop", "ledger_append", "ledger_rollup",
-    "score_files", "guarded_export", "multiline_text_csv",
-)
 SQL = entry.oracle_sql()
-NAMES = tuple(SQL) if os.environ.get("PANELMILL_ALL_QUERIES") else SPREAD
 
 
 def _value(v):
@@ -36,7 +21,7 @@ def _rows(columns, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", SQL)
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     result = duck.execute(SQL[name])
@@ -46,8 +31,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_fits_a_model():
-    without = set(entry.queries()) - set(SQL)
-    assert all(entry.QUERIES[n].job.__module__.endswith("q_models") or n == "paired_signed_rank_p" for n in without)
+    without = set(entry.QUERIES) - set(SQL)
+    assert all(entry.QUERIES[n].job.__module__.endswith("q_models") for n in without)
 
 
 def test_entry_runs(spark):
