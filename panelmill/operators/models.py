@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.operators import targets as T
-from panelmill.operators.ranking import auc_from_values, capture_curve, ranking
+from panelmill.operators.ranking import auc_from_values, capture_curve, gain_at, ranking
 from panelmill.session import checkpoint
 
 E, P, L = K.ENTITY, K.PERIOD, K.LABEL
 Y, WEIGHT = T.Y, T.WEIGHT
 
-# Tree settings that are cheap enough to run many times; pass others for real fits.
+#: Tree settings of a quick fit. Every function that fits takes `params`; a real recipe passes its own rounds and depth.
 DEFAULTS: Mapping[str, object] = {"maxIter": 5, "maxDepth": 3, "maxBins": 32, "stepSize": 0.1, "subsamplingRate": 0.9}
 
 
@@ -123,32 +123,72 @@ def column_sets(table: DataFrame, share: float = 99.0, top_families: int = 10) -
 # --- canaries ---------------------------------------------------------------------------------
 
 def survivors(table: DataFrame, deviations: float | None = 4.0) -> DataFrame:
-    """Columns placed better than the noise: before median + d * sd of the canaries' positions.
+    """Columns placed before the noise: before median + d * sd of the noise columns' positions.
 
-    With `deviations=None` a column must beat the best canary. `table` has one row per column.
+    With `deviations=None` a column must come before the best noise column. `table` has one row per column.
     """
-    noise = F.col("feature").startswith("canarito")
+    noise = F.col("feature").startswith(T.NOISE)
     place = F.when(noise, F.col("pos"))
     limit = F.min(place) if deviations is None else F.median(place) + deviations * F.coalesce(F.stddev(place), F.lit(0.0))
     threshold = table.select(limit.alias("u")).scalar()
     return table.filter(~noise & (F.col("pos") < threshold)).select("feature", "pos", threshold.alias("umbral"))
 
 
-def prune(panel: DataFrame, columns: Sequence[str], prepared: Callable[[DataFrame], DataFrame], seeds: Sequence[int],
-          ratio: float = 0.2, deviations: float | None = 4.0, params: Mapping[str, object] = DEFAULTS) -> DataFrame:
-    """Votes per column over seeds: (feature, votos, sobrevive). One seed alone would pick noise."""
+#: Criteria of a pruning sweep: before the best noise column, or before the noise's median plus so many deviations.
+CRITERIA = (None, 0.0, 1.0, 2.0, 4.0)
+
+
+def noise_importances(panel: DataFrame, columns: Sequence[str], prepared: Callable[[DataFrame], DataFrame], seeds: Sequence[int],
+                      ratio: float = 0.2, params: Mapping[str, object] = DEFAULTS) -> DataFrame:
+    """(semilla, feature, gain, pos, ...): the importance table of one fit per seed, noise columns included.
+
+    The training rows are stored once; each seed adds its noise columns to them.
+    """
     spark = panel.sparkSession
+    train = checkpoint(prepared(panel))
 
     def one(seed: int) -> DataFrame:
-        noisy = T.with_canaries(panel, len(columns), seed, ratio)
-        every = [*columns, *[c for c in noisy.columns if c.startswith("canarito")]]
-        train = checkpoint(assembled(prepared(noisy), every, (E, P, Y, WEIGHT)))
-        table = importance_table(importances([fit(train, seed, params)], every, spark))
-        return survivors(table, deviations).select("feature")
+        noisy = T.with_canaries(train, len(columns), seed, ratio)
+        every = [*columns, *[c for c in noisy.columns if c.startswith(T.NOISE)]]
+        model = fit(assembled(noisy, every, (E, P, Y, WEIGHT)), seed, params)
+        return importance_table(importances([model], every, spark)).withColumn("semilla", F.lit(seed))
 
-    alive = reduce(DataFrame.unionByName, _together([lambda s=s: one(s) for s in seeds]))
+    return reduce(DataFrame.unionByName, _together([lambda s=s: one(s) for s in seeds]))
+
+
+def _criterion(deviations: float | None) -> str:
+    return "mejor" if deviations is None else f"{deviations:g} sd"
+
+
+def sweep(tables: DataFrame, criteria: Sequence[float | None] = CRITERIA) -> DataFrame:
+    """(semilla, criterio, vivas, base, derivadas, sin_uso) of every criterion, from one importance table per seed."""
+    noise = F.col("feature").startswith(T.NOISE)
+    place = F.when(noise, F.col("pos"))
+    limits = tables.groupBy(F.col("semilla").alias("_s")).agg(
+        F.min(place).alias("_best"), F.median(place).alias("_mid"), F.coalesce(F.stddev(place), F.lit(0.0)).alias("_sd")
+    )
+    threshold = lambda d: F.col("_best").cast("double") if d is None else F.col("_mid") + d * F.col("_sd")
+    marks = F.explode(F.array(*[F.struct(F.lit(_criterion(d)).alias("c"), threshold(d).alias("u")) for d in criteria]))
+    placed = tables.filter(~noise).join(limits, F.col("semilla") == F.col("_s")).withColumn("_m", marks)
+    alive, derived = F.col("pos") < F.col("_m.u"), F.col("feature").contains("__")
+    return placed.groupBy("semilla", F.col("_m.c").alias("criterio")).agg(
+        F.count_if(alive).alias("vivas"), F.count_if(alive & ~derived).alias("base"), F.count_if(alive & derived).alias("derivadas"),
+        F.count_if(F.col("gain") == 0).alias("sin_uso"), F.first("_m.u").alias("umbral"),
+    )
+
+
+def votes_of(tables: DataFrame, seeds: int, deviations: float | None = 4.0) -> DataFrame:
+    """(feature, votos, sobrevive) by the seeds in which a column comes before the noise; a majority keeps it."""
+    own = tables.select("semilla").distinct().collect()  # one row per fit
+    alive = reduce(DataFrame.unionByName, [survivors(tables.filter(F.col("semilla") == r[0]), deviations).select("feature") for r in own])
     votes = alive.groupBy("feature").agg(F.count(F.lit(1)).alias("votos"))
-    return votes.withColumn("sobrevive", F.col("votos") >= len(seeds) // 2 + 1)
+    return votes.withColumn("sobrevive", F.col("votos") >= seeds // 2 + 1)
+
+
+def prune(panel: DataFrame, columns: Sequence[str], prepared: Callable[[DataFrame], DataFrame], seeds: Sequence[int],
+          ratio: float = 0.2, deviations: float | None = 4.0, params: Mapping[str, object] = DEFAULTS) -> DataFrame:
+    """Votes per column over seeds. Which noise column does well differs by seed, so several fits decide."""
+    return votes_of(noise_importances(panel, columns, prepared, seeds, ratio, params), len(seeds), deviations)
 
 
 # --- designs ----------------------------------------------------------------------------------
@@ -174,9 +214,9 @@ def evaluate(data: DataFrame, folds: Sequence[T.Fold], seeds: Sequence[int], kin
 
 
 def gains_by_seed(scored: DataFrame, k: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Gain at the cut for every (fold, seed): the observations of a paired comparison."""
+    """Gain at the cut for every (fold, seed): the observations of a paired comparison. NULL below k rows."""
     group = [*extra, "fold", "semilla"]
-    return ranking(scored, group).filter(F.col("puesto") == k).select(*group, "ganancia")
+    return gain_at(ranking(scored, group), k, group).drop("envios")
 
 
 def ablation(data: DataFrame, columns: Sequence[str], sets: Mapping[str, Sequence[str]], folds: Sequence[T.Fold],
@@ -192,11 +232,11 @@ def ablation(data: DataFrame, columns: Sequence[str], sets: Mapping[str, Sequenc
 
 
 def search(data: DataFrame, candidates: Mapping[str, Mapping[str, object]], folds: Sequence[T.Fold], seeds: Sequence[int],
-           ) -> DataFrame:
-    """AUC of each candidate by fold and seed, out of time: (config, fold, semilla, auc)."""
+           params: Mapping[str, object] = DEFAULTS) -> DataFrame:
+    """AUC of each candidate by fold and seed, out of time: (config, fold, semilla, auc). Candidates change `params`."""
     data = checkpoint(data)
     parts = [
-        evaluate(data, folds, seeds, params={**DEFAULTS, **p}).withColumn("config", F.lit(name))
+        evaluate(data, folds, seeds, params={**params, **p}).withColumn("config", F.lit(name))
         for name, p in candidates.items()
     ]
     scored = reduce(DataFrame.unionByName, parts)
@@ -204,60 +244,72 @@ def search(data: DataFrame, candidates: Mapping[str, Mapping[str, object]], fold
 
 
 def revalidated(aucs: DataFrame, searched: Sequence[str], unseen: str) -> DataFrame:
-    """Mean AUC on the searched folds and on an unseen one, with both ranks of each candidate.
+    """Mean AUC on the searched folds and on an unseen one, both ranks of each candidate, and their rank correlation.
 
-    Folds are averaged by name, candidates are few.
+    Folds are averaged by name; one row per candidate.
     """
     means = aucs.groupBy("config").agg(
         F.avg(F.when(F.col("fold").isin(*searched), F.col("auc"))).alias("auc_busqueda"),
         F.avg(F.when(F.col("fold") == unseen, F.col("auc"))).alias("auc_futuro"),
     )
-    return means.withColumns({
+    ranked = means.withColumns({
         "puesto_busqueda": F.rank().over(Window.orderBy(F.desc("auc_busqueda"))),
         "puesto_futuro": F.rank().over(Window.orderBy(F.desc("auc_futuro"))),
     })
+    every = Window.partitionBy()
+    average = {c: F.col(c) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2 for c in ("puesto_busqueda", "puesto_futuro")}
+    return ranked.withColumns({f"_{c}": e for c, e in average.items()}).withColumn(
+        "rho", F.corr("_puesto_busqueda", "_puesto_futuro").over(every)
+    ).drop("_puesto_busqueda", "_puesto_futuro")
 
 
-def ageing(data: DataFrame, train: int, validations: Sequence[int], seeds: Sequence[int], start: int, stop: int, step: int) -> DataFrame:
+def ageing(data: DataFrame, train: int, validations: Sequence[int], seeds: Sequence[int], start: int, stop: int, step: int,
+           params: Mapping[str, object] = DEFAULTS) -> DataFrame:
     """Capture of models of one month at several distances, mean over seeds: (distancia, K, captura)."""
     folds = [T.Fold(str(v), (train,), v) for v in validations]
-    curves = capture_curve(ranking(evaluate(data, folds, seeds), ["fold", "semilla"]), start, stop, step, ["fold", "semilla"])
+    curves = capture_curve(ranking(evaluate(data, folds, seeds, params=params), ["fold", "semilla"]), start, stop, step, ["fold", "semilla"])
     distance = F.create_map(*[x for f in folds for x in (F.lit(f.name), F.lit(f.gap()))])
     return curves.groupBy(distance[F.col("fold")].alias("distancia"), "K").agg(F.avg("captura").alias("captura"))
 
 
-def month_quality(data: DataFrame, sets: Mapping[str, tuple[int, ...]], validation: int, seeds: Sequence[int], k: int) -> DataFrame:
-    """Gain and capture at a cut by set of training months: (meses, distancia, ganancia, captura)."""
+def month_quality(data: DataFrame, sets: Mapping[str, tuple[int, ...]], validation: int, seeds: Sequence[int], k: int,
+                  params: Mapping[str, object] = DEFAULTS) -> DataFrame:
+    """Gain and capture at a cut by set of training months: (meses, distancia, ganancia, captura), NULL below k rows."""
     folds = [T.Fold(name, months, validation) for name, months in sets.items()]
-    at = ranking(evaluate(data, folds, seeds), ["fold", "semilla"]).filter(F.col("puesto") == k)
+    ranked = ranking(evaluate(data, folds, seeds, params=params), ["fold", "semilla"])
+    here = {c: F.max(F.when(F.col("puesto") == k, F.col(c))).alias(c) for c in ("ganancia", "aciertos", "positivos")}
+    at = ranked.groupBy("fold", "semilla").agg(*here.values())
     distance = F.create_map(*[x for f in folds for x in (F.lit(f.name), F.lit(f.gap()))])
     return at.groupBy(F.col("fold").alias("meses"), distance[F.col("fold")].alias("distancia")).agg(
         F.avg("ganancia").alias("ganancia"), F.avg(F.col("aciertos") / F.col("positivos")).alias("captura")
     )
 
 
-def per_month_scores(data: DataFrame, months: Sequence[int], rows: DataFrame, seed: int) -> DataFrame:
+def per_month_scores(data: DataFrame, months: Sequence[int], rows: DataFrame, seed: int,
+                     params: Mapping[str, object] = DEFAULTS) -> DataFrame:
     """One model per training month: (entity, modelo = month, score)."""
     data = checkpoint(data)
-    models = _together([lambda m=m: fit(T.prepare(data, [m], "pesos", 0.25), seed) for m in months])
+    models = _together([lambda m=m: fit(T.prepare(data, [m], "pesos", 0.25), seed, params) for m in months])
     return reduce(
         DataFrame.unionByName, [score(m, rows).withColumn("modelo", F.lit(p)) for m, p in zip(models, months)]
     )
 
 
-def two_stage_scores(data: DataFrame, train: Sequence[int], rows: DataFrame, seed: int) -> DataFrame:
+def two_stage_scores(data: DataFrame, train: Sequence[int], rows: DataFrame, seed: int,
+                     params: Mapping[str, object] = DEFAULTS) -> DataFrame:
     """P(leaves) * P(in two | leaves), the second model fitted on leavers only."""
     staged = checkpoint(T.two_stage(data.filter(F.col(P).isin(*train))).withColumn(WEIGHT, F.lit(1.0)))
     first, second = _together([
-        lambda: fit(staged.withColumnRenamed("se_va", Y), seed),
-        lambda: fit(staged.filter("se_va = 1").withColumnRenamed("en_dos", Y), seed),
+        lambda: fit(staged.withColumnRenamed("se_va", Y), seed, params),
+        lambda: fit(staged.filter("se_va = 1").withColumnRenamed("en_dos", Y), seed, params),
     ])
     a = score(first, rows).withColumnRenamed("score", "p_se_va")
     b = score(second, rows).withColumnRenamed("score", "p_en_dos")
     return a.join(b, E).withColumn("score", F.col("p_se_va") * F.col("p_en_dos"))
 
 
-def adversarial(panel: DataFrame, columns: Sequence[str], train: Sequence[int], target: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def adversarial(panel: DataFrame, columns: Sequence[str], train: Sequence[int], target: int, seed: int,
+                params: Mapping[str, object] = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Can a model tell the target month from the training months? Returns (auc table, importance table).
 
     Whole entities are held out, so the model cannot recognise a customer.
@@ -267,12 +319,20 @@ def adversarial(panel: DataFrame, columns: Sequence[str], train: Sequence[int],
         Y: (F.col(P) == target).cast("int"), WEIGHT: F.lit(1.0)
     })
     data = checkpoint(assembled(split, columns, (E, P, Y, WEIGHT, "es_test")))
-    model = fit(data.filter(~F.col("es_test")), seed)
+    model = fit(data.filter(~F.col("es_test")), seed, params)
     scored = score(model, data.filter("es_test"), (Y,))
     auc = auc_from_values(scored.withColumn("prueba", F.lit("mes objetivo")), ["prueba"], "score", F.col(Y))
     return auc, importance_table(importances([model], columns, panel.sparkSession))
 
 
+def variants(panel: DataFrame, configs: Mapping[str, Mapping[str, object]], cuts: Sequence[int]) -> DataFrame:
+    """(config, modelo, envios, ganancia) of every configuration, seed and cut; NULL where a ranking is shorter."""
+    scored = [variant(panel, c).withColumn("config", F.lit(name)) for name, c in configs.items()]
+    ranked = ranking(reduce(DataFrame.unionByName, scored), ["config", "modelo"])
+    at = [F.struct(F.lit(k).cast("long").alias("envios"), F.max(F.when(F.col("puesto") == k, F.col("ganancia"))).alias("ganancia")) for k in cuts]
+    return ranked.groupBy("config", "modelo").agg(F.array(*at).alias("_at")).select("config", "modelo", F.inline("_at"))
+
+
 def variant(panel: DataFrame, config: Mapping[str, object]) -> DataFrame:
     """One configuration as one job: columns, target, months, seeds, settings -> scores of a month."""
     data = checkpoint(assembled(panel, config["columnas"]))

@@ -53,6 +53,8 @@ def _in_blocks(df: DataFrame, group: Sequence[str], first: Column, second: Colum
     `first` never decreases along the order (NULL last), `second` never along equal `first`; without it equal
     rows are spread by hash. Block 1 is odd if it holds a single value of `first` (or its NULLs), even otherwise.
     """
+    if not group:
+        return _in_blocks(df.withColumn("_whole", F.lit(0)), ["_whole"], first, second).drop("_whole")
     n = _blocks(df.sparkSession)
     shares = [i / n for i in range(1, n)]
     keyed = checkpoint(df).withColumns({"_first": first.cast("double"), "_second": (F.xxhash64(*df.columns) if second is None else second).cast("double")})
@@ -62,7 +64,7 @@ def _in_blocks(df: DataFrame, group: Sequence[str], first: Column, second: Colum
         F.percentile_approx("_second", shares, 20 * n).alias("_p2"),
         F.count(F.lit(1)).alias("_rows"), F.count("_first").alias("_known"),
     ).select(*[F.col(c).alias(f"_g_{c}") for c in group], "_p1", "_p2", "_rows", "_known")
-    split = keyed.join(broadcast_if_small(points, row_bytes=2 * n * _DOUBLE), same_group(group), "inner" if group else "cross")
+    split = keyed.join(broadcast_if_small(points, row_bytes=2 * n * _DOUBLE), same_group(group))
     p1, p2, x = F.coalesce("_p1", F.array().cast("array<double>")), F.coalesce("_p2", F.array().cast("array<double>")), F.col("_first")
     below = _below(p1, x, n)
     alone = x.isNull() | F.coalesce(F.get(p1, below) == x, F.lit(False))

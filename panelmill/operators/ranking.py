@@ -65,7 +65,9 @@ def cuts(ranked: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 
 def gain_at(ranked: DataFrame, k: int, group: Sequence[str] = ()) -> DataFrame:
-    return ranked.filter(F.col("puesto") == k).select(*group, F.col("puesto").alias("envios"), "ganancia")
+    """(group..., envios, ganancia) at cut k; NULL for a group with fewer than k rows."""
+    at = F.max(F.when(F.col("puesto") == k, F.col("ganancia")))
+    return ranked.groupBy(*group).agg(F.lit(k).cast("long").alias("envios"), at.alias("ganancia"))
 
 
 def cut_curve(ranked: DataFrame, start: int, stop: int, step: int, group: Sequence[str] = ()) -> DataFrame:

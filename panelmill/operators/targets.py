@@ -15,6 +15,8 @@ from panelmill.operators.ordered import row_numbers
 
 E, P, L = K.ENTITY, K.PERIOD, K.LABEL
 Y, WEIGHT = "clase_binaria", "peso"
+#: Prefix of the noise columns.
+NOISE = "ruido"
 
 
 def target(kind: str) -> Column:
@@ -169,4 +171,4 @@ def two_stage(panel: DataFrame) -> DataFrame:
 def with_canaries(panel: DataFrame, n_predictors: int, seed: int, ratio: float = 0.2) -> DataFrame:
     """Add noise columns, a fifth as many as there are predictors, reproducible from the keys."""
     n = max(1, int(n_predictors * ratio))
-    return panel.withColumns({f"canarito{i:04d}": uniform(E, P, seed + i) for i in range(n)})
+    return panel.withColumns({f"{NOISE}{i:04d}": uniform(E, P, seed + i) for i in range(n)})

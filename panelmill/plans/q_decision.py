@@ -47,7 +47,7 @@ def cumulative_gain(spark, folder):
     return _ranked(spark, folder).select(E, "modelo", "score", "puesto", "n", "ganancia", "aciertos", "positivos")
 
 
-@query("gain_at_cut", "DC2", _RANKED + " select modelo, puesto as envios, ganancia from ranked where puesto = 300")
+@query("gain_at_cut", "DC2", _RANKED + " select modelo, 300::bigint as envios, max(case when puesto = 300 then ganancia end) as ganancia from ranked group by 1")
 def gain_at_cut(spark, folder):
     return R.gain_at(_ranked(spark, folder), 300, ["modelo"])
 

@@ -1,4 +1,4 @@
-"""Queries that fit models. Their results depend on the learner, so they have no check SQL."""
+"""Queries that fit models. Their results depend on the learner: `q_model_facts` checks what does not."""
 
 from __future__ import annotations
 
@@ -19,11 +19,14 @@ SEEDS = K.SEEDS[:2]
 FOLDS = (T.Fold("A", (202103,), 202105), T.Fold("B", (202103, 202104), 202106))
 
 
-def _panel(spark, folder):
-    panel = labelled(spark, folder, COLUMNS)
+def _with_history(panel):
     return checkpoint(H.add(panel, H.lags(COLUMNS), H.deltas(COLUMNS)))
 
 
+def _panel(spark, folder):
+    return _with_history(labelled(spark, folder, COLUMNS))
+
+
 def _data(spark, folder, columns=WITH_HISTORY):
     return checkpoint(M.assembled(_panel(spark, folder), columns))
 
@@ -80,7 +83,7 @@ def importance_column_sets(spark, folder):
 
 @query("canary_pruning", "ML7 TG11 AG14")
 def canary_pruning(spark, folder):
-    return M.prune(_panel(spark, folder), WITH_HISTORY, _train, K.SEEDS[:3], deviations=0.0)
+    return M.prune(_panel(spark, folder), WITH_HISTORY, _train, K.SEEDS)
 
 
 @query("feature_set_ablation", "ML8 SR6")

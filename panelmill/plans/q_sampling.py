@@ -157,7 +157,7 @@ def two_stage_targets(spark, folder):
 
 @query(
     "canary_columns", "TG11",
-    labelled_sql(_X) + f" select *, {uniform_sql(E, P, '100')} as canarito0000, {uniform_sql(E, P, '101')} as canarito0001 from labelled",
+    labelled_sql(_X) + f" select *, {uniform_sql(E, P, '100')} as ruido0000, {uniform_sql(E, P, '101')} as ruido0001 from labelled",
 )
 def canary_columns(spark, folder):
     return T.with_canaries(_rows(spark, folder), n_predictors=10, seed=100)
