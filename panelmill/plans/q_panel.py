@@ -24,7 +24,7 @@ from panelmill.operators.label import (
     presence_grid,
 )
 from panelmill.plans.base import E, L, P, bank_periods, based, based_sql, labelled, labelled_sql
-from panelmill.plans.panels import MONTH_SQL, bank_panel, bank_sql, day_panel, DAY_SQL, month_panel
+from panelmill.plans.panels import BANK_MEASURES, MONTH_SQL, bank_panel, bank_sql, day_panel, DAY_SQL, month_panel
 from panelmill.plans.registry import query
 
 
@@ -175,7 +175,7 @@ def stock_entries_exits(spark, folder):
     return R.flows(bank_panel(spark, folder, ["ctrx_quarter"]).select(E, P))
 
 
-_NULLABLE = ["mpayroll", "mcaja_ahorro", "Visa_status", "Visa_Finiciomora", "Master_status", "mcomisiones", "ctrx_quarter"]
+_NULLABLE = list(BANK_MEASURES)
 
 
 @query(
@@ -189,16 +189,11 @@ def null_rates(spark, folder):
     return R.null_rates(bank_panel(spark, folder, _NULLABLE), _NULLABLE)
 
 
-_RATES = {
-    "depositos": "ccajas_depositos > 0",
-    "inicio_mora_cero": "Visa_Finiciomora = 0",
-    "dos_sueldos": "cpayroll_trx > 1",
-    "comision": "mcomisiones_mantenimiento > 0",
-    "mora": "Visa_delinquency > 0",
-    "transferencias": "ctransferencias_emitidas > 0",
-}
-_RATE_COLUMNS = ["ccajas_depositos", "Visa_Finiciomora", "cpayroll_trx", "mcomisiones_mantenimiento",
-                 "Visa_delinquency", "ctransferencias_emitidas"]
+#: Every counter above zero, and every status of a card.
+_COUNTERS = [c for c in BANK_MEASURES if c.startswith("c")]
+_STATUSES = [c for c in BANK_MEASURES if c.endswith("_status")]
+_RATES = {c: f"{c} > 0" for c in _COUNTERS} | {f"{c}_{v}": f"{c} = {v}" for c in _STATUSES for v in (0, 6, 7, 9)}
+_RATE_COLUMNS = _COUNTERS + _STATUSES
 _RATE_SQL = bank_sql(_RATE_COLUMNS) + ", tasas as (" + " union all ".join(
     f"select {P}, '{n}' as condicion, 100.0::double * cast(sum(case when {c} then 1 else 0 end) as double) / count(*) as tasa"
     " from panel group by 1" for n, c in _RATES.items()
