@@ -149,3 +149,14 @@ def test_cut_comes_from_the_name_or_the_fallback(spark):
 def test_config_signature_ignores_the_seed():
     a = G.config_signature({"seed": 1, "x": 2})
     assert a == G.config_signature({"x": 2, "seed": 9}) and a != G.config_signature({"x": 3}) and len(a) == 16
+
+
+def test_digest_tells_separators_nulls_and_names_apart(spark):
+    def digest(rows, names="a string, b string"):
+        return G.table_digest(spark.createDataFrame(rows, names)).first()
+
+    first = digest([("x|y", "z"), ("~", "q")])
+    assert first == digest([("~", "q"), ("x|y", "z")])
+    for other in ([("x", "y|z"), (None, "q")], [("x|y", "z"), ("null", "q")], [("x|y", "z"), (None, "q")], [("x|y;b=1:", "z"), ("~", "q")]):
+        assert digest(other) != first
+    assert digest([("x|y", "z"), ("~", "q")], "a string, c string") != first
