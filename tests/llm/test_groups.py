@@ -253,11 +253,11 @@ def test_benchmark_items_are_found_and_clean_documents_are_not(docs, benchmark):
 
 
 def test_paraphrase_needs_the_answer():
-    terms = {w: n for n, w in enumerate(sorted({f"t{i}" for i in range(30)} | {"yes", "no"}))}
+    terms = {w.encode(): n for n, w in enumerate(sorted({f"t{i}" for i in range(30)} | {"yes", "no"}))}
     item = decontaminate.Item.of(1, " ".join(f"t{i}" for i in range(30)) + ". yes no yes.", None)
     space = decontaminate.Space([item], terms, np.ones(len(terms)), np.eye(len(terms)))
     partly = " ".join(f"t{i}" if i % 3 else "x" for i in range(30))
-    assert item.answer == ("yes", "no", "yes")
+    assert item.answer == (b"yes", b"no", b"yes")
     assert space.matches([partly + " yes no yes"])[0][0][4] and space.matches([partly + " other words here"]) == [[]]
 
 
@@ -265,11 +265,19 @@ def test_latent_space_keeps_items_apart(docs, benchmark):
     table, items, pool = benchmark
     frame = docs(*[(i, " ".join(random.Random(i).choice(pool) for _ in range(300))) for i in range(40)])
     space = decontaminate.fit(frame.select("doc_id", "text"), [decontaminate.Item.of(i, t, None) for i, t in items])
-    found = space.placed(decontaminate.Passages([decontaminate.words_of(t) for _, t in items], space.terms, space.stop))
+    passages = decontaminate.Passages(decontaminate.numbers_of([t for _, t in items], space.terms), space.carries)
+    where, found = space.placed(passages, 1)
     cosines = found @ space.probes.T
-    assert (cosines.max(axis=1) > 0.999).all()
-    gram = (space.vectors / np.linalg.norm(space.vectors, axis=1, keepdims=True).clip(1e-9))
-    assert np.isfinite(gram).all()
+    assert (space.probe_item[cosines.argmax(axis=1)] == passages.text[where]).all() and (cosines.max(axis=1) > 0.999).all()
+
+
+def test_singular_vectors_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((500, 12)) @ rng.standard_normal((12, 60))
+    omega = rng.standard_normal((60, 20))
+    mine = decontaminate.singular_vectors(a.T @ (a @ omega), omega)[:, :12]
+    true = np.linalg.svd(a, full_matrices=False)[2][:12].T
+    assert np.allclose(np.linalg.svd(true.T @ mine)[1], 1, atol=1e-6)
 
 
 def test_decontamination_of_nothing(docs, benchmark):
