@@ -155,6 +155,29 @@ def test_fuzzy_lines_match_brute_force(docs, monkeypatch, part):
     assert sum(map(len, want.values())) > 60
 
 
+@pytest.mark.parametrize("words", [5, 10, 25])
+@pytest.mark.parametrize("typo", [False, True])
+def test_short_lines_with_one_word_in_ten_changed_are_found(docs, words, typo):
+    rng = random.Random(words)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(3_000)]
+    rows, similar = [], 0
+    for i in range(150):
+        line = rng.choices(vocabulary, k=words)
+        other = list(line)
+        for n in rng.sample(range(words), max(1, words // 10)):
+            other[n] = line[n][:1] + "q" + line[n][2:] if typo else rng.choice(vocabulary)
+        one, two = lines.normalised(" ".join(line)), lines.normalised(" ".join(other))
+        rows += [(i, " ".join(line)), (1_000 + i, " ".join(other))]
+        similar += one != two and lines.edit_similarity(one, two) >= lines.SIMILAR
+    got = {r.doc_id: r.removed for r in lines.removed_lines(docs(*rows)).collect()}
+    found = sum(got[1_000 + i] == [0] for i in range(150))
+    texts = dict(rows)
+    assert not any(
+        got[1_000 + i] and lines.edit_similarity(*(lines.normalised(texts[k + i]) for k in (0, 1_000))) < lines.SIMILAR for i in range(150)
+    )
+    assert similar > 40 and found >= 0.9 * similar
+
+
 def test_line_edge_cases(docs):
     twice = docs((5, "same line here\nsame line here\n#"), (5, "same line here\nsame line here\n#"))
     assert [(r.n_lines, r.removed) for r in lines.removed_lines(twice).collect()] == [(3, [1]), (3, [1])]
