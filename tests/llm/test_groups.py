@@ -284,6 +284,23 @@ def test_paraphrase_needs_the_answer():
     assert space.matches([partly + " yes no yes"])[0][0][4] and space.matches([partly + " other words here"]) == [[]]
 
 
+def test_paraphrases_without_their_rarest_words_are_found(docs):
+    rng = random.Random(21)
+    words = [f"w{i}x" for i in range(400)]  # the first are the most frequent
+    noise = lambda n: " ".join(rng.choices(words, [1 / (i + 10) for i in range(400)], k=n))
+    items = [decontaminate.Item.of(i, " ".join(rng.sample(words, 30)), "seven of nine") for i in range(12)]
+    rows, want = [(900 + i, noise(300)) for i in range(40)], set()
+    for item in items:
+        rarest = sorted(range(30), key=lambda n: -words.index(item.words[n].decode()))[:11]
+        kept = [f"other{n}" if n in rarest else w.decode() for n, w in enumerate(item.words)]
+        rows.append((item.item_id, noise(40) + " " + " ".join(kept) + " seven of nine " + noise(20)))
+        want.add((item.item_id, item.item_id))
+    frame = docs(*rows)
+    space = decontaminate.fit(frame.select("doc_id", "text"), items)
+    found = {(i, m[0]) for (i, _), own in zip(rows, space.matches([t for _, t in rows]), strict=True) for m in own}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 def test_latent_space_keeps_items_apart(docs, benchmark):
     table, items, pool = benchmark
     frame = docs(*[(i, " ".join(random.Random(i).choice(pool) for _ in range(300))) for i in range(40)])
