@@ -1,6 +1,7 @@
 """Licence scan: TF-IDF cosine of text segments to licence templates, then inheritance along directories.
 
-Segments of a document are its lines, the sentences of its lines, and the whole text. Vectors hold the templates' terms,
+Segments of a document are its lines, the sentences of its lines, runs of consecutive sentences and lines (so that a notice may be
+wrapped) of up to `RUN` words, and the whole text, which is compared with the full licence texts as well. Vectors hold the templates' terms,
 weighted by inverse document frequency over all documents; a word that no template has counts in the length of a
 segment's vector like a term of no document. A segment whose cosine with a template is at least `SIMILAR` states that
 licence. Only segments that hold a marker word are compared: the markers of a template are its rarest words, so many that
@@ -20,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +82,17 @@ TEMPLATES = {
 }
 
 
+#: Full licence texts, which a licence file holds.
+FULL = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-_TERMS = {w: i for i, w in enumerate(sorted({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)}))}
+_TERMS = {w: i for i, w in enumerate(sorted({w for texts in (*TEMPLATES.values(), FULL.values()) for t in texts for w in words_of(t)}))}
+#: Words of a run of sentences and lines: twice the longest notice.
+RUN = 2 * max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
 
 
 @dataclass(frozen=True)
@@ -113,6 +121,10 @@ class Scanner:
                     markers.add(w)
                     rest -= unit[w] ** 2
         self._markers = frozenset(markers)
+        self._full: list[tuple[str, dict[str, float]]] = []
+        for licence, text in sorted(FULL.items()):
+            vector, length = self._vector(words_of(text))
+            self._full.append((licence, {w: v / length for w, v in vector.items()}))
 
     def _vector(self, words: list[str]) -> tuple[dict[str, float], float]:
         counts = Counter(words)
@@ -120,6 +132,15 @@ class Scanner:
         others = sum((n * self._strange) ** 2 for w, n in counts.items() if w not in self._weights)
         return known, (sum(v * v for v in known.values()) + others) ** 0.5
 
+    def file(self, words: list[str]) -> Stated | None:
+        """The licence whose full text these words are."""
+        vector, length = self._vector(words)
+        if not vector:
+            return None
+        scores = [(sum(v * unit.get(w, 0.0) for w, v in vector.items()) / length, licence) for licence, unit in self._full]
+        top = max(s for s, _ in scores)
+        return Stated(min(name for s, name in scores if s == top), min(top, 1.0)) if top >= SIMILAR else None
+
     def best(self, words: list[str]) -> Stated | None:
         if self._markers.isdisjoint(words):
             return None
@@ -130,29 +151,39 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[Stated | None, bool]:
         """The licence that a text states best, and whether it is a licence file."""
-        lower = text.lower()
-        if not any(m in lower for m in self._markers):
+        every = words_of(text)
+        if full := self.file(every):
+            return full, True
+        if self._markers.isdisjoint(every):
             return None, False
-        found: list[tuple[int, Stated]] = []
-        total = 0
+        found: list[Stated] = []
+        units: list[list[str]] = []
+        states: list[bool] = []  # of each unit, whether it lies in a segment that states a licence
         for line in text.split("\n"):
-            words = words_of(line)
-            total += len(words)
-            if not words or self._markers.isdisjoint(words):
-                continue
-            if stated := self.best(words):
-                found.append((len(words), stated))
-                continue
-            for sentence in _SENTENCE.split(line):
-                own = words_of(sentence)
-                if own and (stated := self.best(own)):
-                    found.append((len(own), stated))
-        if whole := self.best(words_of(text)):
+            own = [w for w in map(words_of, _SENTENCE.split(line)) if w]
+            stated = self.best([w for words in own for w in words])
+            if stated:
+                found.append(stated)
+            units += own
+            states += [stated is not None] * len(own)
+        marked = [not self._markers.isdisjoint(u) for u in units]
+        for i in range(len(units)):
+            run: list[str] = []
+            any_marked = False
+            for j in range(i, len(units)):
+                run = run + units[j]
+                if j > i and len(run) > RUN:
+                    break
+                any_marked |= marked[j]
+                if any_marked and (stated := self.best(run)):
+                    found.append(stated)
+                    states[i : j + 1] = [True] * (j + 1 - i)
+        if whole := self.best(every):
             return whole, True
         if not found:
             return None, False
-        top = min((s for _, s in found), key=lambda s: (-s.similarity, s.licence))
-        return top, sum(n for n, _ in found) >= FILE * total
+        top = min(found, key=lambda s: (-s.similarity, s.licence))
+        return top, sum(len(u) for u, s in zip(units, states, strict=True) if s) >= FILE * len(every)
 
 
 def fit(texts: DataFrame) -> Scanner:

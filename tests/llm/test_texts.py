@@ -180,6 +180,25 @@ def test_licences_and_their_inheritance(spark):
     assert licenses.inherited(licenses.stated(frame.limit(0), F.col("path"))).count() == 0
 
 
+def test_wrapped_headers_and_full_licence_texts(spark):
+    notice = licenses.TEMPLATES["GPL-3.0"][2].split()
+    header = "\n".join(" * " + " ".join(notice[i : i + 11]) for i in range(0, len(notice), 11))
+    binary = licenses.TEMPLATES["BSD-3-Clause"][1].split()
+    wrapped = "# " + " ".join(binary[:12]) + "\n# " + " ".join(binary[12:])
+    body = "river stone bridge mill barley lantern\n" * 60
+    full = {n: t.replace("<year> <copyright holders>", "2021 Some Body") for n, t in licenses.FULL.items()}
+    assert len(full) == 6
+    rows = [(1, "a/x", "/* mill.c\n" + header + "\n */\n" + body), (2, "b/x", body + wrapped + "\n" + body)]
+    for i, (name, text) in enumerate(full.items()):
+        rows += [(10 + i, f"{name}/COPYING", text), (20 + i, f"{name}/src/deep/x", body)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in licenses.inherited(licenses.stated(frame, F.col("path"))).collect()}
+    want = {1: ("GPL-3.0", "header"), 2: ("BSD-3-Clause", "header")}
+    for i, name in enumerate(full):
+        want |= {10 + i: (name, "file"), 20 + i: (name, "inherited")}
+    assert got == want
+
+
 def test_markers_lose_no_segment():
     scanner = licenses.Scanner(np.linspace(1, 6, len(licenses._TERMS)), 7.0)
     rng = random.Random(5)
