@@ -30,6 +30,8 @@ SAMPLE, GRAMS = 1000, 6000
 #: Positions of the filters (a power of two) and hashes of a trigram.
 POSITIONS, HASHES = 1 << 18, 3
 FOLDS = 5
+#: Of each language, the quantile of the held-out scores and margins, and the shares of it that a text must reach to be kept.
+QUANTILE, SCORE_SHARE, MARGIN_SHARE = 0.01, 0.8, 0.5
 UNKNOWN = "und"
 _SLICE = 2 << 20
 _GAP = 32
@@ -108,15 +110,23 @@ class Filters:
         return np.maximum(corrected, 0), total, has
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        names, scores, _ = self.judge(texts)
+        return names, scores
+
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Per text: the language, its score, and by how much that is above the second language's."""
         if not self.languages or not texts:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         found, total, has = self.counts(texts)
         best = found.argmax(axis=1)
-        score = np.clip(found[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
+        shares = np.clip(found / np.maximum(total, 1)[:, None], 0, 1)
+        score = shares[np.arange(len(texts)), best]
+        shares[np.arange(len(texts)), best] = 0
+        margin = score - shares.max(axis=1)
         names = [
             (self.languages[b] if s > 0 else self.usual) if h else UNKNOWN for b, s, h in zip(best, score, has, strict=True)
         ]
-        return names, np.where(has, score, 0.0).tolist()
+        return names, np.where(has, score, 0.0).tolist(), np.where(has, margin, 0.0).tolist()
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -166,16 +176,51 @@ def predict(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: s
     return texts.mapInArrow(per_slice(label, _SLICE), "doc_id long, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, model: Filters, least: float = 0.1, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, whose text has letters and a language that explains at least this share of its trigrams."""
+def levels(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, tuple[float, float]]:
+    """The least score and margin of each language: shares of a low quantile over held-out documents that get their own label.
+
+    Of each label `SAMPLE` documents are expected, drawn by hash from those of fold 0, which `fit` does not learn from.
+    """
+    held = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("string").alias("lang")
+    ).filter(F.col("lang").isNotNull() & (remainder("doc_id") == 0))
+    rows = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per language
+    if not rows:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, SAMPLE / n))])
+    drawn = F.pmod(F.xxhash64(F.lit("level"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores, margins = shared.value.judge(batch.column("text").to_pylist())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("lang"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
+            ["lang", "found", "score", "margin"],
+        )
+
+    judged = held.filter(drawn).select("text", "lang").mapInArrow(per_slice(judge, _SLICE), "lang string, found string, score double, margin double")
+    low = judged.filter("lang = found").groupBy("lang").agg(*[F.percentile_approx(c, QUANTILE).alias(c) for c in ("score", "margin")])
+    return {r["lang"]: (SCORE_SHARE * r["score"], MARGIN_SHARE * r["margin"]) for r in low.collect()}
+
+
+def known_language(
+    docs: DataFrame, model: Filters, least: float = 0.1, text_col: str = "text", levels: dict[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """The rows, all columns, whose text has letters and a language that explains enough of its trigrams.
+
+    Enough is the score and the margin that `levels` gives for the language; `least`, and no margin, where it gives none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, levels or {}))
+
     @F.arrow_udf("boolean")
     def keep(texts: pa.Array) -> pa.Array:
+        own, level = shared.value
         out = []
         for piece in range(0, len(texts), 256):
-            names, scores = shared.value.predict(["" if t is None else t for t in texts.slice(piece, 256).to_pylist()])
-            out += [n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+            judged = own.judge(["" if t is None else t for t in texts.slice(piece, 256).to_pylist()])
+            for name, score, margin in zip(*judged, strict=True):
+                low, apart = level.get(name, (least, 0.0))
+                out.append(name != UNKNOWN and score >= low and margin >= apart)
         return pa.array(out, pa.bool_())
 
     return docs.filter(keep(F.col(text_col)))

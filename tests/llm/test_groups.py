@@ -351,6 +351,22 @@ def test_pipeline_stages_in_order(spark, tmp_path):
     assert sorted(last.collect()) == sorted(again.collect()) and last.count() == counts[4]
 
 
+def test_language_stage_drops_noise_and_unlearned_languages(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(200))
+    keyboard = " ".join("".join(rng.choice("asdfjklqwe") for _ in range(6)) for _ in range(200))
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem " * 5
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 5
+    turkish = "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler birbirlerine karşı " * 5
+    others = [(-1 - i, t, None, "src0", None) for i, t in enumerate((noise, keyboard, polish, finnish, turkish))]
+    mixed = docs.unionByName(spark.createDataFrame(others, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, mixed, data).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_pipeline_takes_empty_and_null_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for rows in ([], [(None, None, None, None, None)] * 3):
