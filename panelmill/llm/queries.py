@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm import bpe, decontaminate, exact, langid, licenses, lines, pii, sharding, simhash, substrings
@@ -51,12 +51,15 @@ def op2_merge_replay_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
+def invented_path(number: Column) -> Column:
+    hundreds = F.when(number % 1000 != 0, (F.floor(number / 100) % 10).cast("string"))  # concat_ws leaves out a null
+    return F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), hundreds, number.cast("string"))
+
+
 @query()
 def op3_licence_inheritance(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents have no paths: they lie in <source>/<thousands>/<hundreds>/<doc_id>."""
-    number = F.col("doc_id")
-    path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), (F.floor(number / 100) % 10).cast("string"), number.cast("string"))
-    return licenses.inherited(licenses.stated(table(spark, folder, "documents"), path))
+    """The documents have no paths: they lie in <source>/<thousands>/<hundreds>/<doc_id>, the first of a thousand in <source>/<thousands>."""
+    return licenses.inherited(licenses.stated(table(spark, folder, "documents"), invented_path(F.col("doc_id"))))
 
 
 @query()

@@ -199,6 +199,15 @@ def test_wrapped_headers_and_full_licence_texts(spark):
     assert got == want
 
 
+def test_registered_paths_cross_levels(spark):
+    from panelmill.llm.queries import invented_path
+
+    mit, body = "Released under the MIT License.", "river stone bridge mill barley lantern\n" * 30
+    frame = spark.createDataFrame([(3000, "src0", mit), (3456, "src0", body), (4456, "src0", body)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.path, r.how, r.licensed_dir) for r in licenses.inherited(licenses.stated(frame, invented_path(F.col("doc_id")))).collect()}
+    assert got == {3000: ("src0/3/3000", "file", None), 3456: ("src0/3/4/3456", "inherited", "src0/3"), 4456: ("src0/4/4/4456", "none", None)}
+
+
 def test_markers_lose_no_segment():
     scanner = licenses.Scanner(np.linspace(1, 6, len(licenses._TERMS)), 7.0)
     rng = random.Random(5)
