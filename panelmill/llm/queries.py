@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, decontaminate, exact, langid, licenses, lines, pii, sharding, simhash, substrings
+from panelmill.llm import bpe, collocations, decontaminate, exact, langid, licenses, lines, periodic, pii, sharding, simhash, substrings, tokencache
+from panelmill.sources.files import shared_folder
 from panelmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,65 @@ def op9_deobfuscated_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_vantage_tree_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query(r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), lists as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from lists where len(w) > 0
+), grams as (
+  select lang, w[i] as w1, case when i < len(w) then w[i + 1] end as w2, case when i + 1 < len(w) then w[i + 2] end as w3 from places
+), ones as (
+  select lang, w1, count(*) as f from grams group by all
+), twos as (
+  select lang, w1, w2, count(*) as f from grams where w2 is not null group by all having count(*) >= 10
+), threes as (
+  select lang, w1, w2, w3, count(*) as f from grams where w3 is not null group by all having count(*) >= 10
+), longer as (
+  select lang, w1, w2, max(f) as f
+  from (select lang, w1, w2, f from threes union all select lang, w2, w3, f from threes) group by all
+), cuts as (
+  select t.lang, concat_ws(' ', t.w1, t.w2) as phrase, t.f as a, 1 as k, l.f as l, r.f as r
+  from twos t join ones l on l.lang = t.lang and l.w1 = t.w1 join ones r on r.lang = t.lang and r.w1 = t.w2
+    left join longer m on m.lang = t.lang and m.w1 = t.w1 and m.w2 = t.w2
+  where 100 * coalesce(m.f, 0) < 50 * t.f
+  union all
+  select t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 1, l.f, r.f
+  from threes t join ones l on l.lang = t.lang and l.w1 = t.w1 join twos r on r.lang = t.lang and r.w1 = t.w2 and r.w2 = t.w3
+  union all
+  select t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 2, l.f, r.f
+  from threes t join twos l on l.lang = t.lang and l.w1 = t.w1 and l.w2 = t.w2 join ones r on r.lang = t.lang and r.w1 = t.w3
+), scored as (
+  select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from cuts
+), weakest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from weakest
+)
+select lang, rank, phrase, a, l, r, (select sum(f)::bigint from ones o where o.lang = ranked.lang) as n, score
+from ranked where rank <= 2000
+""")
+def op11_graph_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.phrases(table(spark, folder, "documents"), least=10, share=50, top=2_000).drop("path_words")
+
+
+@query()
+def op12_automaton_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.detect(table(spark, folder, "documents"), plant=True).drop("runs")
+
+
+#: The tokenizer whose counts are kept, the most tokens of a document that fits, and the setting that names a cache to go on with.
+COUNTED, LIMIT, CACHE_AT = public_tokenizers.path("word_bpe_49k.json"), 2048, "spark.panelmill.tokenCounts"
+
+
+@query()
+def op13_digest_cache_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """A session that names no cache gets a new one beside its checkpoints."""
+    cache = spark.conf.get(CACHE_AT, None) or shared_folder(spark, "token-counts")
+    counts = tokencache.counted(table(spark, folder, "documents"), tokencache.Tokenizer.of(COUNTED), cache)
+    return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
