@@ -6,11 +6,13 @@ piece: its last pair has no third word, its last word no second one. Shorter cou
 node's edges weigh together, plus the pieces that end there; a word as often as the pairs that begin with it, plus the pieces that end
 with it.
 
-Counting triples is the one large shuffle. Python folds equal triples of a slice of text and deals them by their node, so a node's edges
-meet, its flow is summed where they are, and only edges and flows of `least` or more go on: nothing rarer can be a phrase or part of one
-(a phrase's parts occur at least as often as itself). Rare flows are folded into their first word on the way. A node with very many
-different edges would fill one task: nodes with over 1 / HOT of the distinct triples of a bounded sample (at most HOT of them) are
-dealt by the edge as well, and their flows summed afterwards. The sample decides where rows are worked on, never what they are.
+Counting triples is the one large shuffle. Python folds equal triples of a slice of text, deals them into buckets by their first word,
+and hands on one compressed block for each bucket: its words once, and its triples as sorted numbers of them. A bucket's blocks meet in
+one task, which sums edges, flows of nodes and flows of words where they are and lets on only those of `least` or more: nothing rarer can
+be a phrase or part of one (a phrase's parts occur at least as often as itself). The number of buckets follows the bytes of text, so a
+bucket stays small. A word with very many different edges would fill its bucket: words, and nodes, with over 1 / HOT of the distinct
+triples of a bounded sample (so at most HOT of each) are dealt by the node and by the edge instead, and their flows summed afterwards.
+The sample decides where triples meet, never what they count.
 
 The frequent part is compacted: a node that all of one edge flows into and all of one edge flows out of, nothing beginning or ending
 there, is passed in one way only; chains of such nodes become one path of one weight (pointer doubling, the length of the longest path
@@ -26,28 +28,33 @@ are not read, whatever their names; very long texts are taken in one slice each;
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import per_slice, staged
+from panelmill.llm.common import slices, staged
 from panelmill.session import broadcast_if_small, checkpoint
 
-#: A node is hot beyond this part of a sample's distinct triples; parts that its edges are dealt to; documents of the sample (expected).
-HOT, PARTS, SAMPLE = 2_000, 64, 2_000
+#: A word or node is hot beyond this part of a sample's distinct triples; documents of the sample (expected).
+HOT, SAMPLE = 5_000, 4_000
+#: Bytes of text for each bucket.
+BUCKET = 16 << 20
 #: Parts that a language's phrases are ranked in first.
 RANKERS = 64
-_SLICE = 16 << 20
+_SLICE = 8 << 20
 #: A-Z become a-z, signs and line ends that cut pieces become line feeds, tabs spaces.
 _FOLD = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" "
 )
-_TRIPLES = "lang string, w1 string, w2 string, w3 string, c long"
+_COUNTS = "lang string, w1 string, w2 string, w3 string, c long"
 
 
 def _words(texts: list[str], known: defaultdict[bytes, int]) -> np.ndarray:
@@ -58,42 +65,142 @@ def _words(texts: list[str], known: defaultdict[bytes, int]) -> np.ndarray:
     return numbers[np.append(True, (numbers[1:] > 0) | (numbers[:-1] > 0))]
 
 
-def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and which of them each key is."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
-    fresh = np.append(True, keys[order][1:] != keys[order][:-1])
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(fresh) - 1
-    return keys[order][fresh], which
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(counts, starts)
 
 
-def triples(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, w1, w2, w3, c): the distinct triples of some texts; w3, or w2 and w3, null where a piece ends."""
-    by_lang: defaultdict[str, list[str]] = defaultdict(list)
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        by_lang[lang].append(text)
-    out = []
-    for lang, texts in by_lang.items():
+@dataclass(frozen=True)
+class Triples:
+    """Distinct triples of one language as numbers of `words` (0: the piece has ended), sorted, and their counts."""
+
+    words: list[bytes]
+    one: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def summed(cls, words: list[bytes], one: np.ndarray, two: np.ndarray, three: np.ndarray, counts: np.ndarray) -> Triples:
+        """Word numbers are below 2^31, so two of them fit a key; nodes are numbered before the third is added."""
+        width = max(len(words), 1)
+        nodes, node = np.unique(one * width + two, return_inverse=True)
+        keys, counts = _summed(node * width + three, counts)
+        at = nodes[keys // width]
+        return cls(words, at // width, at % width, keys % width, counts)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Triples:
         known: defaultdict[bytes, int] = defaultdict(count().__next__)
         known[b"\n"], known[b""]
         numbers = np.concatenate([_words(texts, known), [0, 0]])
         one, two = numbers[:-2], numbers[1:-1]
         three = np.where(two > 0, numbers[2:], 0)
         begins = one > 0
-        one, two, three = one[begins], two[begins], three[begins]
-        if not len(one):
-            continue
-        width = len(known)
-        nodes, node = _ranked(one * width + two)
-        keys, which = _ranked(node * width + three)
-        counts = np.bincount(which)
-        words = pa.array(list(known), pa.binary()).cast(pa.string())
-        first, second, third = nodes[keys // width] // width, nodes[keys // width] % width, keys % width
-        columns = [words.take(pa.array(w, mask=w == 0)) for w in (first, second, third)]
-        out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), *columns, pa.array(counts)], ["lang", "w1", "w2", "w3", "c"]))
-    if not out:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.string())] * 4 + [pa.array([], pa.int64())], ["lang", "w1", "w2", "w3", "c"])
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        return cls.summed(list(known), one[begins], two[begins], three[begins], np.ones(int(begins.sum()), np.int64))
+
+    def packed(self, some: np.ndarray) -> bytes:
+        """Some of the triples, and the words in them, compressed."""
+        columns = [self.one[some], self.two[some], self.three[some]]
+        used, numbers = np.unique(np.concatenate([[0], *columns]), return_inverse=True)
+        columns = [*np.split(numbers[1:], 3), self.count[some]]
+        columns[0] = np.diff(columns[0], prepend=0)
+        # bytes of equal weight side by side compress best
+        body = np.array(columns, "<i8").view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()
+        names = b"\n".join(self.words[u] for u in used[1:].tolist())
+        return zstandard.ZstdCompressor(level=3).compress(len(columns[0]).to_bytes(8, "little") + body + names)
+
+    @classmethod
+    def merged(cls, blocks: list[bytes]) -> Triples:
+        """The triples of several blocks, summed."""
+        known: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        parts = []
+        for block in blocks:
+            raw = zstandard.ZstdDecompressor().decompress(block)
+            n = int.from_bytes(raw[:8], "little")
+            columns = np.frombuffer(raw, np.uint8, 32 * n, 8).reshape(4, 8, n).transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+            names = raw[8 + 32 * n :].split(b"\n")
+            number = np.append(0, np.fromiter(map(known.__getitem__, names), np.int64, len(names)))
+            parts.append((number[np.cumsum(columns[0])], number[columns[1]], number[columns[2]], columns[3]))
+        return cls.summed([b"", *known], *(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ h >> np.uint64(32)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Where triples meet: the number of buckets, and the hot words and nodes by language."""
+
+    buckets: int
+    words: dict[str, list[bytes]]
+    nodes: dict[str, list[tuple[bytes, bytes]]]
+
+    def hot(self, lang: str, t: Triples) -> tuple[np.ndarray, np.ndarray]:
+        """Which triples begin with a hot word, and which with a hot node."""
+        words, nodes = self.words.get(lang, []), self.nodes.get(lang, [])
+        number = {w: i for i, w in enumerate(t.words)} if words or nodes else {}
+        own = np.zeros(len(t.words), bool)
+        own[[number[w] for w in words if w in number]] = True
+        keys = [number[a] * len(t.words) + number[b] for a, b in nodes if a in number and b in number]
+        return own[t.one], np.isin(t.one * len(t.words) + t.two, np.array(keys, np.int64))
+
+    def bucket(self, lang: str, t: Triples) -> np.ndarray:
+        hashes = np.fromiter((zlib.crc32(w) for w in t.words), np.uint64, len(t.words))
+        if t.words:
+            hashes[0] = 1
+        word, node = self.hot(lang, t)
+        h = _mixed(hashes[t.one], np.uint64(zlib.crc32(lang.encode())))
+        h = np.where(word | node, _mixed(h, hashes[t.two]), h)
+        h = np.where(node, _mixed(h, hashes[t.three]), h)
+        return (h % np.uint64(self.buckets)).astype(np.int32)
+
+
+def _by_lang(batch: pa.RecordBatch) -> dict[str, list[str]]:
+    out: defaultdict[str, list[str]] = defaultdict(list)
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        out[lang].append(text)
+    return out
+
+
+def _rows(lang: str, t: Triples, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """Triples as rows of words, null for number 0; columns left out are null."""
+    words = pa.array(t.words, pa.binary()).cast(pa.string())
+    taken = [words.take(pa.array(c, mask=c == 0)) for c in columns]
+    taken += [pa.nulls(len(counts), pa.string())] * (3 - len(taken))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *taken, pa.array(counts)], ["lang", "w1", "w2", "w3", "c"])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct triples of each slice, as rows."""
+    for batch in batches:
+        for piece in slices(batch, most=_SLICE):
+            for lang, texts in _by_lang(piece).items():
+                t = Triples.of(texts)
+                yield _rows(lang, t, [t.one, t.two, t.three], t.count)
+
+
+def _frequent(lang: str, t: Triples, deal: Deal, least: int) -> Iterator[pa.RecordBatch]:
+    """Edges, flows of nodes and flows of words of a bucket that may be frequent; the rest as one flow of the language."""
+    width = max(len(t.words), 1)
+    hot_word, hot_node = deal.hot(lang, t)
+    edge = (t.count >= least) & (t.three > 0)
+    yield _rows(lang, t, [t.one[edge], t.two[edge], t.three[edge]], t.count[edge])
+    nodes, flows = _summed(t.one * width + t.two, t.count)
+    partial = np.isin(nodes, np.unique((t.one * width + t.two)[hot_node]))
+    stay = ((flows >= least) | partial) & (nodes % width > 0)
+    yield _rows(lang, t, [nodes[stay] // width, nodes[stay] % width], flows[stay])
+    words, flows = _summed(t.one, t.count)
+    stay = (flows >= least) | np.isin(words, np.unique(t.one[hot_word | hot_node]))
+    yield _rows(lang, t, [words[stay]], flows[stay])
+    yield _rows(lang, t, [], np.array([flows[~stay].sum()], np.int64))
 
 
 @dataclass(frozen=True)
@@ -110,40 +217,54 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _hot_nodes(texts: DataFrame) -> DataFrame:
-    """(lang, w1, w2) of the nodes with most different edges in a sample of documents: at most HOT rows."""
-    rows = max(texts.count(), 1)
+def _deal(texts: DataFrame) -> Deal:
+    """Buckets by the bytes of text; hot words and nodes, at most HOT of each, by a sample of documents."""
+    rows, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0)
-    edges = some.mapInArrow(per_slice(triples, _SLICE), _TRIPLES).filter("w2 is not null").select("lang", "w1", "w2", "w3").distinct()
-    per_node = checkpoint(edges.groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("n")))
-    total = per_node.agg(F.sum("n")).first()[0] or 0
-    return per_node.filter(F.col("n") > max(total / HOT, 8)).select(*[F.col(c).alias(f"_{c}") for c in ("lang", "w1", "w2")])
+    edges = some.mapInArrow(_sampled, _COUNTS).select("lang", "w1", "w2", "w3").distinct()
+    nodes = checkpoint(edges.groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("n")))
+    often = F.col("n") > max((nodes.agg(F.sum("n")).first()[0] or 0) / HOT, 8)
+    words_of, nodes_of = defaultdict(list), defaultdict(list)
+    for r in nodes.groupBy("lang", "w1").agg(F.sum("n").alias("n")).filter(often).collect():
+        words_of[r["lang"]].append(r["w1"].encode())
+    for r in nodes.filter(often & F.col("w2").isNotNull()).collect():
+        nodes_of[r["lang"]].append((r["w1"].encode(), r["w2"].encode()))
+    shuffled = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Deal(max(2 * shuffled, -(-size // BUCKET)), dict(words_of), dict(nodes_of))
 
 
 def build(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> Graph:
-    """The graph of all texts, without edges and nodes that occur less than `least` times; words and totals count them."""
+    """The graph of all texts, without edges, nodes and words that occur less than `least` times; the totals count all words."""
     texts = _texts(docs, text_col, lang_col)
-    counted = texts.mapInArrow(per_slice(triples, _SLICE), _TRIPLES)
-    same = (F.col("lang") == F.col("_lang")) & (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))
-    part = F.when(F.col("_w1").isNotNull(), F.pmod(F.xxhash64("w3"), F.lit(PARTS)) + 1).otherwise(0).alias("part")
-    dealt = counted.join(F.broadcast(_hot_nodes(texts)), same, "left").select("lang", "w1", "w2", part, "w3", "c")
-    node = ["lang", "w1", "w2", "part"]
-    edges = dealt.repartition(*node).groupBy(*node, "w3").agg(F.sum("c").alias("c"))
-    often = F.when((F.col("c") >= least) & F.col("w3").isNotNull(), F.struct("w3", "c"))
-    flows = edges.groupBy(*node).agg(F.sum("c").alias("f"), F.collect_list(often).alias("out"))
-    # the flow of a node, of its first word only if it is rare, and the node's frequent edges
-    known = F.when((F.col("f") >= least) | (F.col("part") > 0), F.col("w2"))
-    flow = F.struct(known.alias("w2"), F.lit(None).cast("string").alias("w3"), F.col("f").alias("c"))
-    own = F.transform("out", lambda e: F.struct(F.col("w2").alias("w2"), e["w3"].alias("w3"), e["c"].alias("c")))
-    rows = flows.select("lang", "w1", F.explode(F.concat(F.array(flow), own)).alias("e")).select("lang", "w1", "e.*")
-    graph = staged(rows.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("c")))
-    whole = graph.filter("w3 is null")
-    words = checkpoint(whole.groupBy("lang", "w1").agg(F.sum("c").alias("f")))
+    shared = texts.sparkSession.sparkContext.broadcast(_deal(texts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, most=_SLICE):
+                for lang, own in _by_lang(piece).items():
+                    t = Triples.of(own)
+                    bucket = shared.value.bucket(lang, t)
+                    order = np.argsort(bucket, kind="stable")
+                    numbers, starts = np.unique(bucket[order], return_index=True)
+                    blocks = [t.packed(some) for some in np.split(order, starts[1:])] if len(numbers) else []
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(numbers, pa.int32()), pa.array([lang] * len(blocks), pa.string()), pa.array(blocks, pa.binary())],
+                        ["bucket", "lang", "block"],
+                    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("bucket", "lang", "block")), strict=True))
+        for (_, lang), own in groupby(rows, key=lambda r: r[:2]):  # they come sorted
+            yield from _frequent(lang, Triples.merged([block for _, _, block in own]), shared.value, least)
+
+    blocks = texts.mapInArrow(pack, "bucket int, lang string, block binary").repartition("bucket").sortWithinPartitions("bucket", "lang")
+    graph = staged(blocks.mapInArrow(merge, _COUNTS).groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("c")))
+    words = graph.filter("w2 is null")
     return Graph(
         graph.filter("w3 is not null"),
-        whole.filter((F.col("c") >= least) & F.col("w2").isNotNull()).select("lang", "w1", "w2", F.col("c").alias("f")),
-        words.filter(F.col("f") >= least),
-        words.groupBy("lang").agg(F.sum("f").alias("n")),
+        graph.filter((F.col("c") >= least) & F.col("w2").isNotNull() & F.col("w3").isNull()).select("lang", "w1", "w2", F.col("c").alias("f")),
+        words.filter((F.col("c") >= least) & F.col("w1").isNotNull()).select("lang", "w1", F.col("c").alias("f")),
+        words.groupBy("lang").agg(F.sum("c").alias("n")),
     )
 
 
