@@ -131,7 +131,7 @@ class Triples:
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (a ^ np.atleast_1d(b) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ h >> np.uint64(32)
 
 
