@@ -305,10 +305,11 @@ def test_latent_space_keeps_items_apart(docs, benchmark):
     table, items, pool = benchmark
     frame = docs(*[(i, " ".join(random.Random(i).choice(pool) for _ in range(300))) for i in range(40)])
     space = decontaminate.fit(frame.select("doc_id", "text"), [decontaminate.Item.of(i, t, None) for i, t in items])
-    passages = decontaminate.Passages(decontaminate.numbers_of([t for _, t in items], space.terms), space.carries)
-    where, found = space.placed(passages, 1)
+    cells = decontaminate.Cells(decontaminate.numbers_of([t for _, t in items], space.terms), len(space.terms))
+    pieces = list(space.placed(cells, 5))
+    where, found = (np.concatenate(c) for c in zip(*pieces, strict=True))
     cosines = found @ space.probes.T
-    assert (space.probe_item[cosines.argmax(axis=1)] == passages.text[where]).all() and (cosines.max(axis=1) > 0.999).all()
+    assert len(pieces) > 1 and (space.probe_item[cosines.argmax(axis=1)] == cells.text[where]).all() and (cosines.max(axis=1) > 0.999).all()
 
 
 def test_singular_vectors_are_those_of_the_matrix():
