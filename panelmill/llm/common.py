@@ -59,12 +59,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES)
         yield batch.slice(start)
 
 
-def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = BATCH_BYTES) -> Callable:
+def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = BATCH_BYTES, column: str = "text") -> Callable:
     """A function for mapInArrow that gives `work` pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, most=most):
+            for piece in slices(batch, column, most):
                 out = work(piece)
                 if out.num_rows:
                     yield out

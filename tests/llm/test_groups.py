@@ -118,14 +118,21 @@ def test_near_duplicates_of_nothing(docs):
 
 # --- lines ------------------------------------------------------------------------------------
 
+def _plain_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
 def _plain_lines(rows):
     """Removed lines by comparing all pairs."""
     seen = [(i, n, lines.normalised(line)) for i, t in rows for n, line in enumerate((t or "").split("\n")) if lines.normalised(line)]
     texts = sorted({k for _, _, k in seen})
-    marks = lines.simhashes(texts)
     parts = _components(range(len(texts)), [
-        (x, y) for x in range(len(texts)) for y in range(x)
-        if int(marks[x] ^ marks[y]).bit_count() <= lines.LINK and lines.edit_similarity(texts[x], texts[y]) >= lines.SIMILAR
+        (x, y) for x in range(len(texts)) for y in range(x) if _plain_similarity(texts[x], texts[y]) >= lines.SIMILAR
     ])
     part = {t: parts[i] for i, t in enumerate(texts)}
     first = {}
@@ -138,11 +145,11 @@ def _plain_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize("part", [1_000, 5])
-def test_fuzzy_lines_match_brute_force(docs, monkeypatch, part):
-    monkeypatch.setattr(lines, "PART", part)
+@pytest.mark.parametrize("few", [6, 2])
+def test_fuzzy_lines_match_brute_force(docs, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)  # 2: keys of three lines or more are searched by a tree
     rng = random.Random(4)
-    base = [" ".join(rng.choice(PROSE.split()) for _ in range(90)) for _ in range(4)]
+    base = [" ".join(rng.choice(PROSE.split()) for _ in range(30)) for _ in range(4)]
     rows = [(0, None), (1, ""), (2, "\n\n---\n"), (None, base[0]), (3, "Page 1 of 9\n" * 40), (4, "page 7 OF 3!")]
     for i in range(10, 40):
         words = rng.choice(base).split()
