@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
+from panelmill.operators import curves as C
 from panelmill.operators import ranking as R
 from panelmill.operators import resampling as S
 from panelmill.plans.base import E, P
@@ -22,7 +23,8 @@ from panelmill.plans.scores import (
 )
 from panelmill.session import checkpoint
 
-STEP, STOP = 25, 600
+#: Curves are shown at so many equal shares of their month; optima are searched at every place.
+PARTS = 40
 KS = (100, 200, 300, 400)
 SCENARIOS = (60, 120, 180, 240)
 _RANKED = scores_sql() + ranked_sql()
@@ -104,75 +106,81 @@ def canonical_order(spark, folder):
 
 # --- curves and cuts --------------------------------------------------------------------------
 
-_GRID = f"puesto between {STEP} and {STOP} and puesto % {STEP} = 0"
+_SHOWN = f"floor(puesto * {PARTS} / n) > floor((puesto - 1) * {PARTS} / n)"
 
 
-@query("cut_curve", "DC3", _RANKED + f" select modelo, puesto as envios, ganancia from ranked where {_GRID}")
+def _shown(spark, folder):
+    return C.display(_ranked(spark, folder), PARTS)
+
+
+@query("cut_curve", "DC3", _RANKED + f" select modelo, puesto as envios, ganancia from ranked where {_SHOWN}")
 def cut_curve(spark, folder):
-    return R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
+    return _shown(spark, folder).select("modelo", F.col("puesto").alias("envios"), "ganancia")
 
 
 @query(
     "best_cut_per_model", "ST4",
-    _RANKED + f""" select modelo, envios, ganancia from (select modelo, puesto as envios, ganancia,
-      row_number() over (partition by modelo order by ganancia desc, puesto) as o from ranked where {_GRID}) where o = 1""",
+    _RANKED + """ select modelo, puesto as envios, ganancia, n from (select *,
+      row_number() over (partition by modelo order by ganancia desc, puesto) as o from ranked) where o = 1""",
 )
 def best_cut_per_model(spark, folder):
-    return R.best_cut(R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"]), ["modelo"])
+    return C.best_cuts(scores(spark, folder), ["modelo"])
 
 
 @query(
     "gain_plateau", "DC4 AG13",
-    _RANKED + f""", m as (select puesto as envios, avg(ganancia) as media from ranked where {_GRID} group by 1),
-    a as (select min(envios) as desde, max(envios) as hasta from m
-      where media >= (select max(media) from m) * 0.9::double)
-    select desde, cast(greatest(least(round_even((desde + hasta) / 2 / {STEP}, 0) * {STEP}, 500), 50) as bigint) as centro, hasta from a""",
+    _RANKED + """, m as (select puesto as K, avg(ganancia) as media from ranked group by 1),
+    a as (select min(K) as desde, max(K) as hasta from m where media >= (select max(media) from m) * 0.9::double), t as (select max(n) as n from ranked)
+    select (select K from m order by media desc, K limit 1) as mejor, desde,
+      cast(greatest(least((desde + hasta) // 2, floor(n * 0.95::double)), floor(n * 0.05::double)) as bigint) as centro, hasta from a cross join t""",
 )
 def gain_plateau(spark, folder):
-    curves = R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
-    return R.plateau(curves, tolerance=0.9, rounding=STEP, lowest=50, highest=500)
+    means = C.mean_curve(_ranked(spark, folder), F.col("ganancia"), ["modelo"], "ganancia")
+    return C.plateau(means, tolerance=0.9, low=0.05, high=0.95)
 
 
-_CAPTURE = f"""caps as (select modelo, puesto as K, aciertos / positivos as captura from ranked where {_GRID}),
-  captura as (select K, avg(captura) as captura from caps group by 1)"""
+_CAPTURE = """caps as (select modelo, puesto as K, n, aciertos / positivos as captura from ranked),
+  captura as (select K, max(n) as n, avg(captura) as captura from caps group by 1)"""
+_SHOWN_K = _SHOWN.replace("puesto", "K")
 
 
-@query("capture_curve", "DC5", _RANKED + f", {_CAPTURE} select modelo, K, captura from caps")
+@query("capture_curve", "DC5", _RANKED + f" select modelo, puesto as K, aciertos / positivos as captura from ranked where {_SHOWN}")
 def capture_curve(spark, folder):
-    return R.capture_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
+    share = F.try_divide(F.col("aciertos"), F.col("positivos"))
+    return _shown(spark, folder).select("modelo", F.col("puesto").alias("K"), share.alias("captura"))
 
 
-def _mean_capture(spark, folder):
-    curves = R.capture_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
-    return curves.groupBy("K").agg(F.avg("captura").alias("captura"))
+def _losses(spark, folder):
+    captures = C.mean_curve(_ranked(spark, folder), F.try_divide(F.col("aciertos"), F.col("positivos")), ["modelo"], "captura")
+    return C.scenario_losses(captures, SCENARIOS)
 
 
 _EXPECTED = f""", {_CAPTURE},
-  esperada as (select prevalencia, K, captura * prevalencia * {K.GAIN_HIT} - (K - captura * prevalencia) * {K.COST_MISS} as ganancia
+  esperada as (select prevalencia, K, n, captura * prevalencia * {K.GAIN_HIT} - (K - captura * prevalencia) * {K.COST_MISS} as ganancia
     from captura cross join (select cast(unnest([{", ".join(map(str, SCENARIOS))}]) as double) as prevalencia)),
-  perdida as (select prevalencia, K, ganancia,
-    100.0::double * (max(ganancia) over (partition by prevalencia) - ganancia) / max(ganancia) over (partition by prevalencia) as regret_pct
-    from esperada),
-  resumen as (select K, max(regret_pct) as peor, avg(regret_pct) as medio from perdida group by 1)"""
+  mejores as (select prevalencia, max(ganancia) as mejor from esperada group by 1),
+  perdida as (select prevalencia, K, n, ganancia, 100.0::double * (mejor - ganancia) / mejor as regret_pct from esperada join mejores using (prevalencia)),
+  resumen as (select K, max(regret_pct) as peor, round(avg(regret_pct), 9) as medio from perdida group by 1)"""
 
 
-@query("expected_gain_scenarios", "DC6", _RANKED + _EXPECTED + " select prevalencia, K, round(ganancia, 2) as ganancia from esperada")
+@query("expected_gain_scenarios", "DC6", _RANKED + _EXPECTED + f" select prevalencia, K, round(ganancia, 2) as ganancia from esperada where {_SHOWN_K}")
 def expected_gain_scenarios(spark, folder):
-    return _round(R.expected_gain(_mean_capture(spark, folder), SCENARIOS), 2, "ganancia").drop("captura")
+    shown = _losses(spark, folder).filter(C.on_display(PARTS, "K"))
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(float(s)) for s in SCENARIOS]).alias("p"), "ganancias")).alias("e")
+    return _round(shown.select("K", each).select(F.col("e.p").alias("prevalencia"), "K", F.col("e.ganancias").alias("ganancia")), 2, "ganancia")
 
 
 @query(
     "scenario_regret", "DC7 AG12",
     _RANKED + _EXPECTED + " select K, " + ", ".join(
         f'round(max(case when prevalencia = {s} then regret_pct end), 6) as "p{s}"' for s in SCENARIOS)
-    + ", round(max(regret_pct), 6) as peor, round(avg(regret_pct), 6) as medio from perdida group by 1",
+    + f", round(max(regret_pct), 6) as peor, round(avg(regret_pct), 6) as medio from perdida where {_SHOWN_K} group by 1",
 )
 def scenario_regret(spark, folder):
-    loss = R.regret_on_grid(R.expected_gain(_mean_capture(spark, folder), SCENARIOS), ["prevalencia"])
-    wide = loss.groupBy("K").pivot("prevalencia", [float(s) for s in SCENARIOS]).agg(F.round(F.max("regret_pct"), 6))
-    wide = wide.withColumnsRenamed({str(float(s)): f"p{s}" for s in SCENARIOS})
-    summary = R.worst_and_mean(loss, "K", "regret_pct", losses_positive=True)
-    return wide.join(_round(summary, 6, "peor", "medio"), "K")
+    """Shown at shares of the month; the loss is against the best of all places."""
+    shown = _losses(spark, folder).filter(C.on_display(PARTS, "K"))
+    each = [F.round(F.get("perdidas", F.lit(i)), 6).alias(f"p{s}") for i, s in enumerate(SCENARIOS)]
+    return _round(shown.select("K", *each, "peor", "medio"), 6, "peor", "medio")
 
 
 @query(
@@ -181,22 +189,27 @@ def scenario_regret(spark, folder):
       (select K from resumen order by medio, K limit 1) as corte_esperado, round((select min(peor) from resumen), 6) as peor_en_minimax""",
 )
 def minimax_cut(spark, folder):
-    loss = R.regret_on_grid(R.expected_gain(_mean_capture(spark, folder), SCENARIOS), ["prevalencia"])
-    summary = R.worst_and_mean(loss, "K", "regret_pct", losses_positive=True)
-    return _round(R.minimax_cut(summary, "K", losses_positive=True), 6, "peor_en_minimax")
+    """Over every place; mean losses that agree to nine digits tie, as the order of their sum is free."""
+    losses = _round(_losses(spark, folder), 9, "medio")
+    return _round(C.minimax(losses, "K", losses_positive=True), 6, "peor_en_minimax")
 
 
 _CURVE_REGRET = f""",
-  curvas as (select {P}, puesto, ganancia, max(ganancia) over (partition by {P}) as mejor from ranked where modelo = 1),
-  r as (select {P}, puesto as envios, ganancia / mejor - 1 as regret from curvas where {_GRID}),
-  resumen as (select envios, min(regret) as peor, avg(regret) as medio from r group by 1)"""
+  curvas as (select {P}, puesto, n, ganancia, max(ganancia) over (partition by {P}) as mejor from ranked where modelo = 1),
+  r as (select {P}, puesto, n, ganancia / mejor - 1 as regret from curvas),
+  resumen as (select puesto as envios, min(regret) as peor, round(avg(regret), 9) as medio from r group by 1
+    having count(*) = (select count(distinct {P}) from r))"""
+
+
+def _period_losses(spark, folder):
+    return C.curve_losses(R.ranking(scores(spark, folder, True).filter("modelo = 1"), [P]), [P])
 
 
-@query("curve_regret", "DC7 DC8", _RANKED_ALL + _CURVE_REGRET + f" select {P}, envios, round(regret, 9) as regret from r")
+@query("curve_regret", "DC7 DC8", _RANKED_ALL + _CURVE_REGRET + f" select {P}, puesto as envios, round(regret, 9) as regret from r where {_SHOWN}")
 def curve_regret(spark, folder):
     """Scenarios are periods; the loss is relative to the best point of the whole curve."""
-    ranked = R.ranking(scores(spark, folder, True).filter("modelo = 1"), [P])
-    return _round(R.regret_on_curve(ranked, [P], STEP, STOP, STEP), 9, "regret")
+    shown = C.display(_period_losses(spark, folder), PARTS)
+    return _round(shown.select(P, F.col("puesto").alias("envios"), "regret"), 9, "regret")
 
 
 @query(
@@ -206,10 +219,13 @@ def curve_regret(spark, folder):
       round((select max(peor) from resumen), 9) as peor_en_minimax""",
 )
 def curve_minimax(spark, folder):
-    ranked = R.ranking(scores(spark, folder, True).filter("modelo = 1"), [P])
-    loss = R.regret_on_curve(ranked, [P], STEP, STOP, STEP)
-    summary = R.worst_and_mean(loss, "envios", "regret", losses_positive=False)
-    return _round(R.minimax_cut(summary, "envios", losses_positive=False), 9, "peor_en_minimax")
+    """Over every place that all periods have."""
+    losses = checkpoint(_period_losses(spark, folder).select(P, "puesto", "regret"))
+    periods = losses.select(F.countDistinct(P)).scalar()
+    summary = losses.groupBy(F.col("puesto").alias("envios")).agg(
+        F.min("regret").alias("peor"), F.round(F.avg("regret"), 9).alias("medio"), F.count(F.lit(1)).alias("_n")
+    ).filter(F.col("_n") == periods)
+    return _round(C.minimax(summary, "envios", losses_positive=False), 9, "peor_en_minimax")
 
 
 @query(
@@ -226,7 +242,7 @@ def marginal_hit_rate(spark, folder):
     "quadratic_optimum", "DC11",
     _RANKED + f""",
     pts as (select puesto as envios, avg(ganancia) as media, stddev(ganancia) / sqrt(count(*)) as error
-      from ranked where {_GRID} group by 1),
+      from ranked where {_SHOWN} group by 1),
     c as (select avg(envios) as c, greatest(max(envios) - min(envios), 1) as s from pts),
     u as (select (envios - c) / s as u, media as y, pow(1.0::double / error, 2) as w from pts cross join c where error > 0),
     q as (select sum(w) as s0, sum(w*u) as s1, sum(w*u*u) as s2, sum(w*u*u*u) as s3, sum(w*u*u*u*u) as s4,
@@ -236,21 +252,28 @@ def marginal_hit_rate(spark, folder):
     select round(c + s * (-b / (2 * a)), 3) as vertice, a < 0 as es_maximo from k cross join c""",
 )
 def quadratic_optimum(spark, folder):
-    curves = R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
+    curves = _shown(spark, folder).withColumnRenamed("puesto", "envios")
     points = R.seed_statistics(curves, ["envios"], "ganancia")
     return _round(R.quadratic_vertex(points, "envios", "media", "error"), 3, "vertice")
 
 
+_AROUND = (-30, -20, -10, 0, 10, 20, 30)
+
+
 @query(
     "cost_around_optimum", "DC12",
-    _RANKED + f""", c as (select modelo, puesto as envios, ganancia from ranked where {_GRID}),
-    b as (select modelo, arg_max(envios, ganancia * 100000 - envios) as optimo, max(ganancia) as mejor from c group by 1)
-    select c.modelo, optimo, cast(o.d as int) as desvio, ganancia - mejor as diferencia from c join b using (modelo)
-    cross join (select unnest([-75, -50, -25, 0, 25, 50, 75]) as d) o where envios = optimo + o.d""",
+    _RANKED + f""", b as (select modelo, arg_max(puesto, ganancia * 100000 - puesto) as optimo, max(ganancia) as mejor from ranked group by 1)
+    select r.modelo, optimo, cast(o.d as int) as milesimas, puesto as envios, ganancia - mejor as diferencia from ranked r join b using (modelo)
+    cross join (select unnest({list(_AROUND)}) as d) o where puesto = optimo + floor(o.d * n / 1000)""",
 )
 def cost_around_optimum(spark, folder):
-    curve = R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
-    return R.around_optimum(curve, (-75, -50, -25, 0, 25, 50, 75), ["modelo"])
+    """What cutting some thousandths of the month before or after the best of all places costs."""
+    ranked = _ranked(spark, folder)
+    best = C.best_cuts(scores(spark, folder), ["modelo"]).select("modelo", F.col("envios").alias("optimo"), F.col("ganancia").alias("mejor"), "n")
+    offsets = F.explode(F.array(*[F.lit(d) for d in _AROUND]))
+    marks = best.withColumn("milesimas", offsets).withColumn("puesto", F.col("optimo") + F.floor(F.col("milesimas") * F.col("n") / 1000))
+    near = ranked.select("modelo", "puesto", "ganancia").join(F.broadcast(marks.drop("n")), ["modelo", "puesto"])
+    return near.select("modelo", "optimo", "milesimas", F.col("puesto").alias("envios"), (F.col("ganancia") - F.col("mejor")).alias("diferencia"))
 
 
 @query(
@@ -286,26 +309,26 @@ def votes_across_lists(spark, folder):
 
 @query(
     "seed_statistics", "AG13 SR7",
-    _RANKED + f""", o as (select puesto as envios, modelo, ganancia from ranked where {_GRID})
+    _RANKED + f""", o as (select puesto as envios, modelo, ganancia from ranked where {_SHOWN})
     select envios, avg(ganancia) as media, round(stddev_pop(ganancia), 4) as sd_poblacion, round(stddev(ganancia), 4) as sd_muestra,
       round(stddev(ganancia) / sqrt(count(*)), 4) as error, count(*) as n from o group by 1""",
 )
 def seed_statistics(spark, folder):
-    curves = R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
+    curves = _shown(spark, folder).withColumnRenamed("puesto", "envios")
     stats = R.seed_statistics(curves, ["envios"], "ganancia")
     return _round(stats, 4, "sd_poblacion", "sd_muestra", "error")
 
 
 @query(
     "first_seeds_against_all", "SR7",
-    _RANKED + f""", o as (select modelo, puesto as envios, ganancia from ranked where {_GRID})
+    _RANKED + f""", o as (select modelo, puesto as envios, ganancia from ranked where {_SHOWN})
     select envios, avg(case when modelo <= 2 then ganancia end) as media_primeras, avg(ganancia) as media_todas,
       round((avg(case when modelo <= 2 then ganancia end) - avg(ganancia)) / nullif(stddev(ganancia) / sqrt(count(*)), 0), 6) as z
     from o group by 1""",
 )
 def first_seeds_against_all(spark, folder):
     """Do the first seeds look better than all of them? z is in standard errors of the whole."""
-    curves = R.cut_curve(_ranked(spark, folder), STEP, STOP, STEP, ["modelo"])
+    curves = _shown(spark, folder).withColumnRenamed("puesto", "envios")
     first, all_ = F.avg(F.when(F.col("modelo") <= 2, F.col("ganancia"))), F.avg("ganancia")
     error = F.stddev("ganancia") / F.sqrt(F.count(F.lit(1)).cast("double"))
     return curves.groupBy("envios").agg(
@@ -491,18 +514,16 @@ def paired_draw_differences(spark, folder):
 
 @query(
     "argmax_bias", "SR3",
-    _RANKED + f""", s as (select r.rep, cast(ceil(puesto / {STEP}) * {STEP} as bigint) as K,
+    _RANKED + f""", s as (select r.rep, puesto as K,
       case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end as g, {uniform_sql(E, 'rep')} < 0.25 as pub
-      from ranked cross join (select cast(unnest(range(1, {REPS} + 1)) as int) as rep) r where modelo = 1 and puesto <= {STOP}),
-    b as (select rep, K, sum(case when pub then g else 0 end) as pub, sum(g) as todo from s group by 1, 2),
-    c as (select rep, K, sum(pub) over w as pub, sum(todo) over w as todo from b window w as (partition by rep order by K)),
+      from ranked cross join (select cast(unnest(range(1, {REPS} + 1)) as int) as rep) r where modelo = 1),
+    c as (select rep, K, sum(case when pub then g else 0 end) over w as pub, sum(g) over w as todo from s window w as (partition by rep order by K)),
     o as (select *, row_number() over (partition by rep order by pub desc, K) as o1, row_number() over (partition by rep order by todo desc, K) as o2 from c)
     select rep, max(case when o1 = 1 then K end) as k_publico, max(case when o1 = 1 then todo - pub end)::bigint as privado_en_argmax,
       max(case when o2 = 1 then K end) as k_real from o group by 1""",
 )
 def argmax_bias(spark, folder):
-    ranked = R.ranking(scores(spark, folder).filter("modelo = 1"))
-    return S.argmax_bias(ranked, STEP, STOP, REPS)
+    return C.draw_optima(R.ranking(scores(spark, folder).filter("modelo = 1")), REPS)
 
 
 _POISSON = "(" + " + ".join(

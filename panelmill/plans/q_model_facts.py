@@ -147,13 +147,6 @@ def canary_pruning_facts(spark, folder):
 _CRITERIA = [M._criterion(d) for d in M.CRITERIA]
 
 
-@query("pruning_sweep", "ML7 TG11")
-def pruning_sweep(spark, folder):
-    """Columns alive under each criterion, from one fit per seed."""
-    tables = checkpoint(M.noise_importances(Q._panel(spark, folder), Q.WITH_HISTORY, Q._train, K.SEEDS[:2]))
-    return M.sweep(tables)
-
-
 @query(
     "pruning_sweep_facts", "ML7",
     f"select cast(unnest([{', '.join(map(str, K.SEEDS[:2]))}]) as int) as semilla, {len(_CRITERIA)}::bigint as criterios, true as suma, true as crece",

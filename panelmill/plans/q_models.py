@@ -92,6 +92,12 @@ def feature_set_ablation(spark, folder):
     return M.ablation(_data(spark, folder), WITH_HISTORY, sets, FOLDS, SEEDS, k=300)
 
 
+@query("pruning_sweep", "ML7 TG11")
+def pruning_sweep(spark, folder):
+    """Columns alive under each criterion, from one fit per seed."""
+    return M.sweep(checkpoint(M.noise_importances(_panel(spark, folder), WITH_HISTORY, _train, K.SEEDS[:2])))
+
+
 @query("adversarial_auc", "ML13 TG8")
 def adversarial_auc(spark, folder):
     return M.adversarial(_panel(spark, folder), COLUMNS, (202103, 202104), 202109, SEEDS[0])[0]
