@@ -7,8 +7,12 @@ window inside each block does the rest. A value that fills many quantiles has bl
 the second sort key (or, for ranks, by a hash), and so do nulls: a value that a third of the rows share is
 spread like any other. Groups compare null-safe: rows whose group is NULL form a group.
 
-The input is checkpointed once, because split points, block table and windows all read it. Rows are then shuffled
-once, by the struct of their group and block: windows, block sums and the join of the two use that one key.
+The input is checkpointed once, because split points, block table and windows all read it. Rows are then
+shuffled once, by the struct of their group and block: windows, block sums and the join of the two use that one key.
+
+Split points are always broadcast, so no row is ever shuffled by its group alone. They are bounded by `SPLIT_BYTES`: with more groups,
+each has fewer of them, as the groups then spread the work themselves. Beyond one split point a group, where even that would pass the
+bound, a group is a single block: there are then over SPLIT_BYTES / 32 of them.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.session import broadcast_if_small, checkpoint
+from panelmill.session import checkpoint
 
 _KEY, _ONE, _TWO = "_key", "_block_1", "_block_2"
-#: Doubles in one row of split points, by which a broadcast of the split points is sized.
-_DOUBLE = 8
+#: Most bytes of all split points, which are broadcast.
+SPLIT_BYTES = 32 << 20
 
 
 def same_group(group: Sequence[str], prefix: str = "_g_") -> Column:
@@ -36,6 +40,16 @@ def _blocks(spark) -> int:
     return max(2, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _fitting(points: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The split points of all groups thinned out until they fit SPLIT_BYTES, and how many blocks that leaves a group."""
+    small = checkpoint(points)
+    step = -(-small.count() * 2 * n * 8 // SPLIT_BYTES)
+    if step <= 1:
+        return small, n
+    thin = lambda c: F.filter(c, lambda x, i: i % step == step - 1)
+    return small.withColumns({"_p1": thin(F.col("_p1")), "_p2": thin(F.col("_p2"))}), (n - 1) // step + 1
+
+
 def _below(points: Column, x: Column, steps: int) -> Column:
     """How many of the ascending points are less than x, by halving steps."""
     widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps.bit_length()))])
@@ -64,7 +78,10 @@ def _in_blocks(df: DataFrame, group: Sequence[str], first: Column, second: Colum
         F.percentile_approx("_second", shares, 20 * n).alias("_p2"),
         F.count(F.lit(1)).alias("_rows"), F.count("_first").alias("_known"),
     ).select(*[F.col(c).alias(f"_g_{c}") for c in group], "_p1", "_p2", "_rows", "_known")
-    split = keyed.join(broadcast_if_small(points, row_bytes=2 * n * _DOUBLE), same_group(group))
+    points, n = _fitting(points, n)
+    if n == 1:  # a block each: nothing to look up
+        return keyed.withColumn(_KEY, F.struct(*group, F.col("_first").isNull().cast("int").alias(_ONE), F.lit(0).alias(_TWO))).select(*df.columns, _KEY)
+    split = keyed.join(F.broadcast(points), same_group(group))
     p1, p2, x = F.coalesce("_p1", F.array().cast("array<double>")), F.coalesce("_p2", F.array().cast("array<double>")), F.col("_first")
     below = _below(p1, x, n)
     alone = x.isNull() | F.coalesce(F.get(p1, below) == x, F.lit(False))

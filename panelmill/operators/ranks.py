@@ -1,26 +1,29 @@
 """Ranks within a period and deflators, for many columns at once.
 
-The columns are turned into long form and ranked in place, block by block: see `ordered`. Neither a period
-nor a frequent value is ever handled by one task alone, and the path is the same at every size.
+Values that many rows share, and NULLs, stay where they are: their ranks follow from counts, which are folded map-side and come back as one
+broadcast row per period. Only the other cells are turned into long form, shuffled and ranked, block by block (see `ordered`), and
+pivoted back. Neither a period nor a frequent value is ever handled by one task alone, and the path is the same at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.functions.scalars import safe_ratio
 from panelmill.operators.ordered import (
+    RANK_FUNCTIONS,
+    _below,
     group_quantiles,
     ntile_of,
     row_numbers,
     unpivot,
     with_value_ranks,
 )
-from panelmill.session import broadcast_if_small
+from panelmill.session import broadcast_if_small, checkpoint
 
 E, P = K.ENTITY, K.PERIOD
 
@@ -46,6 +49,85 @@ def _widen(long: DataFrame, features: Sequence[str], values: Mapping[str, str])
     )
 
 
+#: Equal parts that a column's period is cut into, at least; a value that fills two of the points between them is frequent.
+PARTS = 64
+#: Most bytes of the points and counts of all columns and periods, which are broadcast: with more of them, there are fewer parts.
+FACTS_BYTES = 32 << 20
+
+
+def _by_column(columns: Sequence[str], prefix: str) -> dict[str, str]:
+    """A name for each column that is free of the column's own."""
+    return {c: f"_{prefix}_{i}" for i, c in enumerate(columns)}
+
+
+def _points(panel: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """One row per period with the points between equal parts of each column, found in wide form: no cell is shuffled for them.
+
+    As many parts as the session shuffles into, so that one of a large period fits a task; thinned out until points and counts of all fit.
+    """
+    names = _by_column(columns, "p")
+    parts = max(PARTS, min(1000, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shares = [i / parts for i in range(1, parts)]
+    known = {n: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c, n in names.items()}
+    points = panel.groupBy(F.col(P).alias("_period")).agg(*[F.percentile_approx(x, shares, 20 * parts).alias(n) for n, x in known.items()])
+    points = checkpoint(points.select("_period", *[F.coalesce(n, F.array().cast("array<double>")).alias(n) for n in names.values()]))
+    step = max(1, -(-points.count() * len(columns) * parts * 40 // FACTS_BYTES))
+    if step > 1:
+        points = points.withColumns({n: F.filter(n, lambda _, i: i % step == step - 1) for n in names.values()})
+    return F.broadcast(points), parts
+
+
+def coded(panel: DataFrame, columns: Sequence[str], points: DataFrame, parts: int) -> DataFrame:
+    """The panel with a code for each column that never decreases along its values in a period.
+
+    With b of the period's points below a value, its code is 2 b, or 2 b + 1 if it is frequent; NULL has -1.
+    """
+    names, codes = _by_column(columns, "p"), _by_column(columns, "k")
+    number = lambda c: F.col(c).cast("double")
+
+    def code(c: str) -> Column:
+        own = F.col(names[c])
+        below = _below(own, number(c), parts)
+        frequent = (F.get(own, below) == number(c)) & (F.get(own, below + 1) == number(c))
+        return F.when(number(c).isNull(), -1).otherwise(2 * below + F.coalesce(frequent, F.lit(False)).cast("int"))
+
+    joined = panel.join(points, F.col(P).eqNullSafe(F.col("_period")))
+    return joined.select(*panel.columns, *[code(c).alias(codes[c]) for c in columns])
+
+
+def _cells(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(keep..., feature, value, code) of each cell."""
+    codes = _by_column(columns, "k")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(codes[c]).alias("code")) for c in columns])
+    return rows.select(*keep, F.explode(cells).alias("_cell")).select(*keep, "_cell.*")
+
+
+def _facts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per period: of each column struct(n, nulls, less, rows), two arrays by code: cells of smaller codes, and cells of that code.
+
+    Cells are counted by code, folded map-side; only counts are shuffled.
+    """
+    counts = _cells(rows, columns, [P]).groupBy(P, "feature", "code").agg(F.count(F.lit(1)).alias("rows"))
+    one = Window.partitionBy(P, "feature")
+    below = F.sum(F.when(F.col("code") >= 0, F.col("rows"))).over(one.orderBy("code").rowsBetween(Window.unboundedPreceding, -1))
+    by_code = counts.withColumn("less", F.coalesce(below, F.lit(0))).groupBy(P, "feature").agg(
+        F.sum("rows").alias("n"), F.max("code").alias("top"), F.map_from_entries(F.collect_list(F.struct("code", F.struct("less", "rows")))).alias("m")
+    )
+    at = lambda code, field: F.try_element_at("m", code).getField(field)
+    places = F.sequence(F.lit(0), F.greatest("top", F.lit(0)))
+    facts = by_code.select(P, "feature", F.struct(
+        "n", F.coalesce(at(F.lit(-1), "rows"), F.lit(0)).alias("nulls"),
+        F.transform(places, lambda i: at(i, "less")).alias("less"), F.transform(places, lambda i: at(i, "rows")).alias("rows"),
+    ).alias("f"))
+    wide = facts.groupBy(F.col(P).alias("_period")).pivot("feature", list(columns)).agg(F.first("f"))
+    return wide.select("_period", *[F.col(f"`{c}`").alias(n) for c, n in _by_column(columns, "f").items()])
+
+
+def rare_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(entity, period, feature, value, code) of the cells that are neither NULL nor frequent: all that is shuffled to be ranked."""
+    return _cells(rows, columns, [E, P]).filter((F.col("code") >= 0) & (F.col("code") % 2 == 0))
+
+
 def period_ranks(
     panel: DataFrame,
     columns: Sequence[str],
@@ -59,6 +141,38 @@ def period_ranks(
     they still count in the number of rows. With `replace`, the rank takes the column's place.
     """
     name = "{}" if replace else "{}__{}"
+    if "dense_rank" in functions:  # counts the distinct values below, so every value has to meet its like
+        return _dense_ranks(panel, columns, functions, nulls, replace, name)
+    rows = checkpoint(coded(panel, columns, *_points(panel, columns)))  # counts, rare cells and the result all read it
+    codes, facts = (_by_column(columns, p) for p in ("k", "f"))
+    part = Window.partitionBy(P, "feature", "code")
+    # longs, which are folded by hash; ties only where a function asks for them
+    local = {"less": F.rank().over(part.orderBy("value")).cast("long") - 1}
+    if set(functions) - {"percent_rank", "rank"}:
+        local["ties"] = F.count(F.lit(1)).over(Window.partitionBy(P, "feature", "code", "value"))
+    rare = _widen(rare_cells(rows, columns).withColumns({f"_{v}": e for v, e in local.items()}), columns, {f"_{v}": "{}" + f"_{v}" for v in local})
+    places = {v: _by_column(columns, v) for v in local}
+    rare = rare.select(F.col(E).alias("_entity"), F.col(P).alias("_month"), *[F.col(f"`{c}_{v}`").alias(n) for v, names in places.items() for c, n in names.items()])
+    joined = rows.join(F.broadcast(checkpoint(_facts(rows, columns))), F.col(P).eqNullSafe(F.col("_period"))).join(
+        rare, F.col(E).eqNullSafe(F.col("_entity")) & F.col(P).eqNullSafe(F.col("_month")), "left"
+    )
+
+    def placed(c: str) -> Column:
+        code, f = F.col(codes[c]), F.col(facts[c])
+        own = {v: F.col(names[c]) for v, names in places.items()}
+        null, frequent = code < 0, code % 2 == 1
+        less = F.when(null, f["n"] - f["nulls"]).otherwise(F.get(f["less"], code) + F.when(frequent, 0).otherwise(own["less"]))
+        ties = F.when(null, f["nulls"]).when(frequent, F.get(f["rows"], code)).otherwise(own.get("ties", F.lit(None).cast("long")))
+        return F.struct(less.cast("long").alias("less"), ties.alias("ties"), f["n"].alias("n"), F.lit(None).cast("long").alias("level"))
+
+    filled = joined.withColumns({f"_at_{i}": placed(c) for i, c in enumerate(columns)})
+    kept = [c for c in panel.columns if not (replace and c in columns)]
+    known = lambda c: F.lit(nulls != "keep") | (F.col(codes[c]) >= 0)
+    ranks = [F.when(known(c), RANK_FUNCTIONS[f](f"_at_{i}.")).alias(name.format(c, f)) for i, c in enumerate(columns) for f in functions]
+    return filled.select(*kept, *ranks)
+
+
+def _dense_ranks(panel: DataFrame, columns: Sequence[str], functions: Sequence[str], nulls: str, replace: bool, name: str) -> DataFrame:
     long = with_value_ranks(unpivot(panel, [E, P], columns), [P, "feature"], "value", {f"_rank_{f}": f for f in functions})
     if nulls == "keep":
         long = long.withColumns({f"_rank_{f}": F.when(F.col("value").isNotNull(), F.col(f"_rank_{f}")) for f in functions})

@@ -134,3 +134,45 @@ def test_zero_fixed_rank_keeps_sign_and_zero(spark, frame):
     assert (np.sign(known["mx"]) == np.sign(known["mx__rank_cero_fijo"])).all()
     assert known["mx__rank_cero_fijo"].abs().max() == 1.0
     assert got.loc[got["mx"].isna(), "mx__rank_cero_fijo"].isna().all()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_groups_are_never_joined_by_their_key(spark, monkeypatch):
+    """3,000 groups whose split points do not fit: fewer blocks each, still broadcast; and one block each where even that is too much."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.integers(0, 3_000, 30_000), "id": np.arange(30_000), "value": rng.integers(0, 50, 30_000) / 2})
+    want = frame.groupby("g")["value"].rank(method="min")
+    whole = O._blocks(spark)
+    for size, blocks in ((16 * whole * 3_000, whole), (16 * whole * 1_500, whole // 2), (1, 1)):
+        monkeypatch.setattr(O, "SPLIT_BYTES", size)
+        rows = O._in_blocks(spark.createDataFrame(frame), ["g"], F.col("value"), None)
+        assert "SortMergeJoin" not in _plan(rows) and "ShuffledHashJoin" not in _plan(rows)
+        most = rows.groupBy("_key.g").agg(F.countDistinct("_key").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 2 * blocks and (blocks > 1) == (most > 1)
+        got = O.with_value_ranks(spark.createDataFrame(frame), ["g"], "value", {"r": "rank"}).toPandas().set_index("id")["r"].sort_index()
+        assert (got.to_numpy() == want.to_numpy()).all()
+
+
+def test_only_rare_cells_are_shuffled_to_be_ranked(spark, frame):
+    """A third of the cells are zero and a tenth NULL: they are counted at home, and the filter stands below the exchange."""
+    panel = _spark(spark, frame).withColumnsRenamed({"id": K.ENTITY, "value": "mx"}).withColumn(K.PERIOD, F.lit(202103)).withColumn("flag", F.col("w") % 2).drop("g")
+    points, parts = R._points(panel, ["mx", "flag"])
+    rows = R.coded(panel, ["mx", "flag"], points, parts)
+    rare = R.rare_cells(rows, ["mx", "flag"]).toPandas()
+    assert set(rare.feature) == {"mx"}  # a flag has two values, both frequent
+    values = frame["value"].dropna()
+    assert len(rare) <= (values != 0).sum() and (rare.value != 0).all()
+    plan = _plan(R.rare_cells(rows, ["mx", "flag"]).repartition(K.ENTITY))
+    assert plan.index("Exchange hashpartitioning") < plan.index("Filter")  # the plan is printed from the top
+
+
+def test_facts_beyond_their_bytes_leave_fewer_parts(spark, frame, monkeypatch):
+    monkeypatch.setattr(R, "FACTS_BYTES", 2_000)
+    panel = _spark(spark, frame).withColumnsRenamed({"id": K.ENTITY, "value": "mx"}).withColumn(K.PERIOD, F.lit(202103)).drop("g")
+    got = R.period_ranks(panel, ["mx"], ("rank", "cume_dist")).toPandas().set_index(K.ENTITY).sort_index()
+    assert R._points(panel, ["mx"])[0].select(F.max(F.size("_p_0"))).first()[0] < 63
+    np.testing.assert_array_equal(got["mx__rank"], frame["value"].rank(method="min", na_option="bottom"))
+    np.testing.assert_allclose(got["mx__cume_dist"], frame["value"].rank(method="max", na_option="bottom") / len(frame))
