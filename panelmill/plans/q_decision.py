@@ -460,7 +460,7 @@ def selection_guard(spark, folder):
 
 # --- resampling -------------------------------------------------------------------------------
 
-REPS, BOOTSTRAPS = 500, 1_000
+REPS, PAIRED_REPS, BOOTSTRAPS = 500, 2_000, 1_000
 _DRAWS = f""", sel as (select * from ranked where puesto <= 300),
   sorteo as (select s.modelo, r.rep, case when {uniform_sql(E, 'rep')} < 0.25 then 1 else 0 end as pub,
     case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end as g
@@ -469,6 +469,9 @@ _DRAWS = f""", sel as (select * from ranked where puesto <= 300),
     sum(case when pub = 1 then 0 else g end)::bigint as privado from sorteo group by 1, 2)"""
 
 
+_PAIRED_DRAWS = _DRAWS.replace(f"range(1, {REPS} + 1)", f"range(1, {PAIRED_REPS} + 1)")
+
+
 def _draws(spark, folder, table=None):
     table = scores(spark, folder) if table is None else table
     return S.public_draws(R.top_k(table, 300, ["modelo"]), REPS, group=["modelo"])
@@ -493,7 +496,7 @@ def exact_size_draws(spark, folder):
 
 @query(
     "paired_draw_differences", "SR2",
-    _RANKED + _DRAWS + f""", real as (select modelo, sum(case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end) as total from sel group by 1),
+    _RANKED + _PAIRED_DRAWS + f""", real as (select modelo, sum(case when positivo = 1 then {K.GAIN_HIT} else -{K.COST_MISS} end) as total from sel group by 1),
     d as (select p.a, p.b, x.publico - y.publico as d, ra.total - rb.total as real from (values ('1', '2'), ('1', '3')) p(a, b)
       join draws x on x.modelo::varchar = p.a join draws y on y.modelo::varchar = p.b and y.rep = x.rep
       join real ra on ra.modelo::varchar = p.a join real rb on rb.modelo::varchar = p.b)
@@ -504,7 +507,7 @@ def exact_size_draws(spark, folder):
 def paired_draw_differences(spark, folder):
     table = scores(spark, folder)
     chosen = R.top_k(table, 300, ["modelo"])
-    draws = S.public_draws(chosen, REPS, group=["modelo"]).withColumn("modelo", F.col("modelo").cast("string"))
+    draws = S.public_draws(chosen, PAIRED_REPS, group=["modelo"]).withColumn("modelo", F.col("modelo").cast("string"))
     truth = chosen.groupBy(F.col("modelo").cast("string").alias("modelo")).agg(
         F.sum(R.contribution(F.col("positivo") == 1)).alias("total")
     )

@@ -249,17 +249,16 @@ def exit_trajectory(spark, folder):
 
 @query(
     "lag_autocorrelation", "AG10",
-    bank_sql(["ctrx_quarter", "mcuentas_saldo", "cproductos", "mcomisiones"])
+    bank_sql(_NULLABLE)
     + ", l as (select *, " + ", ".join(
-        f"lag({c}, 1) over h as {c}__lag1" for c in ("ctrx_quarter", "mcuentas_saldo", "cproductos", "mcomisiones"))
+        f"lag({c}, 1) over h as {c}__lag1" for c in _NULLABLE)
     + f" from panel window h as (partition by {E} order by {P})) "
     + " union all ".join(
         f"select '{c}' as feature, round(corr({c}, {c}__lag1), 8) as rho from l where {P} >= 202104"
-        for c in ("ctrx_quarter", "mcuentas_saldo", "cproductos", "mcomisiones")),
+        for c in _NULLABLE),
 )
 def lag_autocorrelation(spark, folder):
-    columns = ["ctrx_quarter", "mcuentas_saldo", "cproductos", "mcomisiones"]
-    return R.autocorrelation(bank_panel(spark, folder, columns), columns, first_period=202104)
+    return R.autocorrelation(bank_panel(spark, folder), _NULLABLE, first_period=202104)
 
 
 @query(
@@ -275,10 +274,8 @@ def empirical_distribution(spark, folder):
 
 @query(
     "class_separation", "AG19 AG15",
-    labelled_sql(["ctrx_quarter", "mcuentas_saldo"]) + f""",
-    x as (select {P}, {L} = 'BAJA+2' as y, v.feature, v.value from labelled,
-      lateral (values ('ctrx_quarter', cast(ctrx_quarter as double)), ('mcuentas_saldo', mcuentas_saldo)) v(feature, value)
-      where {L} is not null),
+    labelled_sql(_NULLABLE) + f""",
+    x as ({" union all ".join(f"select {P}, {L} = 'BAJA+2' as y, '{c}' as feature, cast({c} as double) as value from labelled where {L} is not null and {c} is not null" for c in _NULLABLE)}),
     c as (select {P}, feature, value, sum(case when y then 1 else 0 end) as p, sum(case when y then 0 else 1 end) as q
       from x group by 1, 2, 3),
     r as (select {P}, feature, sum(p) over w / nullif(sum(p) over g, 0) as fp, sum(q) over w / nullif(sum(q) over g, 0) as fq
@@ -286,8 +283,7 @@ def empirical_distribution(spark, folder):
     select {P}, feature, round(max(abs(fp - fq)), 9) as ks from r group by 1, 2""",
 )
 def class_separation(spark, folder):
-    panel = labelled(spark, folder, ["ctrx_quarter", "mcuentas_saldo"]).filter(F.col(L).isNotNull())
-    return R.ks_separation(panel, ["ctrx_quarter", "mcuentas_saldo"])
+    return R.ks_separation(labelled(spark, folder).filter(F.col(L).isNotNull()), _NULLABLE)
 
 
 @query(

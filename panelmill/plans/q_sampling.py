@@ -9,6 +9,7 @@ from panelmill.operators import drift as D
 from panelmill.operators import targets as T
 from panelmill.operators.ranking import top_k
 from panelmill.plans.base import E, L, P, labelled, labelled_sql
+from panelmill.plans.panels import BANK_MEASURES
 from panelmill.plans.registry import query
 from panelmill.plans.scores import uniform_sql
 from panelmill.session import checkpoint
@@ -165,7 +166,7 @@ def canary_columns(spark, folder):
 
 # --- drift ------------------------------------------------------------------------------------
 
-_COLS = ["ctrx_quarter", "mcuentas_saldo", "mpayroll", "cproductos", "mcomisiones", "Visa_status"]
+_COLS = list(BANK_MEASURES)
 _LONG = labelled_sql(_COLS) + ", largo as (" + " union all ".join(
     f"select {P}, coalesce({L} = 'BAJA+2', false)::int as y, '{c}' as feature, cast({c} as double) as value from labelled" for c in _COLS
 ) + ")"
@@ -233,35 +234,27 @@ def concept_drift_screen(spark, folder):
     return table.withColumns({c: F.round(c, 8) for c in numbers}).orderBy(F.desc("rango_auc"), "feature")
 
 
-_PAIRS = ["mcomisiones", "mrentabilidad_annual", "mactivos_margen", "mautoservicio", "ctrx_quarter", "Visa_mlimitecompra",
-          "Visa_msaldototal", "mtarjeta_visa_consumo"]
+#: Correlation from which two columns say the same.
+_ALIKE = 0.95
+_CORRELATIONS = "z as (select " + ", ".join(f"coalesce(cast({c} as double), 0) as {c}" for c in _COLS) + """ from labelled),
+  p as (select unnest([""" + ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for i, a in enumerate(_COLS) for b in _COLS[i + 1:]) + "], recursive := true) from z)"
 
 
-@query(
-    "correlated_columns", "ML9",
-    labelled_sql(_PAIRS) + ", z as (select " + ", ".join(f"coalesce(cast({c} as double), 0) as {c}" for c in _PAIRS)
-    + " from labelled), p as (" + " union all ".join(
-        f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from z" for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1:])
-    + ") select a, b, round(r, 6) as r from p where abs(r) >= 0.5",
-)
+@query("correlated_columns", "ML9", labelled_sql(_COLS) + f", {_CORRELATIONS} select a, b, round(r, 6) as r from p where abs(r) >= {_ALIKE}")
 def correlated_columns(spark, folder):
-    return D.correlated_pairs(_rows(spark, folder, _PAIRS), _PAIRS, 0.5).withColumn("r", F.round("r", 6))
+    return D.correlated_pairs(_rows(spark, folder, _COLS), _COLS, _ALIKE).withColumn("r", F.round("r", 6))
 
 
 @query(
     "columns_to_drop", "ML9 ML19",
-    labelled_sql(_PAIRS) + ", largo as (" + " union all ".join(
-        f"select {P}, coalesce({L} = 'BAJA+2', false)::int as y, '{c}' as feature, cast({c} as double) as value from labelled" for c in _PAIRS)
-    + f"""), auc as ({_auc_sql('feature', 'value nulls first', 'largo')}), i as (select feature, abs(auc - 0.5) as imp from auc),
-    z as (select {", ".join(f"coalesce(cast({c} as double), 0) as {c}" for c in _PAIRS)} from labelled), p as ("""
-    + " union all ".join(
-        f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from z" for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1:])
-    + """) select distinct case when x.imp >= y.imp then p.b else p.a end as feature from p
-    join i x on x.feature = p.a join i y on y.feature = p.b where abs(r) >= 0.5""",
+    _LONG + f""", auc as ({_auc_sql('feature', 'value nulls first', 'largo')}), i as (select feature, abs(auc - 0.5) as imp from auc),
+    {_CORRELATIONS} select distinct case when x.imp >= y.imp then p.b else p.a end as feature from p
+    join i x on x.feature = p.a join i y on y.feature = p.b where abs(r) >= {_ALIKE}""",
 )
 def columns_to_drop(spark, folder):
     """One column of each correlated pair: the one that separates the classes less."""
-    panel = checkpoint(_rows(spark, folder, _PAIRS))
-    aucs = D.signal(D.univariate_auc(panel, _PAIRS, by_period=False))
+    panel = checkpoint(_rows(spark, folder, _COLS))
+    aucs = D.signal(D.univariate_auc(panel, _COLS, by_period=False))
     importance = aucs.select("feature", F.col("distancia").alias("importancia"))
-    return D.drop_correlated(D.correlated_pairs(panel, _PAIRS, 0.5), importance)
+    return D.drop_correlated(D.correlated_pairs(panel, _COLS, _ALIKE), importance)
