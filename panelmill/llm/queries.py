@@ -81,7 +81,21 @@ def op7_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query()
+@query(r"""
+with texts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from texts where len(w) >= 50)
+), repeated as (
+  select doc_id, i from windows join (select h, min(doc_id) as least from windows group by h) using (h) where least < doc_id
+), covered as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i from repeated
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as k, count(*) as n
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from texts) anti join covered using (doc_id, i) group by doc_id
+)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from texts left join kept using (doc_id)
+""")
 def op6_seed_extend_substrings(spark: SparkSession, folder: str) -> DataFrame:
     ranges = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
     return substrings.without_repeats(table(spark, folder, "documents")).select(
