@@ -10,7 +10,8 @@ A merge that makes a pair of a lower rank than its own (possible only in rank fi
 would come too late in this order; such pieces are encoded again one merge at a time.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; an id that the file lacks is an error in
-decoding; null ids decode to no bytes; repeated rows and rows with a null id are encoded like any other.
+decoding; null ids decode to no bytes; repeated rows and rows with a null id are encoded like any other; very long texts are
+taken in one slice each; only the named columns are read, whatever others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

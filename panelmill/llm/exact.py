@@ -10,8 +10,11 @@ Digests are verified on every level: rows merge only if SHA-256, a second 64-bit
 the normalised text all agree.
 
 Defined cases: a null text is empty and equal to other texts that normalise to nothing; a null id comes after
-all ids; of rows alike in id and length, the first read stays, so each group keeps exactly one row; an empty
-table gives an empty result.
+all ids; of rows alike in id and length, the first read stays, so each group keeps exactly one row; very
+long texts are digested whole; only the named columns are read, whatever others are called; an empty table gives an empty result.
+
+Spark places the rows of a level by (digest, run), so a task sorts and merges many digests of many runs: the tree bounds how many entries of
+one digest meet, not where they do.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ and has `GRAMS` trigrams per language: its size grows with the number of languag
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a text of letters none of which a
 language knows gets the most frequent label with score 0; ties go to the first label in order; without labelled rows
-everything is `und`; a row with a null id is neither held out nor learned from; a null label is not learned.
+everything is `und`; a row with a null id is neither held out nor learned from; a null label is not learned;
+repeated rows are each answered alike; very long texts are read whole, in slices of bounded size; only the named columns are read, whatever
+others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

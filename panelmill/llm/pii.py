@@ -7,7 +7,9 @@ detectors then run on the copy. A span found there is added if it holds a rewrit
 of its kind from the plain text. Offsets count code points, ends are exclusive.
 
 Defined cases: a null or empty text has no spans; matches that fail a check (parts over 255, Luhn, digit counts)
-are dropped and not retried; repeated rows and null ids are handled like any other row.
+are dropped and not retried; repeated rows and null ids are handled like any other row; matches of one kind are leftmost and
+do not overlap; very long texts are read whole; only the named columns are read, whatever others are called; an empty table gives an empty result.
+A disguised address has at most four labels before its @.
 """
 
 from __future__ import annotations

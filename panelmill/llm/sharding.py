@@ -11,7 +11,8 @@ nowhere else. A shard added to an existing rack instead (any edit of the tree is
 its rack and region too, and rows that enter those may settle in an old shard of the same subtree.
 
 Defined cases: a null key is one key of its own; a null text has no bytes and the checksum of the empty text;
-repeated rows get slots of their own; an empty table gives an empty result.
+repeated rows get slots of their own; very long texts are measured whole; only the named columns are read,
+whatever others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

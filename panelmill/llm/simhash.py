@@ -10,7 +10,8 @@ components of those links are found in the cluster (`graph`).
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any other; a null id
 has a component but never names one (a component of null ids only has the id null); repeated rows share a component;
-an empty table gives an empty result.
+very long texts are hashed whole; ties of a bit (set in exactly half of the hashes) leave it 0; only the named columns are read,
+whatever others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ for each distinct surrounding at its ends) on the map side.
 
 Equality is that of two independent 64-bit hashes of the words. Defined cases: a null, empty or short text has no
 window and is kept whole; a null id is neither smaller nor larger than any id; rows with the same id do not remove
-from each other; an empty table gives an empty result.
+from each other; very long texts are cut into windows like any other; only the named columns are read,
+whatever others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
