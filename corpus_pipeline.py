@@ -6,7 +6,7 @@ SimHash near-dedup  one document of each linked group stays
 decontamination     documents that hold a benchmark item go
 byte-level BPE      the tokens of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256
 
-Defined cases: a null or empty text has no letters and goes in the first stage; rows with null ids stay like others; of repeated rows one stays;
+Defined cases: a null or empty text has no letters and goes in the first stage; null ids are handled as each operator states; of repeated rows one stays;
 ties are decided as the operators say; very long texts are worked on whole; extra columns are kept, whatever their names, up to the last
 stage; empty tables give an empty result.
 """
