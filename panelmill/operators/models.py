@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.operators import targets as T
+from panelmill.operators.forest import forest_of, forest_scores
 from panelmill.operators.ranking import auc_from_values, capture_curve, gain_at, ranking
 from panelmill.session import checkpoint
 
@@ -68,12 +69,11 @@ def score(model: GBTClassificationModel, rows: DataFrame, keep: Sequence[str] =
 
 def fit_and_score(train: DataFrame, rows: DataFrame, seeds: Iterable[int], params: Mapping[str, object] = DEFAULTS,
                   keep: Sequence[str] = (E,)) -> DataFrame:
-    """One model per seed on the same training set: (keep..., modelo, score)."""
+    """One model per seed on the same training set, which all score the rows in one scan: (keep..., modelo, score)."""
     shared = checkpoint(train)
     seeds = list(seeds)
     models = _together([lambda s=s: fit(shared, s, params) for s in seeds])
-    parts = [score(m, rows, keep).withColumn("modelo", F.lit(s)) for m, s in zip(models, seeds)]
-    return reduce(DataFrame.unionByName, parts)
+    return forest_scores(forest_of(dict(zip(seeds, models)), rows.sparkSession), rows, keep)
 
 
 def with_truth(rows: DataFrame, positive: str = K.LEAVES_IN_TWO) -> DataFrame:

@@ -17,12 +17,12 @@ from panelmill.functions.scalars import safe_ratio
 from panelmill.operators.ordered import (
     RANK_FUNCTIONS,
     _below,
-    group_quantiles,
     ntile_of,
     row_numbers,
     unpivot,
     with_value_ranks,
 )
+from panelmill.operators.selection import selected_quantile
 from panelmill.session import broadcast_if_small, checkpoint
 
 E, P = K.ENTITY, K.PERIOD
@@ -212,10 +212,10 @@ def expression_rank(panel: DataFrame, name: str, value, nulls: str = "last") ->
 
 
 def period_medians(panel: DataFrame, columns: Sequence[str], positive: bool = True) -> DataFrame:
-    """(period, feature, mediana): exact median of positive values, or of |x| where x <> 0."""
-    long = unpivot(panel, [P], columns, keep_nulls=False)
-    long = long.filter("value > 0") if positive else long.filter("value <> 0").withColumn("value", F.abs("value"))
-    return group_quantiles(long, [P, "feature"], "value", {"mediana": 0.5})
+    """(period, feature, mediana): exact median of positive values, or of |x| where x <> 0, found by selection."""
+    number = lambda c: F.col(c).cast("double")
+    value = (lambda c: F.when(number(c) > 0, number(c))) if positive else (lambda c: F.when(number(c) != 0, F.abs(number(c))))
+    return selected_quantile(panel, columns, 0.5, "mediana", value)
 
 
 def wide_medians(panel: DataFrame, columns: Sequence[str], positive: bool = True, name: str = "{}") -> DataFrame:

@@ -12,10 +12,11 @@ from panelmill.functions import keys as K
 from panelmill.operators import models as M
 from panelmill.operators import ranking as R
 from panelmill.operators import targets as T
+from panelmill.operators.forest import forest_scores
 from panelmill.plans import q_models as Q
 from panelmill.operators.label import churn_label
 from panelmill.plans.base import E, L, P, labelled, labelled_sql
-from panelmill.plans.panels import bank_panel
+from panelmill.plans.panels import bank_panel, bank_sql
 from panelmill.plans.registry import QUERIES, query
 from panelmill.session import checkpoint
 from panelmill.sources import files
@@ -278,3 +279,49 @@ def file_to_export(spark, folder):
         F.count(F.lit(1)).alias("enviados"), F.count_distinct(E).alias("clientes"), F.count_if(F.col("_en").isNull()).alias("ajenos"),
         F.lit(n).cast("long").alias("poblacion"),
     )
+
+
+# --- a forest of fixed trees ------------------------------------------------------------------
+
+_TREES, _FIXED_MODELS, _DEPTH = 5, 3, 3
+_FIXED_COLUMNS = ["ctrx_quarter", "mcuentas_saldo", "mpayroll", "Visa_status"]
+_SPLITS = 2**_DEPTH - 1
+#: Columns of a node, from its numbers and the range of its column; read alike by Spark and the check SQL.
+_NODE_COLUMNS = [
+    "modelo", "arbol", "nodo", "case when arbol = 0 then cast(1 as double) else cast(arbol as double) / 8 end as peso",
+    "(modelo + arbol + nodo) % 4 as columna", f"cast(case when nodo < {_SPLITS} then 2 * nodo + 1 else -1 end as int) as izquierda",
+    f"cast(case when nodo < {_SPLITS} then 2 * nodo + 2 else -1 end as int) as derecha",
+    "cast((nodo * 37 + arbol * 11 + modelo * 5) % 101 - 50 as double) / 64 as valor", "(nodo * 7 + arbol * 3 + modelo) % 10 as tramo",
+]
+_NODE = ", ".join(_NODE_COLUMNS)
+
+
+@query(
+    "fixed_forest_scores", "ML1 ML2 ML16",
+    bank_sql(_FIXED_COLUMNS).replace("with lines", "with recursive lines", 1) + f""",
+    alcance as ({" union all ".join(f"select {i} as columna, min(cast({c} as double)) as bajo, max(cast({c} as double)) as alto from panel" for i, c in enumerate(_FIXED_COLUMNS))}),
+    numeros as (select m.i as modelo, a.i as arbol, n.i as nodo from range({_FIXED_MODELS}) m(i), range({_TREES}) a(i), range({2 * _SPLITS + 1}) n(i)),
+    hojas as (select x.*, bajo + (alto - bajo) * tramo / 40 as corte from (select {_NODE} from numeros) x join alcance using (columna)),
+    filas as (select {E}, {P}, [{", ".join(f"coalesce(cast({c} as double), (select bajo - 1 from alcance where columna = {i}))" for i, c in enumerate(_FIXED_COLUMNS))}] as x from panel),
+    paso as (
+      select {E}, {P}, modelo, arbol, nodo, x from filas, numeros where nodo = 0
+      union all select p.{E}, p.{P}, p.modelo, p.arbol, case when p.x[h.columna + 1] <= h.corte then h.izquierda else h.derecha end, p.x
+      from paso p join hojas h on h.modelo = p.modelo and h.arbol = p.arbol and h.nodo = p.nodo where h.izquierda >= 0)
+    select {E}, {P}, cast(modelo as int) as modelo, round(1 / (1 + exp(-2 * sum(peso * valor))), 9) as score
+    from paso join hojas using (modelo, arbol, nodo) where izquierda < 0 group by 1, 2, 3""",
+)
+def fixed_forest_scores(spark, folder):
+    """Three models of five trees each, whose cuts lie in the ranges of the panel's columns, score every row of it in one scan."""
+    panel = checkpoint(bank_panel(spark, folder, _FIXED_COLUMNS))
+    spans = [F.struct(F.lit(i).alias("columna"), F.min(F.col(c).cast("double")).alias("bajo"), F.max(F.col(c).cast("double")).alias("alto"))
+             for i, c in enumerate(_FIXED_COLUMNS)]
+    ranges = panel.agg(F.array(*spans).alias("a")).select(F.inline("a"))
+    size = 2 * _SPLITS + 1
+    numbers = spark.range(_FIXED_MODELS * _TREES * size).selectExpr(
+        f"id div {_TREES * size} as modelo", f"cast(id div {size} % {_TREES} as int) as arbol", f"cast(id % {size} as int) as nodo")
+    nodes = numbers.selectExpr(*_NODE_COLUMNS).join(ranges, "columna").withColumns({
+        "corte": F.col("bajo") + (F.col("alto") - F.col("bajo")) * F.col("tramo") / 40, "hondo": F.lit(_DEPTH),
+        "columna": F.col("columna").cast("int"),
+    })
+    scored = forest_scores(checkpoint(nodes), M.assembled(panel, _FIXED_COLUMNS), (E, P))
+    return scored.withColumn("score", F.round("score", 9))
