@@ -98,7 +98,7 @@ def test_bits_give_what_windows_give(spark):
 
 
 def test_bits_shuffle_the_panel_once(spark):
-    panel = spark.range(100).select(F.col("id").alias(E), (F.col("id") % 5 + 202103).cast("int").alias(P)).checkpoint()
+    panel = spark.range(100).select(F.col("id").alias(E), (F.col("id") % 5 + 202103).cast("int").alias(P)).repartition(3)
     plan = presence.base_rows(presence.bitmaps(panel))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1
 
