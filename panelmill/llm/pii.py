@@ -9,7 +9,7 @@ of its kind from the plain text. Offsets count code points, ends are exclusive.
 Defined cases: a null or empty text has no spans; matches that fail a check (parts over 255, Luhn, digit counts)
 are dropped and not retried; repeated rows and null ids are handled like any other row; matches of one kind are leftmost and
 do not overlap; very long texts are read whole; only the named columns are read, whatever others are called; an empty table gives an empty result.
-A disguised address has at most four labels before its @.
+The local part of a disguised address reaches back from its @ over all labels joined by plain or disguised dots, however many.
 """
 
 from __future__ import annotations
@@ -70,12 +70,9 @@ def _spelled(at: str, dot: str) -> str:
     return rf"(?:\s+(?:{at})\s+|\s?@\s?){_LABEL}(?:\.{_LABEL})*(?:{gap}{_LABEL})+(?:\.{_LABEL})*"
 
 
-#: A bracketed at may stand before plain dots.
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+){{0,3}}?)"
-    rf"(?P<rest>{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{'|'.join(_spelled(*x) for x in _AT_AND_DOT)})",
-    re.I,
-)
+#: From the @ on; a bracketed at may stand before plain dots. Both patterns start behind a label, so runs of white space are read once.
+_REST = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{'|'.join(_spelled(*x) for x in _AT_AND_DOT)})", re.I)
+_DOT_AFTER_LABEL = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_DOT})", re.I)
 _SOME_AT = re.compile(rf"{_AT}|\s+(?:at|ät|arroba|arobase|arobas)\s+|\s?@\s?", re.I)
 _ANY_DOT = re.compile(_DOT, re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:at|ät|arroba|arobase|arobas|@|{_DOT_WORD}|\.)\s*[\])}}>]", re.I)
@@ -150,12 +147,30 @@ def _dots(t: Traced) -> Traced:
     return t.rewritten([(m.start(), m.end(), ".") for m in _DOTTED.finditer(t.text)])
 
 
+def _local_dots(text: str, at: int, last: int, dots: dict[int, int]) -> list[tuple[int, int, str]] | None:
+    """The disguised dots of the local part that ends at `at`, walked back label by label to `last`; None without a local part."""
+    found, i = [], at
+    while i > last:
+        if text[i - 1] in _LOCAL:
+            i -= 1
+        elif i < at and text[i] != "." and dots.get(i, -1) > last:
+            found.append((dots[i], i, "."))
+            i = dots[i]
+        else:
+            break
+    return found[::-1] if i < at else None
+
+
 def _addresses(t: Traced) -> Traced:
-    pieces = []
-    for m in _ADDRESS.finditer(t.text):
-        at = _SOME_AT.match(t.text, m.start("rest"))
-        pieces += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(t.text, *m.span("local"))]
-        pieces.append((*at.span(), "@"))
+    pieces, last, dots = [], 0, None
+    for m in _REST.finditer(t.text):
+        if dots is None:
+            dots = {d.end(): d.start() for d in _DOT_AFTER_LABEL.finditer(t.text)}
+        local = _local_dots(t.text, m.start(), last, dots)
+        if local is None:
+            continue
+        at, last = _SOME_AT.match(t.text, m.start()), m.end()
+        pieces += [*local, (*at.span(), "@")]
         pieces += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(t.text, at.end(), m.end())]
     return t.rewritten(pieces)
 

@@ -113,6 +113,8 @@ def test_no_labels_or_no_rows(labelled, docs):
 
 DISGUISED = {
     "john [at] example [dot] com": ("email", "john [at] example [dot] com"),
+    "a.b.c.d.e [at] host.com": ("email", "a.b.c.d.e [at] host.com"),
+    "see a dot b dot c.d dot e (dot) f at host dot com": ("email", "a dot b dot c.d dot e (dot) f at host dot com"),
     "write to john.doe at example dot com now": ("email", "john.doe at example dot com"),
     "jоhn@exаmple.com": ("email", "jоhn@exаmple.com"),
     "mary (at) mail.example.org": ("email", "mary (at) mail.example.org"),
