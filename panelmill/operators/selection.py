@@ -1,9 +1,10 @@
-"""Exact quantiles of many columns by selection: count around the wanted place, then order only the cell that holds it.
+"""Exact quantiles of many columns by selection: fold all values around the wanted place, then order only those close to it.
 
-A first scan sketches, per period and column, two points close below and above the wanted place. A second counts the values
-below and between them. Only values between them, a few in a thousand, leave their rows, are folded by value and put in order. If the counts
-show that a pair of points misses the place, all values of that period and column are ordered: the result is exact whatever the sketch says.
-NULL is no value; NaN is the largest one. A period without values has no row. NULL periods form a group.
+A first scan sketches, per period and column, two points close below and above the wanted place. A second folds the values map-side: one
+count for all below, one for all above, and one per distinct value between the points, a few in a thousand of them. Only these counts are
+shuffled and put in order. If they show that a pair of points misses the place, all values of that period and column are ordered: the
+result is exact whatever the sketch says. NULL is no value; NaN is the largest one. A period without values has no row. NULL periods form
+a group.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
-from panelmill.operators.ordered import value_positions
+from panelmill.operators.ordered import group_quantiles, running_sums
 from panelmill.session import broadcast_if_small, checkpoint
 
 P = K.PERIOD
 
-#: Share of the values on each side of the wanted place that the cell takes in, and the sketch's accuracy, whose error is a quarter of it.
+#: Share of the values on each side of the wanted place that the points leave room for, and the sketch's accuracy: its error is a quarter of that.
 MARGIN, ACCURACY = 0.002, 2_000
 
 
@@ -27,52 +28,46 @@ def as_double(column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _inside(value: Column, low: Column, high: Column) -> Column:
-    """In the cell, whose bounds are NULL where it holds every value."""
-    return value.isNotNull() & F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True))
-
-
-def _long(rows: DataFrame, values: Sequence[Column], cell: Callable[[Column], Column], kept: Callable[[Column], Column]) -> DataFrame:
-    """(period, i, value, cell) of the values of a joined row that are kept; what is not never leaves the row."""
-    each = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("value"), cell(F.lit(i)).alias("cell")) for i, v in enumerate(values)])
-    return rows.select(P, F.explode(F.filter(each, kept)).alias("x")).select(P, "x.*")
-
-
-def cells(panel: DataFrame, columns: Sequence[str], share: float, value: Callable[[str], Column] = as_double) -> DataFrame:
-    """(period, feature, n, below, value) of the values around the wanted place: all that is shuffled to be ordered.
-
-    `n` counts the values of the period and column, `below` those under the cell.
-    """
-    rows = checkpoint(panel.select(P, *dict.fromkeys(columns)))  # three scans read it
-    values = [value(c) for c in columns]
+def counts_around(rows: DataFrame, values: Sequence[Column], share: float) -> DataFrame:
+    """(period, i, side, value, ties): how many values lie below (-1) and above (1) the points, and each distinct value between them (0)."""
     around = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
     sketches = F.array(*[F.percentile_approx(F.when(~F.isnan(v), v), around, ACCURACY) for v in values])
     # one small row per period; past the bound periods are many, and the join shuffles by period
-    near = broadcast_if_small(rows.groupBy(F.col(P).alias("_period")).agg(sketches.alias("_cells")), 32 * len(columns))
-    same = F.col(P).eqNullSafe(F.col("_period"))
-    met = _long(rows.join(near, same), values, lambda i: F.get("_cells", i), lambda x: x["value"].isNotNull())
-    low, high = F.get("cell", F.lit(0)), F.get("cell", F.lit(1))
-    counts = met.groupBy(P, "i").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < low).alias("below"), F.count_if(_inside(F.col("value"), low, high)).alias("held"),
-        F.first(low).alias("low"), F.first(high).alias("high"),
-    )
-    at = F.lit(share) * (F.col("n") - 1)
-    sure = (F.col("below") <= F.floor(at)) & (F.ceil(at) < F.col("below") + F.col("held"))
-    fact = F.struct("n", F.when(sure, F.col("below")).otherwise(0).alias("below"), F.when(sure, F.col("low")).alias("low"),
-                    F.when(sure, F.col("high")).alias("high"))
-    facts = counts.groupBy(F.col(P).alias("_period")).agg(F.map_from_entries(F.collect_list(F.struct("i", fact))).alias("_cells"))
-    bounds = broadcast_if_small(facts, 48 * len(columns))
-    held = _long(rows.join(bounds, same), values, lambda i: F.try_element_at("_cells", i),
-                 lambda x: _inside(x["value"], x["cell"]["low"], x["cell"]["high"]))
-    names = F.array(*[F.lit(c) for c in columns])
-    return held.select(P, F.get(names, "i").alias("feature"), "cell.n", "cell.below", "value")
+    near = broadcast_if_small(rows.groupBy(F.col(P).alias("_period")).agg(sketches.alias("_points")), 32 * len(values))
+
+    def told(i: int, v: Column) -> Column:
+        points = F.get("_points", F.lit(i))
+        side = F.when(v < F.get(points, F.lit(0)), -1).when(v > F.get(points, F.lit(1)), 1).otherwise(0)
+        return F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("value")))
+
+    each = F.array(*[told(i, v) for i, v in enumerate(values)])
+    met = rows.join(near, F.col(P).eqNullSafe(F.col("_period"))).select(P, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    return met.select(P, "x.*").groupBy(P, "i", "side", "value").agg(F.count(F.lit(1)).alias("ties"))
 
 
 def selected_quantile(panel: DataFrame, columns: Sequence[str], share: float, name: str, value: Callable[[str], Column] = as_double) -> DataFrame:
     """(period, feature, name): the exact, linearly interpolated quantile of each column in each period."""
-    held = cells(panel, columns, share, value).withColumnsRenamed({"n": "_n", "below": "_below"})
-    placed = value_positions(held, [P, "feature", "_n", "_below"], "value")
-    at, first = F.lit(share) * (F.col("_n") - 1), F.col("_below") + F.col("less")
-    here = lambda i: F.max(F.when((first <= i) & (i < first + F.col("ties")), F.col("value")))
-    found = placed.groupBy(P, "feature").agg(here(F.floor(at)).alias("_lo"), here(F.ceil(at)).alias("_hi"), F.max(at - F.floor(at)).alias("_w"))
-    return found.select(P, "feature", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
+    rows = checkpoint(panel.select(P, *dict.fromkeys(columns)))  # two scans read it
+    values = [value(c) for c in columns]
+    names = F.array(*[F.lit(c) for c in columns])
+    order = [F.col("side"), F.col("value")]
+    placed = running_sums(counts_around(rows, values, share), [P, "i"], order, order, {"_upto": F.col("ties")})
+    at = F.lit(share) * (F.col("_upto_total") - 1)
+
+    def holds(place: Column) -> Column:
+        return (F.col("side") == 0) & (F.col("_upto") - F.col("ties") <= place) & (place < F.col("_upto"))
+
+    ends = {"_lo": F.floor(at), "_hi": F.ceil(at)}
+    found = checkpoint(placed.groupBy(P, "i").agg(
+        *[F.max(F.when(holds(k), F.col("value"))).alias(n) for n, k in ends.items()], F.max(at - F.floor(at)).alias("_w"),
+    ))
+    sure = found.filter("_lo is not null and _hi is not null").select(
+        P, F.get(names, "i").alias("feature"), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
+    missed = found.filter("_lo is null or _hi is null").select(F.col(P).alias("_period"), F.col("i").alias("_i"))
+    if missed.isEmpty():
+        return sure
+    each = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("value")) for i, v in enumerate(values)])
+    long = rows.select(P, F.explode(each).alias("x")).select(P, "x.*").filter("value is not null")
+    rest = long.join(broadcast_if_small(missed), F.col(P).eqNullSafe(F.col("_period")) & (F.col("i") == F.col("_i")), "left_semi")
+    exact = group_quantiles(rest, [P, "i"], "value", {name: share})
+    return sure.unionByName(exact.select(P, F.get(names, "i").alias("feature"), name))

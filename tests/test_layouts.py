@@ -22,7 +22,7 @@ def test_selection_orders_under_one_percent(spark):
     rng = np.random.default_rng(3)
     data = [(202103 + int(i % 2), float(x), float(round(x))) for i, x in enumerate(rng.lognormal(8, 3, 60_000))]
     panel = spark.createDataFrame(data, f"{P} int, a double, b double").checkpoint()
-    held = selection.cells(panel, ["a"], 0.5)
+    held = selection.counts_around(panel, [F.col("a")], 0.5)
     assert held.count() < 0.01 * len(data)
     got = _medians(selection.selected_quantile(panel, ["a", "b"], 0.5, "mediana"))
     for period in (202103, 202104):
