@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.functions.period import add_periods, periods_between
-from panelmill.operators.label import _LAST, _ORD, calendar
+from panelmill.operators.label import _ORD, calendar
 
 E, P = K.ENTITY, K.PERIOD
 WORD = 62
