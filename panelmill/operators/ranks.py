@@ -1,7 +1,7 @@
 """Ranks within a period and deflators, for many columns at once.
 
 Values that many rows share, and NULLs, stay where they are: their ranks follow from counts, which are folded map-side and come back as one
-broadcast row per period. Only the other cells are turned into long form, shuffled and ranked, block by block (see `ordered`), and
+broadcast row per period, joined when the rows are in place. Only the other cells are turned into long form, shuffled and ranked, block by block (see `ordered`), and
 pivoted back. Neither a period nor a frequent value is ever handled by one task alone, and the path is the same at every size.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,13 @@ from panelmill.functions import keys as K
 from panelmill.functions.scalars import safe_ratio
 from panelmill.operators.ordered import (
     RANK_FUNCTIONS,
-    _below,
     ntile_of,
     row_numbers,
     unpivot,
     with_value_ranks,
 )
 from panelmill.operators.selection import selected_quantile
-from panelmill.session import broadcast_if_small, checkpoint
+from panelmill.session import broadcast_if_small, checkpoint, staged
 
 E, P = K.ENTITY, K.PERIOD
 
@@ -83,49 +84,83 @@ def coded(panel: DataFrame, columns: Sequence[str], points: DataFrame, parts: in
     With b of the period's points below a value, its code is 2 b, or 2 b + 1 if it is frequent; NULL has -1.
     """
     names, codes = _by_column(columns, "p"), _by_column(columns, "k")
-    number = lambda c: F.col(c).cast("double")
-
-    def code(c: str) -> Column:
-        own = F.col(names[c])
-        below = _below(own, number(c), parts)
-        frequent = (F.get(own, below) == number(c)) & (F.get(own, below + 1) == number(c))
-        return F.when(number(c).isNull(), -1).otherwise(2 * below + F.coalesce(frequent, F.lit(False)).cast("int"))
-
-    joined = panel.join(points, F.col(P).eqNullSafe(F.col("_period")))
-    return joined.select(*panel.columns, *[code(c).alias(codes[c]) for c in columns])
+    # one row per period, FACTS_BYTES in all: looked up in the tasks, where a row that carried its period's points would be long
+    own = {r["_period"]: [np.array(r[n], float) for n in names.values()] for r in points.collect()}
+    shared = panel.sparkSession.sparkContext.broadcast(own)
+
+    @F.arrow_udf("array<int>")
+    def code(period: pa.Array, *values: pa.Array) -> pa.Array:
+        out = np.empty((len(period), len(values)), np.int32)
+        kinds = period.dictionary_encode()
+        which = np.where(period.is_null().to_numpy(zero_copy_only=False), -1, kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False))
+        for at, key in [(-1, None), *enumerate(kinds.dictionary.to_pylist())]:
+            rows = np.flatnonzero(which == at)
+            for i, v in enumerate(values if len(rows) else ()):
+                edges, x = shared.value[key][i], v.to_numpy(zero_copy_only=False)[rows]
+                below = np.searchsorted(edges, x)
+                ends = np.r_[edges, np.nan, np.nan]
+                out[rows, i] = 2 * below + ((ends[below] == x) & (ends[np.minimum(below + 1, len(ends) - 1)] == x))
+        for i, v in enumerate(values):
+            out[v.is_null().to_numpy(zero_copy_only=False), i] = -1
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(values), dtype=np.int32), pa.array(out.ravel()))
+
+    told = panel.withColumn("_codes", code(F.col(P), *[F.col(c).cast("double") for c in columns]))
+    return told.select(*panel.columns, *[F.get("_codes", i).alias(codes[c]) for i, c in enumerate(columns)])
 
 
 def _cells(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(keep..., feature, value, code) of each cell."""
+    """(keep..., place, value, code) of each cell; place is the column's in `columns`."""
     codes = _by_column(columns, "k")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(codes[c]).alias("code")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).cast("double").alias("value"), F.col(codes[c]).alias("code")) for i, c in enumerate(columns)])
     return rows.select(*keep, F.explode(cells).alias("_cell")).select(*keep, "_cell.*")
 
 
-def _facts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per period: of each column struct(n, nulls, less, rows), two arrays by code: cells of smaller codes, and cells of that code.
+def _counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(period, place, code, rows, less): cells of that code, and cells with values of smaller codes.
 
     Cells are counted by code, folded map-side; only counts are shuffled.
     """
-    counts = _cells(rows, columns, [P]).groupBy(P, "feature", "code").agg(F.count(F.lit(1)).alias("rows"))
-    one = Window.partitionBy(P, "feature")
+    counts = _cells(rows, columns, [P]).groupBy(P, "place", "code").agg(F.count(F.lit(1)).alias("rows"))
+    one = Window.partitionBy(P, "place")
     below = F.sum(F.when(F.col("code") >= 0, F.col("rows"))).over(one.orderBy("code").rowsBetween(Window.unboundedPreceding, -1))
-    by_code = counts.withColumn("less", F.coalesce(below, F.lit(0))).groupBy(P, "feature").agg(
-        F.sum("rows").alias("n"), F.max("code").alias("top"), F.map_from_entries(F.collect_list(F.struct("code", F.struct("less", "rows")))).alias("m")
-    )
-    at = lambda code, field: F.try_element_at("m", code).getField(field)
-    places = F.sequence(F.lit(0), F.greatest("top", F.lit(0)))
-    facts = by_code.select(P, "feature", F.struct(
-        "n", F.coalesce(at(F.lit(-1), "rows"), F.lit(0)).alias("nulls"),
-        F.transform(places, lambda i: at(i, "less")).alias("less"), F.transform(places, lambda i: at(i, "rows")).alias("rows"),
+    return counts.withColumn("less", F.coalesce(below, F.lit(0)))
+
+
+def _facts(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per period: of each column struct(n, nulls, frequent), the last a map from the codes of frequent values to (less, rows)."""
+    frequent = F.when((F.col("code") >= 0) & (F.col("code") % 2 == 1), F.struct("code", F.struct("less", "rows")))
+    facts = counts.groupBy(P, "place").agg(F.struct(
+        F.sum("rows").alias("n"), F.coalesce(F.sum(F.when(F.col("code") < 0, F.col("rows"))), F.lit(0)).alias("nulls"),
+        F.map_from_entries(F.collect_list(frequent)).alias("frequent"),
     ).alias("f"))
-    wide = facts.groupBy(F.col(P).alias("_period")).pivot("feature", list(columns)).agg(F.first("f"))
-    return wide.select("_period", *[F.col(f"`{c}`").alias(n) for c, n in _by_column(columns, "f").items()])
+    wide = facts.groupBy(F.col(P).alias("_period")).pivot("place", list(range(len(columns)))).agg(F.first("f"))
+    return wide.select("_period", *[F.col(str(i)).alias(n) for i, n in enumerate(_by_column(columns, "f").values())])
 
 
 def rare_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(entity, period, feature, value, code) of the cells that are neither NULL nor frequent: all that is shuffled to be ranked."""
-    return _cells(rows, columns, [E, P]).filter((F.col("code") >= 0) & (F.col("code") % 2 == 0))
+    """(entity, period, place, value, code, feature) of the cells that are neither NULL nor frequent: all that is shuffled to be ranked."""
+    rare = _cells(rows, columns, [E, P]).filter((F.col("code") >= 0) & (F.col("code") % 2 == 0))
+    return rare.withColumn("feature", F.get(F.array(*[F.lit(c) for c in columns]), "place"))
+
+
+def _placed_rare(rows: DataFrame, columns: Sequence[str], counts: DataFrame, ties: bool) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """One row per (_entity, _month) with the places of its rare cells, and the names of these columns.
+
+    Cells go to their block and back to their row, as numbers alone; a row's cells are gathered by one aggregate.
+    """
+    part = Window.partitionBy(P, "place", "code")
+    # longs, which are folded by hash; ties only where a function asks for them
+    local = {"less": F.rank().over(part.orderBy("value")).cast("long") - 1}
+    if ties:
+        local["ties"] = F.count(F.lit(1)).over(Window.partitionBy(P, "place", "code", "value"))
+    cells = rare_cells(rows, columns).drop("feature").withColumns(local)
+    base = counts.select(F.col(P).alias("_period"), F.col("place").alias("_i"), F.col("code").alias("_code"), F.col("less").alias("_base"))
+    same = F.col(P).eqNullSafe(F.col("_period")) & (F.col("place") == F.col("_i")) & (F.col("code") == F.col("_code"))
+    ranked = cells.join(F.broadcast(base), same).withColumn("less", F.col("less") + F.col("_base"))
+    names = {v: _by_column(columns, v) for v in local}
+    own = [F.max(F.when(F.col("place") == i, F.col(v))).alias(names[v][c]) for v in local for i, c in enumerate(columns)]
+    back = ranked.select(F.col(E).alias("_entity"), F.col(P).alias("_month"), "place", *local)
+    return back.groupBy("_entity", "_month").agg(*own), names
 
 
 def period_ranks(
@@ -143,26 +178,22 @@ def period_ranks(
     name = "{}" if replace else "{}__{}"
     if "dense_rank" in functions:  # counts the distinct values below, so every value has to meet its like
         return _dense_ranks(panel, columns, functions, nulls, replace, name)
-    rows = checkpoint(coded(panel, columns, *_points(panel, columns)))  # counts, rare cells and the result all read it
+    rows = staged(coded(panel, columns, *_points(panel, columns)))  # counts, rare cells and the result all read it
+    counts = checkpoint(_counts(rows, columns))
     codes, facts = (_by_column(columns, p) for p in ("k", "f"))
-    part = Window.partitionBy(P, "feature", "code")
-    # longs, which are folded by hash; ties only where a function asks for them
-    local = {"less": F.rank().over(part.orderBy("value")).cast("long") - 1}
-    if set(functions) - {"percent_rank", "rank"}:
-        local["ties"] = F.count(F.lit(1)).over(Window.partitionBy(P, "feature", "code", "value"))
-    rare = _widen(rare_cells(rows, columns).withColumns({f"_{v}": e for v, e in local.items()}), columns, {f"_{v}": "{}" + f"_{v}" for v in local})
-    places = {v: _by_column(columns, v) for v in local}
-    rare = rare.select(F.col(E).alias("_entity"), F.col(P).alias("_month"), *[F.col(f"`{c}_{v}`").alias(n) for v, names in places.items() for c, n in names.items()])
-    joined = rows.join(F.broadcast(checkpoint(_facts(rows, columns))), F.col(P).eqNullSafe(F.col("_period"))).join(
-        rare, F.col(E).eqNullSafe(F.col("_entity")) & F.col(P).eqNullSafe(F.col("_month")), "left"
+    rare, places = _placed_rare(rows, columns, counts, ties=bool(set(functions) - {"percent_rank", "rank"}))
+    # the facts come last: joined before, every row would carry them through the shuffle
+    joined = rows.join(rare, F.col(E).eqNullSafe(F.col("_entity")) & F.col(P).eqNullSafe(F.col("_month")), "left").join(
+        F.broadcast(checkpoint(_facts(counts, columns))), F.col(P).eqNullSafe(F.col("_period"))
     )
 
     def placed(c: str) -> Column:
         code, f = F.col(codes[c]), F.col(facts[c])
         own = {v: F.col(names[c]) for v, names in places.items()}
         null, frequent = code < 0, code % 2 == 1
-        less = F.when(null, f["n"] - f["nulls"]).otherwise(F.get(f["less"], code) + F.when(frequent, 0).otherwise(own["less"]))
-        ties = F.when(null, f["nulls"]).when(frequent, F.get(f["rows"], code)).otherwise(own.get("ties", F.lit(None).cast("long")))
+        at = F.try_element_at(f["frequent"], code)
+        less = F.when(null, f["n"] - f["nulls"]).when(frequent, at["less"]).otherwise(own["less"])
+        ties = F.when(null, f["nulls"]).when(frequent, at["rows"]).otherwise(own.get("ties", F.lit(None).cast("long")))
         return F.struct(less.cast("long").alias("less"), ties.alias("ties"), f["n"].alias("n"), F.lit(None).cast("long").alias("level"))
 
     filled = joined.withColumns({f"_at_{i}": placed(c) for i, c in enumerate(columns)})
