@@ -2,20 +2,20 @@
 
 Passages are `PASSAGE` words, half overlapping, so each is two neighbouring cells of half as many words. Their TF-IDF rows (a term counts
 once a cell, weighted by the inverse share of all corpus cells that hold it; all terms of the benchmark carry weight, and all cells are
-counted) form a matrix A. The space is fitted on the passages of about `SAMPLE` documents, chosen by hash, and the benchmark's own rows,
-which together weigh as much: one pass sums Z = A'(A Omega) for a random Omega of RANK + EXTRA columns, map side first, and the randomised
+counted) form a matrix A. The space is fitted on the passages of all documents and the benchmark's own rows, which together weigh as
+much: one pass sums Z = A'(A Omega) for a random Omega of RANK + EXTRA columns, map side first, and the randomised
 decomposition of A'A from Z and Omega gives the top RANK right singular vectors. The search then puts every passage of every row into that
 space, each cell projected once and neighbours added, and takes those whose cosine with a benchmark passage is at least `COSINE`. Each
 candidate is checked on the text: the longest common subsequence with the whole item, in the words around the passage, must cover
 `VERBATIM` of it; or `PARAPHRASE` of it if the item's answer (its `answer` column, else its last sentence) is there as well.
 
 What is sent to the tasks is the benchmark's: its terms times RANK numbers. Items are taken in blocks of `WORDS` words (one item at
-least), so a larger benchmark means more passes over the documents, one for the counts and one for the search of each block, not larger
+least), so a larger benchmark means more passes over the documents, for the counts, the fit and the search of each block, not larger
 tasks: this fits benchmarks of up to some millions of words, not ones that rival the corpus. Tasks work in pieces: the terms of `ROWS`
 cells are summed and `COSINES` cosines made at a time, however long a text is and however many probes there are.
 
 Defined cases: null or empty texts match nothing; an item without words matches nothing; items with a null id are reported with it;
-repeated rows are reported as often as they occur (and count once in the sample); of an item's passages in a text the one that covers
+repeated rows are reported as often as they occur; of an item's passages in a text the one that covers
 most is reported, then the one with the highest cosine, then the first; very long texts are searched whole, a piece at a time; columns
 other than those named are not read, whatever their names; without items or documents the result is empty.
 """
@@ -37,8 +37,8 @@ from panelmill.llm.common import id_and_text, per_slice, slices
 
 #: Words of a passage; singular vectors and extra random columns; words of benchmark items of one round.
 PASSAGE, RANK, EXTRA, WORDS = 32, 240, 16, 64_000
-#: Documents that the space is fitted on (expected number); cells summed and cosines made at a time.
-SAMPLE, ROWS, COSINES = 2_000, 512, 1 << 21
+#: Cells summed and cosines made at a time.
+ROWS, COSINES = 512, 1 << 21
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.8
 _SEED = 7
 #: Numbers of a row of Z that are summed together.
@@ -250,16 +250,8 @@ def _squares(row: np.ndarray, term: np.ndarray, values: np.ndarray) -> np.ndarra
     return out
 
 
-def _sample(texts: DataFrame) -> DataFrame:
-    """The texts of about SAMPLE documents, by a hash of id and text; rows alike in both count once."""
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("i"), F.xxhash64("text").alias("h")]
-    rows = texts.count()
-    some = texts.select(*key, "text").filter(F.pmod(F.xxhash64("i", "h"), F.lit(max(1, rows // SAMPLE))) == 0)
-    return some.groupBy("i", "h").agg(F.first("text").alias("text")).select("text")
-
-
 def fit(texts: DataFrame, items: list[Item]) -> Space | None:
-    """Weights from all cells of `texts` (doc_id, text), singular vectors from a sample's passages and the items. None if the items have no words."""
+    """Weights from all cells of `texts` (doc_id, text), singular vectors from all their passages and the items. None if the items have no words."""
     items = [i for i in items if i.words]
     terms = {w: n for n, w in enumerate(sorted({w for i in items for w in i.words}))}
     if not terms:
@@ -287,7 +279,7 @@ def fit(texts: DataFrame, items: list[Item]) -> Space | None:
             )
 
     names = [f"z{i}" for i in range(COLUMNS)]
-    parts = _sample(texts).mapInArrow(sketch, ", ".join(["term int", "part int", *(f"{n} double" for n in names)]))
+    parts = texts.select("text").mapInArrow(sketch, ", ".join(["term int", "part int", *(f"{n} double" for n in names)]))
     z, passages = np.zeros((len(terms), columns + COLUMNS)), 0
     for r in parts.groupBy("term", "part").agg(*[F.sum(n).alias(n) for n in names]).toLocalIterator():  # the size of Z, whatever the input
         if r["term"] < 0:
