@@ -15,7 +15,7 @@ tasks: this fits benchmarks of up to some millions of words, not ones that rival
 cells are summed and `COSINES` cosines made at a time, however long a text is and however many probes there are.
 
 Defined cases: null or empty texts match nothing; an item without words matches nothing; items with a null id are reported with it;
-repeated rows are reported as often as they occur; of an item's passages in a text the one that covers
+repeated rows are reported as often as they occur (and count once in the fit); of an item's passages in a text the one that covers
 most is reported, then the one with the highest cosine, then the first; very long texts are searched whole, a piece at a time; columns
 other than those named are not read, whatever their names; without items or documents the result is empty.
 """
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import id_and_text, per_slice, slices
+from panelmill.session import broadcast_if_small
 
 #: Words of a passage; singular vectors and extra random columns; words of benchmark items of one round.
 PASSAGE, RANK, EXTRA, WORDS = 32, 240, 16, 64_000
@@ -250,6 +251,16 @@ def _squares(row: np.ndarray, term: np.ndarray, values: np.ndarray) -> np.ndarra
     return out
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """All texts; of rows alike in id and text one. Only texts of repeated rows are shuffled, folded map-side first."""
+    rows = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("i"), F.xxhash64("text").alias("h"), "text")
+    copies = rows.groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = broadcast_if_small(copies.select(F.col("i").alias("_i"), F.col("h").alias("_h")))
+    same = (F.col("i") == F.col("_i")) & (F.col("h") == F.col("_h"))
+    again = rows.join(copies, same, "left_semi").groupBy("i", "h").agg(F.first("text").alias("text"))
+    return rows.join(copies, same, "left_anti").select("text").unionByName(again.select("text"))
+
+
 def fit(texts: DataFrame, items: list[Item]) -> Space | None:
     """Weights from all cells of `texts` (doc_id, text), singular vectors from all their passages and the items. None if the items have no words."""
     items = [i for i in items if i.words]
@@ -279,7 +290,7 @@ def fit(texts: DataFrame, items: list[Item]) -> Space | None:
             )
 
     names = [f"z{i}" for i in range(COLUMNS)]
-    parts = texts.select("text").mapInArrow(sketch, ", ".join(["term int", "part int", *(f"{n} double" for n in names)]))
+    parts = _once(texts).mapInArrow(sketch, ", ".join(["term int", "part int", *(f"{n} double" for n in names)]))
     z, passages = np.zeros((len(terms), columns + COLUMNS)), 0
     for r in parts.groupBy("term", "part").agg(*[F.sum(n).alias(n) for n in names]).toLocalIterator():  # the size of Z, whatever the input
         if r["term"] < 0:
