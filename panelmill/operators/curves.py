@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.functions.draws import uniform
-from panelmill.operators.ordered import _KEY, _ONE, _TWO, _in_blocks
+from panelmill.operators.ordered import _KEY, _ONE, _TWO, _blocks, _in_blocks
 from panelmill.operators.ranking import contribution
 from panelmill.session import checkpoint
 
@@ -112,29 +112,38 @@ def minimax(summary: DataFrame, k: str, losses_positive: bool) -> DataFrame:
     return both.select(F.col("a.k").alias("corte_minimax"), F.col("b.k").alias("corte_esperado"), (F.col("a.v") * sign).alias("peor_en_minimax"))
 
 
-def draw_optima(ranked: DataFrame, repetitions: int, share: float = 0.25) -> DataFrame:
-    """(rep, k_publico, privado_en_argmax, k_real): where the public curve of each draw peaks over all places, and what following it earns on the rest.
+def draw_sums(ranked: DataFrame, repetitions: int, share: float = 0.25) -> DataFrame:
+    """(rep, block, pub, all, best, best_k, rest, top, top_k): each block of a numbered ranking summed up once for each draw.
 
-    Each block of the numbered ranking is shuffled once, as a list in order, and summed up once for each draw.
+    A block is shuffled once, as a list in order. A row's number is drawn once per draw, before the sums, which use what it earns in
+    public several times. The blocks stay spread, however few bytes they have: the draws multiply their work.
     """
     gain = contribution(F.col("positivo").cast("boolean"))
     row = F.struct(F.col("puesto").cast("long").alias("k"), F.col(E).alias("e"), gain.alias("g"))
-    blocks = ranked.groupBy(F.floor((F.col("puesto") - 1) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    numbered = ranked.select(F.floor((F.col("puesto") - 1) / BLOCK).alias("block"), row.alias("row"))
+    blocks = numbered.repartition(_blocks(ranked.sparkSession), "block").groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     drawn = blocks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
     state = "struct<pub: long, all: long, best: long, best_k: long, rest: long, top: long, top_k: long>"
     low = -(2**62)
     start = F.struct(*[F.lit(v).cast("long") for v in (0, 0, low, 0, 0, low, 0)]).cast(state)
 
+    def draw(r: Column) -> Column:
+        return F.struct(r["k"].alias("k"), r["g"].alias("g"), F.when(uniform(r["e"], "rep") < share, r["g"]).otherwise(F.lit(0)).cast("long").alias("p"))
+
     def add(s: Column, r: Column) -> Column:
-        pub = s["pub"] + F.when(uniform(r["e"], "rep") < share, r["g"]).otherwise(F.lit(0).cast("long"))
-        whole = s["all"] + r["g"]
+        pub, whole = s["pub"] + r["p"], s["all"] + r["g"]
         peak, real = pub > s["best"], whole > s["top"]
         return F.struct(
             pub.alias("pub"), whole.alias("all"), F.when(peak, pub).otherwise(s["best"]).alias("best"), F.when(peak, r["k"]).otherwise(s["best_k"]).alias("best_k"),
             F.when(peak, whole - pub).otherwise(s["rest"]).alias("rest"), F.when(real, whole).otherwise(s["top"]).alias("top"), F.when(real, r["k"]).otherwise(s["top_k"]).alias("top_k"),
         )
 
-    sums = checkpoint(drawn.select("rep", "block", F.aggregate("rows", start, add).alias("s")).select("rep", "block", "s.*"))
+    return drawn.select("rep", "block", F.aggregate(F.transform("rows", draw), start, add).alias("s")).select("rep", "block", "s.*")
+
+
+def draw_optima(ranked: DataFrame, repetitions: int, share: float = 0.25) -> DataFrame:
+    """(rep, k_publico, privado_en_argmax, k_real): where the public curve of each draw peaks over all places, and what following it earns on the rest."""
+    sums = checkpoint(draw_sums(ranked, repetitions, share))
     before = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     pub, whole = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("pub", "all"))
     placed = sums.select(

@@ -109,3 +109,9 @@ def test_draws_peak_where_their_running_sums_do(spark, months, monkeypatch):
         k = public.argmax()
         assert got[rep] == (k + 1, rest[k], g.cumsum().argmax() + 1)
     assert max(v[0] for v in got.values()) > 600
+
+
+def test_a_number_is_drawn_once_for_all_sums(spark, months):
+    """The sums named it six times, so its digest was computed four to six times for every row and draw."""
+    sums = C.draw_sums(R.ranking(spark.createDataFrame(months[1])), 8)
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
