@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +90,60 @@ def concept_drift(panel: DataFrame, columns: Sequence[str], periods: Sequence[in
     )
 
 
+def comoments(rows: DataFrame) -> DataFrame:
+    """(n, means, moments): of all double columns together, the rows, the means and the sums of products of differences from them.
+
+    Each task folds its Arrow batches; one small row per task is shuffled, and these are merged the same way.
+    """
+    width = len(rows.columns)
+
+    def merged(a, b):
+        if a is None:
+            return b
+        n, gap = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+    def told(state) -> pa.RecordBatch:
+        cells = [[state[0]], [state[1].tolist()], [state[2].ravel().tolist()]]
+        return pa.RecordBatch.from_pydict({"n": pa.array(cells[0], pa.int64()), **{
+            k: pa.array(v, pa.list_(pa.float64())) for k, v in zip(("means", "moments"), cells[1:])}})
+
+    def fold(batches):
+        state = None
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                means = x.mean(axis=0)
+                x -= means
+                state = merged(state, (b.num_rows, means, x.T @ x))
+        if state:
+            yield told(state)
+
+    def merge(batches):
+        state = None
+        for b in batches:
+            for n, means, moments in zip(*[c.to_pylist() for c in b.columns]):
+                state = merged(state, (n, np.array(means), np.array(moments).reshape(width, width)))
+        if state:
+            yield told(state)
+
+    schema = "n long, means array<double>, moments array<double>"
+    return rows.mapInArrow(fold, schema).repartition(1).mapInArrow(merge, schema)
+
+
 def correlated_pairs(panel: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> DataFrame:
-    """(a, b, r) for column pairs with |r| at or above the threshold; NULL counts as 0.
+    """(a, b, r) for column pairs with |r| at or above the threshold; NULL counts as 0. A constant column has no correlation.
 
     The correlation matrix is one distributed pass; only its cells come to the driver.
     """
     filled = panel.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(filled).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    all_rows = comoments(filled).first()
+    if all_rows is None or all_rows.n < 2:
+        raise ValueError("a correlation needs two rows or more")
+    covariance = np.array(all_rows.moments).reshape(len(columns), len(columns)) / (all_rows.n - 1)
+    variance = covariance.diagonal()
+    deviation = np.where(variance <= 1e-12, np.nan, np.sqrt(variance))
+    matrix = covariance / np.outer(deviation, deviation)
     rows = [
         (a, b, float(matrix[i, j]))
         for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j and abs(matrix[i, j]) >= threshold

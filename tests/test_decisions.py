@@ -201,3 +201,19 @@ def test_psi_and_auc_against_numpy(spark, many_blocks):
     low = {r[P]: r.auc for r in D.univariate_auc(panel, ["x"], nulls="bottom").collect()}
     top = {r[P]: r.auc for r in D.univariate_auc(panel, ["x"], nulls="top").collect()}
     assert all(low[p] > top[p] for p in low)  # the NULL rows are all negatives
+
+
+def test_comoments_of_many_tasks_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=4_000) * 1e3 + 1e6
+    frame = pd.DataFrame({"a": x, "b": 2 * x + rng.normal(size=4_000), "c": rng.normal(size=4_000), "d": 7.3})
+    panel = spark.createDataFrame(frame).withColumn("c", F.when(F.col("c") < 1, F.col("c"))).repartition(9)
+    told = D.comoments(panel.fillna(0.0)).collect()
+    want = frame.assign(c=frame.c.where(frame.c < 1, 0.0))
+    assert len(told) == 1 and told[0].n == 4_000
+    np.testing.assert_allclose(np.array(told[0].moments).reshape(4, 4) / 3_999, want.cov(), rtol=1e-8, atol=1e-8)
+    pairs = [tuple(r) for r in D.correlated_pairs(panel, ["a", "b", "c", "d"], 0.0).collect()]
+    assert [p[:2] for p in pairs] == [("a", "b"), ("a", "c"), ("b", "c")]  # the constant has none
+    np.testing.assert_allclose([p[2] for p in pairs], [want.corr().loc[p[0], p[1]] for p in pairs], atol=1e-9)
+    with pytest.raises(ValueError, match="two rows"):
+        D.correlated_pairs(panel.limit(1), ["a", "b"])
