@@ -46,6 +46,20 @@ def test_selection_is_exact_where_the_sketch_misses(spark, monkeypatch):
     assert got == {(1, "a"): 1250.0}
 
 
+def test_selection_folds_values_before_they_are_rows(spark, monkeypatch):
+    """Every cell became a row of its own before it was counted; with too many periods to look up in the tasks it still does, to the same end."""
+    rng = np.random.default_rng(5)
+    data = [(None if i % 3 == 0 else i % 3, *(None if rng.random() < 0.2 else float(v) for v in rng.choice([-0.0, 1.5, 2.5, 7.0, float("nan")], 2))) for i in range(3_000)]
+    panel = spark.createDataFrame(data, f"{P} int, a double, b double").checkpoint()
+    told = selection.counts_around(panel, [F.col("a"), F.col("b")], 0.5)
+    assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda rows: sorted(str(tuple(r)).replace("-0.0", "0.0") for r in rows.collect())
+    got = key(told)
+    monkeypatch.setattr(selection, "BROADCAST_BYTES", 0)
+    joined = selection.counts_around(panel, [F.col("a"), F.col("b")], 0.5)
+    assert "Generate" in joined._jdf.queryExecution().optimizedPlan().toString() and key(joined) == got
+
+
 # --- panels by entity -------------------------------------------------------------------------
 
 def test_label_history_and_repairs_read_the_layout_without_exchange(spark):
