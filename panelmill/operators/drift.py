@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
-from panelmill.operators.ordered import group_quantiles, unpivot
+from panelmill.operators.ordered import cells, group_quantiles, named, unpivot
 from panelmill.operators.ranking import auc_from_values
 from panelmill.session import broadcast_if_small
 
@@ -25,11 +25,11 @@ def univariate_auc(panel: DataFrame, columns: Sequence[str], positive: str = K.L
     """
     y = F.coalesce(F.col(L) == positive, F.lit(False)).cast("int")
     keep = [P, "_y"] if by_period else ["_y"]
-    long = unpivot(panel.withColumn("_y", y), keep, columns)
+    long = cells(panel.withColumn("_y", y), keep, columns)
     if nulls == "bottom":
         long = long.withColumn("value", F.coalesce("value", F.lit(float("-inf"))))
-    group = [P, "feature"] if by_period else ["feature"]
-    return auc_from_values(long, group, "value", F.col("_y"))
+    group = [P, "place"] if by_period else ["place"]
+    return named(auc_from_values(long, group, "value", F.col("_y")), columns)
 
 
 def signal(aucs: DataFrame) -> DataFrame:

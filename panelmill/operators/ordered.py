@@ -257,3 +257,16 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], keep_nul
         list(keep), list(columns), "feature", "value"
     )
     return long if keep_nulls else long.filter(F.col("value").isNotNull())
+
+
+def cells(df: DataFrame, keep: Sequence[str], columns: Sequence[str], keep_nulls: bool = True) -> DataFrame:
+    """The long form with the column's place in `columns` instead of its name, for rows that are shuffled: `(keep..., place int, value double)`."""
+    told = [x for i, c in enumerate(columns) for x in (F.lit(i), F.col(c).cast("double"))]
+    long = df.select(*keep, F.stack(F.lit(len(columns)), *told).alias("place", "value"))
+    return long if keep_nulls else long.filter(F.col("value").isNotNull())
+
+
+def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`place` of `cells` as `feature`, the column's name."""
+    names = F.array(*[F.lit(c) for c in columns])
+    return df.select(*[F.get(names, F.col(c)).alias("feature") if c == "place" else F.col(c) for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
 from panelmill.operators.history import history
-from panelmill.operators.ordered import RANK_FUNCTIONS, group_quantiles, ntile_of, row_numbers, unpivot, value_positions
+from panelmill.operators.ordered import RANK_FUNCTIONS, cells, group_quantiles, named, ntile_of, row_numbers, value_positions
 
 E, P, L = K.ENTITY, K.PERIOD, K.LABEL
 
@@ -98,14 +98,14 @@ def empirical_distribution(panel: DataFrame, group: str, column: str) -> DataFra
 def ks_separation(panel: DataFrame, columns: Sequence[str], positive: str = K.LEAVES_IN_TWO, digits: int = 9) -> DataFrame:
     """(period, feature, ks): largest distance between the class distributions of a column."""
     y = (F.col(L) == positive).cast("int")
-    long = unpivot(panel.withColumn("_y", y), [P, "_y"], columns, keep_nulls=False)
+    long = cells(panel.withColumn("_y", y), [P, "_y"], columns, keep_nulls=False)
     runs = value_positions(
-        long, [P, "feature"], "value", {"pos": F.sum("_y"), "neg": F.sum(1 - F.col("_y"))}
+        long, [P, "place"], "value", {"pos": F.sum("_y"), "neg": F.sum(1 - F.col("_y"))}
     )
     gap = F.abs(
         F.try_divide(F.col("pos_upto"), F.col("pos_total")) - F.try_divide(F.col("neg_upto"), F.col("neg_total"))
     )
-    return runs.groupBy(P, "feature").agg(F.round(F.max(gap), digits).alias("ks"))
+    return named(runs.groupBy(P, "place").agg(F.round(F.max(gap), digits).alias("ks")), columns)
 
 
 def histogram(panel: DataFrame, column: str, low: float, high: float, buckets: int) -> DataFrame:

@@ -176,3 +176,14 @@ def test_facts_beyond_their_bytes_leave_fewer_parts(spark, frame, monkeypatch):
     assert R._points(panel, ["mx"])[0].select(F.max(F.size("_p_0"))).first()[0] < 63
     np.testing.assert_array_equal(got["mx__rank"], frame["value"].rank(method="min", na_option="bottom"))
     np.testing.assert_allclose(got["mx__cume_dist"], frame["value"].rank(method="max", na_option="bottom") / len(frame))
+
+
+def test_cells_are_the_long_form_without_names(spark):
+    """Every shuffled row carried its column's name, as text; the place in the list of columns tells as much."""
+    from panelmill.operators.ordered import cells, named, unpivot
+
+    panel = spark.createDataFrame([(1, 2.5, 3), (2, None, 4), (None, 0.0, None)], "k int, a double, b int")
+    for keep_nulls in (True, False):
+        long = cells(panel, ["k"], ["a", "b"], keep_nulls)
+        assert [f.dataType.simpleString() for f in long.schema] == ["int", "int", "double"]
+        assert sorted(map(str, named(long, ["a", "b"]).collect())) == sorted(map(str, unpivot(panel, ["k"], ["a", "b"], keep_nulls).collect()))
