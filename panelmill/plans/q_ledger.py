@@ -39,9 +39,14 @@ def _submissions(spark, folder):
 
 
 def _files(spark, folder):
+    return _files_of(table(spark, folder, "lineitem"))
+
+
+def _files_of(lines):
+    """The files that line items stand for; lines are joined before, which shuffles their keys and not the texts made of them."""
     name = F.concat_ws("_", F.lit("a"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                        F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return table(spark, folder, "lineitem").select(
+    return lines.select(
         F.col("l_orderkey").alias("submit_id"), name.alias("nombre"), F.concat(F.lit("envios/"), name).alias("ruta"),
         F.col("l_quantity").cast("int").alias("n_envios"),
     )

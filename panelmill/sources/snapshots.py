@@ -56,7 +56,7 @@ def publish(spark: SparkSession, folder: str, changed: Mapping[str, DataFrame],
     tables = contents(spark, folder, based_on)
     for name, frame in changed.items():
         path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
-        frame.write.mode("errorifexists").parquet(path)
+        frame.write.mode("errorifexists").option("compression", "zstd").parquet(path)
         tables[name] = path
     _put(spark, folder, based_on + 1, json.dumps(tables, sort_keys=True))
     return based_on + 1

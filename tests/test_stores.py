@@ -131,3 +131,22 @@ def test_equal_and_empty_tables_do_not_differ(spark, tmp_path):
     assert digest_tree.differing_buckets(spark, at("a"), at("b")) == [] == digest_tree.differing_buckets(spark, at("c"), at("d"))
     assert digest_tree.tree_differences(spark, at("a"), at("b")).count() == 0
     assert digest_tree.tree_differences(spark, at("a"), at("c")).count() == 50
+
+
+def test_texts_of_files_are_made_after_their_lines_are_joined(spark, tmp_path):
+    """Joined as files, every line carried its name and path through the shuffle; versions were written without zstd."""
+    from panelmill.plans.q_ledger import _files_of
+
+    lines = spark.range(50).selectExpr("id as l_orderkey", "1 as l_linenumber", "2 as l_partkey", "3 as l_suppkey", "4.0d as l_quantity")
+    late = spark.range(40, 60).withColumnRenamed("id", "l_orderkey")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        listed = _files_of(lines.join(late, "l_orderkey", "left_anti"))
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("concat_ws") < plan.index("SortMergeJoin") and plan.count("concat_ws") <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    snapshots.publish(spark, str(tmp_path / "v"), {"archivo": listed}, 0)
+    written = [p.name for p in (tmp_path / "v").rglob("part-*.parquet")]
+    assert written and all(".zstd." in name for name in written)
+    assert sorted(r.submit_id for r in snapshots.read(spark, str(tmp_path / "v"))["archivo"].collect()) == list(range(40))
