@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
-from panelmill.operators.ordered import cells, group_quantiles, named, unpivot
+from panelmill.operators.ordered import cells, group_quantiles, named
 from panelmill.operators.ranking import auc_from_values
-from panelmill.session import broadcast_if_small
+from panelmill.session import broadcast_if_small, checkpoint
 
 P, L = K.PERIOD, K.LABEL
 
@@ -45,28 +45,30 @@ def psi(panel: DataFrame, columns: Sequence[str], reference: int, current: int,
     Equal edges are merged, values outside the edges are dropped, the last bin is closed.
     Columns with fewer than three distinct edges get NULL.
     """
-    long = unpivot(panel.filter(F.col(P).isin(reference, current)), [P], columns, keep_nulls=False)
-    counts = long.groupBy(P, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = cells(panel.filter(F.col(P).isin(reference, current)), [P], columns, keep_nulls=False)
+    # edges and bins both come of these counts, so the panel itself is read once
+    counts = checkpoint(long.groupBy(P, "place", "value").agg(F.count(F.lit(1)).alias("n")))
     names = {f"q{i}": i / bins for i in range(bins + 1)}
-    edges = group_quantiles(long.filter(F.col(P) == reference), ["feature"], "value", names).select(
-        "feature", F.array_sort(F.array_distinct(F.array(*names))).alias("_edges")
+    edges = group_quantiles(counts.filter(F.col(P) == reference), ["place"], "value", names, "n").select(
+        "place", F.array_sort(F.array_distinct(F.array(*names))).alias("_edges")
     )
-    binned = counts.join(broadcast_if_small(edges), "feature").filter(
+    edges = broadcast_if_small(edges, 16 + 8 * len(names))
+    binned = counts.join(edges, "place").filter(
         (F.size("_edges") >= 3) & F.col("value").between(F.element_at("_edges", 1), F.element_at("_edges", -1))
     )
     bin_ = F.least(F.size(F.filter("_edges", lambda e: e <= F.col("value"))), F.size("_edges") - 1)
-    sums = binned.groupBy("feature", (F.size("_edges") - 1).alias("_bins"), bin_.alias("_bin")).agg(
+    sums = binned.groupBy("place", (F.size("_edges") - 1).alias("_bins"), bin_.alias("_bin")).agg(
         F.sum(F.when(F.col(P) == reference, F.col("n")).otherwise(0)).alias("e"),
         F.sum(F.when(F.col(P) == current, F.col("n")).otherwise(0)).alias("a"),
     )
-    whole = Window.partitionBy("feature")
+    whole = Window.partitionBy("place")
     tiny = F.lit(1e-10)
     share = lambda c: F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)) + tiny
     shares = sums.withColumns({"_a": share("a"), "_e": share("e")})
     gap = (F.col("_a") - F.col("_e")) * F.ln(F.col("_a") / F.col("_e"))
     # A bin empty in both periods has equal shares and adds nothing, so missing bins need no row.
-    measured = shares.groupBy("feature").agg(F.sum(gap).alias("psi"))
-    return edges.select("feature").join(measured, "feature", "left")
+    measured = shares.groupBy("place").agg(F.sum(gap).alias("psi"))
+    return named(edges.select("place").join(measured, "place", "left"), columns)
 
 
 def concept_drift(panel: DataFrame, columns: Sequence[str], periods: Sequence[int], most_psi: float = 0.1,

@@ -152,8 +152,9 @@ def value_positions(
     group: Sequence[str],
     value: str = "value",
     sums: Mapping[str, Column] | None = None,
+    ties: str | None = None,
 ) -> DataFrame:
-    """One row per (group, value): its copies and where they sit in the group's order.
+    """One row per (group, value): its copies and where they sit in the group's order. `ties` names a column of copies, if rows are counted already.
 
     `ties` rows hold the value, `less` rows are strictly below (NULL sorts last), `n` rows are
     in the group, `level` is the dense rank. Extra `sums` are added up per value and run
@@ -162,7 +163,7 @@ def value_positions(
     """
     sums = dict(sums or {})
     counts = df.groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("ties"), *[e.alias(n) for n, e in sums.items()]
+        (F.count(F.lit(1)) if ties is None else F.sum(ties)).alias("ties"), *[e.alias(n) for n, e in sums.items()]
     )
     run = running_sums(
         counts,
@@ -232,13 +233,13 @@ def with_value_ranks(
 
 
 def group_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float]
+    df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float], ties: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of the non-NULL values of each group.
+    """Exact linear-interpolated quantiles of the non-NULL values of each group; `ties` names a column of copies, if rows are counted already.
 
     Works on distinct values and their running counts, so no task holds a whole group.
     """
-    positions = value_positions(df.filter(F.col(value).isNotNull()), group, value)
+    positions = value_positions(df.filter(F.col(value).isNotNull()), group, value, ties=ties)
     parts, outs = [], []
     for name, q in quantiles.items():
         at = F.lit(q) * (F.col("n") - 1)

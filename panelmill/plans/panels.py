@@ -164,6 +164,20 @@ def _exprs(columns: dict[str, str]) -> list:
     return [F.expr(e).alias(n) for n, e in columns.items()]
 
 
+#: Amounts of a line item that several measures sum, rounded once a row.
+_CENTS = {
+    "_ext": "cast(round(l_extendedprice * 100) as bigint)",
+    "_disc": "cast(round(l_extendedprice * l_discount * 100) as bigint)",
+    "_tax": "cast(round(l_extendedprice * l_tax * 100) as bigint)",
+}
+
+
+def _of_cents(expr: str) -> str:
+    for name, amount in _CENTS.items():
+        expr = expr.replace(amount, name)
+    return expr
+
+
 def bank_panel(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """Customer x year panel with the bank's column names (all of them, or `columns`).
 
@@ -177,8 +191,9 @@ def bank_panel(spark: SparkSession, folder: str, columns: list[str] | None = Non
     if needed:
         lines = (
             table(spark, folder, "lineitem")
+            .select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", *_exprs(_CENTS))
             .groupBy("l_orderkey")
-            .agg(*_exprs({c: _LINE_MEASURES[c] for c in needed}))
+            .agg(*_exprs({c: _of_cents(_LINE_MEASURES[c]) for c in needed}))
         )
         orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return (

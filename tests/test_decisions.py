@@ -203,6 +203,21 @@ def test_psi_and_auc_against_numpy(spark, many_blocks):
     assert all(low[p] > top[p] for p in low)  # the NULL rows are all negatives
 
 
+def test_psi_reads_the_panel_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, p, float(i % 17 + (p == 202106) * (i % 3))) for i in range(300) for p in (202103, 202104, 202106)]
+    panel = spark.createDataFrame(rows, f"{E} long, {P} int, x double")
+    want = D.psi(panel, ["x"], 202103, 202106).first().psi
+    once = D.psi(panel.mapInArrow(counted, panel.schema), ["x"], 202103, 202106)
+    assert once.first().psi == pytest.approx(want, abs=1e-12) and want > 0 and read.value == 900
+
+
 def test_comoments_of_many_tasks_are_those_of_all_rows(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=4_000) * 1e3 + 1e6
