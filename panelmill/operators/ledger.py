@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.session import spread
+
 # States a submission can be in.
 STATES = ("preparado", "enviado", "respondido", "fallido", "descartado")
 NAME_PATTERN = r"^[A-Za-z0-9_-]+$"
@@ -35,14 +37,17 @@ def _refuse(rows: DataFrame, why: str) -> None:
         raise ValueError(f"{why}: {first[0].asDict()}")
 
 
-def append_submissions(submissions: DataFrame, files: DataFrame, new: DataFrame, new_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def append_submissions(submissions: DataFrame, files: DataFrame, new: DataFrame, new_files: DataFrame,
+                       tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables with the new rows, or an error and no change at all.
 
-    Names are unique and plain; files belong to a new submission and are unique inside it.
+    Names are unique and plain; files belong to a new submission and are unique inside it. `tasks` deals the names over so many
+    tasks (`session.tasks_for`); the caller deals ids.
     """
+    names, known = (spread(rows.select("nombre"), tasks, "nombre") for rows in (new, submissions))
     _refuse(new.filter(~F.col("nombre").rlike(NAME_PATTERN)), "name with other characters")
-    _refuse(new.groupBy("nombre").count().filter("count > 1"), "name given twice")
-    _refuse(new.join(submissions.select("nombre"), "nombre", "left_semi"), "name already recorded")
+    _refuse(names.groupBy("nombre").count().filter("count > 1"), "name given twice")
+    _refuse(names.join(known, "nombre", "left_semi"), "name already recorded")
     _refuse(new_files.groupBy("submit_id", "nombre").count().filter("count > 1"), "file given twice")
     _refuse(
         new_files.join(new.select(F.col("id").alias("submit_id")), "submit_id", "left_anti"), "file without submission"

@@ -10,6 +10,7 @@ from panelmill.plans.base import E, P
 from panelmill.plans.panels import bank_panel, bank_sql
 from panelmill.plans.registry import query
 from panelmill.plans.scores import RANK_FRACTION_SQL, SCORED_PERIOD, scores, scores_sql
+from panelmill.session import spread, tasks_for
 from panelmill.sources import files as IO
 from panelmill.sources.tables import table
 
@@ -91,12 +92,15 @@ def ledger_upsert(spark, folder):
     from orders left join n on l_orderkey = o_orderkey""",
 )
 def ledger_append(spark, folder):
-    subs, files = _submissions(spark, folder), _files(spark, folder)
-    late = table(spark, folder, "orders").filter(F.year("o_orderdate") >= 2000).select(F.col("o_orderkey").alias("id"))
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    tasks = tasks_for(spark, max(orders.count(), lines.count()))
+    # the optimiser joins before it deals the lines, so the late ids are dealt as well: the join takes their tasks over
+    subs, lines = _submissions(spark, folder), spread(lines, tasks, "l_orderkey")
+    late = spread(orders.filter(F.year("o_orderdate") >= 2000).select(F.col("o_orderkey").alias("id")), tasks, "id")
     old, new = subs.join(late, "id", "left_anti"), subs.join(late, "id", "left_semi").drop("estado")
-    late_files = late.withColumnRenamed("id", "submit_id")
+    late_lines = late.withColumnRenamed("id", "l_orderkey")
     all_subs, all_files = G.append_submissions(
-        old, files.join(late_files, "submit_id", "left_anti"), new, files.join(late_files, "submit_id", "left_semi"),
+        old, _files_of(lines.join(late_lines, "l_orderkey", "left_anti")), new, _files_of(lines.join(late_lines, "l_orderkey", "left_semi")), tasks,
     )
     counted = all_files.groupBy(F.col("submit_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return all_subs.join(counted, "id", "left").select(

@@ -13,6 +13,7 @@ from panelmill.plans.base import E, P
 from panelmill.plans.q_ledger import _LEDGER, _files_of, _results, _submissions
 from panelmill.plans.registry import query
 from panelmill.plans.scores import MODELS, RANK_FRACTION_SQL, SCORED_PERIOD, scores, scores_sql
+from panelmill.session import spread, tasks_for
 from panelmill.sources import digest_tree, files, score_store, snapshots
 from panelmill.sources.tables import table
 
@@ -57,14 +58,16 @@ def ledger_versions(spark, folder):
     """Submissions with their files, then results with the states they change, each published as one version; all versions read back."""
     path = files.shared_folder(spark, "ledger")
     subs, lines = _submissions(spark, folder), table(spark, folder, "lineitem")
-    late = table(spark, folder, "orders").filter(F.year("o_orderdate") >= 2000).select(F.col("o_orderkey").alias("id"))
+    orders = table(spark, folder, "orders")
+    tasks = tasks_for(spark, max(orders.count(), lines.count()))
+    late = spread(orders.filter(F.year("o_orderdate") >= 2000).select(F.col("o_orderkey").alias("id")), tasks, "id")
     late_files, late_lines = late.withColumnRenamed("id", "submit_id"), late.withColumnRenamed("id", "l_orderkey")
     first = {"submit": subs.join(late, "id", "left_anti"), "archivo": _files_of(lines.join(late_lines, "l_orderkey", "left_anti")),
              "resultado": _results(spark, folder).join(late_files, "submit_id", "left_anti")}
     v1 = snapshots.publish(spark, path, first, 0)
     now = snapshots.read(spark, path, v1)
     new = subs.join(late, "id", "left_semi").drop("estado")
-    added = G.append_submissions(now["submit"], now["archivo"], new, _files_of(lines.join(late_lines, "l_orderkey", "left_semi")))
+    added = G.append_submissions(now["submit"], now["archivo"], new, _files_of(lines.join(late_lines, "l_orderkey", "left_semi")), tasks)
     v2 = snapshots.publish(spark, path, dict(zip(("submit", "archivo"), added)), v1)
     now = snapshots.read(spark, path, v2)
     answers = table(spark, folder, "orders").filter("o_orderstatus = 'O'").select(

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from panelmill.functions import keys as K
+from panelmill import session
 from panelmill.operators import ledger as G
 from panelmill.sources import files as IO
 
@@ -107,6 +108,23 @@ def test_append_is_all_or_nothing(spark, submits, files):
             G.append_submissions(submits, files, n, nf)
 
 
+def test_names_are_dealt_over_more_tasks_as_rows_grow(spark, submits, files, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    tasks = [session.tasks_for(spark, n) for n in (0, 10, 39, 400, 4_000)]
+    assert tasks == [None, None, None, 40, 400]  # four cores take ten rows each without
+    seen = []
+    refuse = G._refuse
+    monkeypatch.setattr(G, "_refuse", lambda rows, why: (seen.append(rows), refuse(rows, why)))
+    new = spark.createDataFrame([(i, f"exp_{i}") for i in range(3, 403)], "id long, nombre string")
+    new_files = spark.createDataFrame([(i, "a", "r") for i in range(3, 403)], files.schema)
+    s, f = G.append_submissions(submits, files, new, new_files, tasks[3])
+    assert s.count() == 402 and f.count() == 403
+    assert seen[1].rdd.getNumPartitions() == 40  # not joined again into a few
+    twice = new.unionByName(new.limit(1))
+    with pytest.raises(ValueError, match="given twice"):
+        G.append_submissions(submits, files, twice, new_files, tasks[3])
+
+
 def test_states(submits):
     with pytest.raises(ValueError, match="invalid state"):
         G.set_state(submits, F.col("id") == 1, "perdido")
