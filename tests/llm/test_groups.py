@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -185,6 +186,23 @@ def test_short_lines_with_one_word_in_ten_changed_are_found(docs, words, typo):
     assert similar > 40 and found >= 0.9 * similar
 
 
+@pytest.mark.parametrize("part", [4_096, 3])
+def test_pairs_that_a_forest_leaves_out_are_compared(spark, monkeypatch, part):
+    monkeypatch.setattr(lines, "PART", part)
+    rng = random.Random(9)
+    told = [rng.getrandbits(12) for _ in range(40)]  # all within reach
+    rows = [(5, 100 + i, told[i]) for i in range(40)] + [(6, 100 + i, told[i]) for i in range(9)] + [(7, 100, 1), (7, 101, 2)]
+    batch = pa.RecordBatch.from_pydict({n: np.array(c, np.int64) for n, c in zip(("key", "node", "told"), zip(*rows, strict=True), strict=True)})
+    met = pa.Table.from_batches(list(lines._linked([batch.slice(0, 17), batch.slice(17)], 22)))
+    frame = spark.createDataFrame(met.to_pylist(), "reach int, key long, a long, b long")
+    forest = {(r.a, r.b) for r in frame.filter("reach = 0").collect()}
+    groups = spark.createDataFrame([(100 + i, 100 + i % 2) for i in range(30)], "node long, component long")
+    rest = lines._left_out(frame.filter("reach > 0"), groups).collect()
+    own = {100 + i: 100 + i % 2 if i < 30 else 100 + i for i in range(40)}
+    assert len(forest) < 100 and len(rest) == len(set(rest))
+    assert {(r.a, r.b) for r in rest} == {(a, b) for a in own for b in own if a < b and own[a] != own[b]}
+
+
 def test_line_edge_cases(docs):
     twice = docs((5, "same line here\nsame line here\n#"), (5, "same line here\nsame line here\n#"))
     assert [(r.n_lines, r.removed) for r in lines.removed_lines(twice).collect()] == [(3, [1]), (3, [1])]
