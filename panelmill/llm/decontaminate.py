@@ -3,10 +3,11 @@
 Passages are `PASSAGE` words, half overlapping, so each is two neighbouring cells of half as many words. Their TF-IDF rows (a term counts
 once a cell, weighted by the inverse share of all corpus cells that hold it; all terms of the benchmark carry weight, and all cells are
 counted) form a matrix A. The space is fitted on the passages of all documents and the benchmark's own rows, which together weigh as
-much: one pass sums Z = A'(A Omega) for a random Omega of RANK + EXTRA columns, map side first, and the randomised
-decomposition of A'A from Z and Omega gives the top RANK right singular vectors. The search then puts every passage of every row into that
-space, each cell projected once and neighbours added, and takes those whose cosine with a benchmark passage is at least `COSINE`. Each
-candidate is checked on the text: the longest common subsequence with the whole item, in the words around the passage, must cover
+much: one pass sums the pairs of terms that share a passage, each task makes Z = A'(A Omega) of its sums for a random Omega of
+RANK + EXTRA columns, Z is summed map side first, and the randomised decomposition of A'A from Z and Omega gives the top RANK right
+singular vectors. The search then puts every passage of every row into that space, each cell projected once and neighbours added, and
+takes those whose cosine with a benchmark passage is at least `COSINE`. Each candidate is checked on the text, if the cells around hold
+enough of the item's words: the longest common subsequence with the whole item, in the words around the passage, must cover
 `VERBATIM` of it; or `PARAPHRASE` of it if the item's answer (its `answer` column, else its last sentence) is there as well.
 
 What is sent to the tasks is the benchmark's: its terms times RANK numbers. Items are taken in blocks of `WORDS` words (one item at
@@ -40,6 +41,10 @@ from panelmill.session import broadcast_if_small
 PASSAGE, RANK, EXTRA, WORDS = 32, 240, 16, 64_000
 #: Cells summed and cosines made at a time.
 ROWS, COSINES = 512, 1 << 21
+#: Frequent terms whose pairs are summed in one array (128 MB), and pairs of others that are held before they are folded.
+DENSE, PAIRS = 4_096, 1 << 21
+#: Cells times terms looked up at a time, and cells of the longest items whose words are looked up before they are compared.
+BITS, FAR = 1 << 24, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.8
 _SEED = 7
 #: Numbers of a row of Z that are summed together.
@@ -131,6 +136,13 @@ class Space:
         own = _items_in(terms, items)
         cells, placed = (np.concatenate(c) for c in zip(*self.placed(own, 4096), strict=True))
         self.probes, self.probe_item = placed, own.text[cells]
+        self.sizes = np.array([len(i.words) for i in items])
+        self.reach = -(-self.sizes // Cells.HALF)
+        #: The numbers of the words of items of up to FAR cells, filled up with one that no text has.
+        self.item_words = np.full((len(items), FAR * Cells.HALF), len(terms))
+        for words, item in zip(self.item_words, items, strict=True):
+            if len(item.words) <= len(words):
+                words[: len(item.words)] = [terms[w] for w in item.words]
 
     def placed(self, c: Cells, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(cells that begin a passage, the passages' unit vectors) of `rows` cells at a time; passages without terms are left out."""
@@ -161,16 +173,56 @@ class Space:
             out[some] = sums
         return out
 
+    def _candidates(self, c: Cells, cells: np.ndarray, placed: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(cell, item, highest cosine of its passages) of the items that are near, if enough of their words may be around the cell."""
+        cosines = placed @ self.probes.T
+        row, probe = np.nonzero(cosines >= COSINE)
+        keys = row * len(self.items) + self.probe_item[probe]  # rising, as an item's probes lie side by side
+        if not len(keys):
+            return
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        best = np.maximum.reduceat(cosines[row, probe], first)
+        row, item = np.divmod(keys[first], len(self.items))
+        cell, span = cells[row], max(64, BITS // len(self.terms))
+        for begin in range(int(cell[0]), int(cell[-1]) + 1, span):
+            some = slice(*np.searchsorted(cell, [begin, begin + span]))
+            held = np.flatnonzero(self._around(c, cell[some], item[some])) + some.start
+            yield from zip(cell[held].tolist(), item[held].tolist(), best[held].tolist(), strict=True)
+
+    def _around(self, c: Cells, cell: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether PARAPHRASE of an item's words may be in the words around a cell (sorted), by the whole cells that these are in.
+
+        No pair that has them is lost; items of over FAR cells are not looked at.
+        """
+        reach = self.reach[item]
+        out = reach > FAR
+        if out.all():
+            return out
+        most, span = int(reach[~out].max()), int(cell[-1] - cell[0]) + 1
+        low = int(cell[0]) - most
+        there = np.zeros((span + 2 * most + 1, len(self.terms) + 1), bool)
+        own = slice(*np.searchsorted(c.cell, [low, low + len(there)]))
+        there[c.cell[own] - low, c.term[own]] = True
+        there = np.packbits(there, axis=1)
+        around = there[most : most + span]
+        for far in range(most + 1):
+            around = around | there[most - far : most - far + span] | there[most + 1 + far : most + 1 + far + span]
+            of_reach = np.flatnonzero(reach == far)
+            for begin in range(0, len(of_reach), ROWS * 8):
+                some = of_reach[begin : begin + ROWS * 8]
+                words = self.item_words[item[some], : far * c.HALF]
+                bits = around[(cell[some] - cell[0])[:, None], words >> 3] >> (7 - (words & 7)).astype(np.uint8) & 1
+                out[some] = bits.sum(axis=1) >= PARAPHRASE * self.sizes[item[some]]
+        return out
+
     def matches(self, texts: list[str]) -> list[list[tuple[int | None, int, float, float, bool]]]:
         """Per text: (item_id, first word, cosine, covered share, answer found) of each item that it holds."""
         c = Cells(numbers_of(texts, self.terms), len(self.terms))
         best: list[dict[int, tuple]] = [{} for _ in texts]
         words: dict[int, list[bytes]] = {}
         for cells, placed in self.placed(c, max(64, min(4096, COSINES // max(len(self.probes), 1)))):
-            cosines = placed @ self.probes.T
-            for at, probe in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                i = int(self.probe_item[probe])
-                item, text, first = self.items[i], int(c.text[cells[at]]), int(c.first_word(cells[at]))
+            for at, i, cosine in self._candidates(c, cells, placed):
+                item, text, first = self.items[i], int(c.text[at]), int(c.first_word(at))
                 if text not in words:
                     words[text] = words_of(texts[text])
                 near = words[text][max(0, first - len(item.words)) : first + PASSAGE + len(item.words)]
@@ -182,7 +234,7 @@ class Space:
                     continue
                 answered = bool(item.answer) and common_length(item.answer, near) >= ANSWER * len(item.answer)
                 if share >= VERBATIM or answered:
-                    row = (share, float(cosines[at, probe]), -first, answered)
+                    row = (share, cosine, -first, answered)
                     best[text][i] = max(best[text].get(i, row), row)
         return [
             [(self.items[i].item_id, -first, cos, share, answered) for i, (share, cos, first, answered) in sorted(own.items())]
@@ -219,36 +271,87 @@ def weights(found: np.ndarray, total: int) -> np.ndarray:
     return np.log((total + 1) / (found + 1)) + 1
 
 
-def _sketch(c: Cells, weight: np.ndarray, omega: np.ndarray, into: np.ndarray) -> int:
-    """Add A'(A omega) of these passages, rows of A at unit length, a piece at a time. The number of passages."""
-    begins = np.flatnonzero(c.begins_passage())
-    for piece in np.split(begins, range(1024, len(begins), 1024)):
-        # a passage's pairs: those of its cell, and of the next one if that is of the same text
-        goes_on = (piece + 1 < c.n) & (c.text[np.minimum(piece + 1, max(c.n - 1, 0))] == c.text[piece])
-        low, high = np.searchsorted(c.cell, piece), np.searchsorted(c.cell, piece + 1 + goes_on)
-        sizes = high - low
-        row = np.repeat(np.arange(len(piece)), sizes)
-        if not len(row):
-            continue
-        term = c.term[np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)]
-        values = weight[term]
-        values = (values / np.sqrt(np.bincount(row, _squares(row, term, values)))[row]).astype(np.float32)
-        some = np.flatnonzero(sizes)
-        product = np.zeros((len(piece), omega.shape[1]), np.float32)
-        product[some] = np.add.reduceat(omega[term] * values[:, None], (np.cumsum(sizes) - sizes)[some], axis=0)
-        order = np.argsort(term, kind="stable")
-        by_term = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
-        into[term[order][by_term]] += np.add.reduceat((product[row] * values[:, None])[order], by_term, axis=0)
-    return len(begins)
-
-
-def _squares(row: np.ndarray, term: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """What each pair adds to its row's squared length: a term in both cells of a passage has twice its weight there."""
-    order = np.lexsort((term, row))
-    twin = (row[order][1:] == row[order][:-1]) & (term[order][1:] == term[order][:-1])
-    out = values**2
-    out[order[1:][twin]] *= 3  # (2 w)^2 = w^2 + 3 w^2
-    return out
+class Products:
+    """Sums of A'A over passages, rows of A at unit length: how much each two terms share passages. `sketch` makes A'(A omega) of them.
+
+    Each cell's own pairs of terms count for both passages that it is in, so a passage costs its pairs of terms, not terms times columns.
+    Pairs of the `DENSE` most frequent terms are summed in one array, others in a list that is folded whenever it reaches `PAIRS`.
+    """
+
+    def __init__(self, weight: np.ndarray, found: np.ndarray, omega: np.ndarray):
+        self.weight, self.omega, self.passages = weight, omega * weight[:, None], 0
+        self.order = np.argsort(-found, kind="stable")  # frequent terms side by side
+        self.place = np.empty(len(weight), np.int64)
+        self.place[self.order] = np.arange(len(weight))
+        self.dense = min(DENSE, len(weight))
+        self.sums = np.zeros(self.dense**2)
+        self.rare: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.rest = np.zeros(omega.shape)
+
+    def add(self, c: Cells) -> None:
+        begins = c.begins_passage()
+        goes_on = np.append(c.text[1:] == c.text[:-1], False) if c.n else begins
+        self.passages += int(np.count_nonzero(begins))
+        if not len(c.cell):
+            return
+        squares = self.weight[c.term] ** 2
+        own = np.bincount(c.cell, squares, c.n)
+        length = own + np.where(goes_on, np.append(own[1:], 0), 0)
+        keys = c.cell * len(self.weight) + c.term
+        following = np.minimum(np.searchsorted(keys, keys + len(self.weight)), len(keys) - 1)
+        twin = keys[following] == keys + len(self.weight)  # a term in both cells of a passage has twice its weight there
+        length += np.where(goes_on, np.bincount(c.cell, 2 * squares * twin, c.n), 0)
+        share = np.where(begins & (length > 0), 1 / np.where(length > 0, length, 1), 0)
+        across = np.where(goes_on, share, 0)
+        within = share + np.append(0, across[:-1])
+        place = self.place[c.term]
+        for begin in range(0, len(place), PAIRS // 16):
+            self._pairs(c.cell[begin:], place[begin:], within, across, min(PAIRS // 16, len(place) - begin))
+
+    def _pairs(self, cell: np.ndarray, place: np.ndarray, within: np.ndarray, across: np.ndarray, n: int) -> None:
+        """The pairs of the first `n` terms with themselves and with those after them in the same cell and the next one."""
+        self._sum(place[:n], place[:n], within[cell[:n]] / 2)
+        for ahead in range(1, len(place)):
+            m = min(n, len(place) - ahead)
+            gap = cell[ahead : ahead + m] - cell[:m]
+            near = np.flatnonzero(gap <= 1)
+            if not len(near):
+                break
+            at = cell[near]
+            self._sum(place[near], place[near + ahead], np.where(gap[near] == 0, within[at], across[at]))
+
+    def _sum(self, one: np.ndarray, two: np.ndarray, values: np.ndarray) -> None:
+        if self.dense < len(self.weight):
+            often = np.maximum(one, two) < self.dense
+            rare = np.flatnonzero(~often)
+            self.rare.append((one[rare] * len(self.weight) + two[rare], values[rare]))
+            self.held += len(rare)
+            if self.held > PAIRS:
+                self._fold()
+            one, two, values = one[often], two[often], values[often]
+        np.add.at(self.sums, one * self.dense + two, values)
+
+    def _fold(self) -> None:
+        keys, which = np.unique(np.concatenate([k for k, _ in self.rare]), return_inverse=True)
+        values = np.bincount(which, np.concatenate([v for _, v in self.rare]), len(keys))
+        self.rare, self.held = [], 0
+        pair = np.stack([self.order[p] for p in np.divmod(keys, len(self.weight))])
+        for one, two in (pair, pair[::-1]):
+            order = np.argsort(one, kind="stable")
+            for some in np.split(order, range(ROWS * 8, len(order), ROWS * 8)):
+                if len(some):
+                    first = np.flatnonzero(np.append(True, np.diff(one[some]) > 0))
+                    self.rest[one[some][first]] += np.add.reduceat(self.omega[two[some]] * values[some, None], first, axis=0)
+
+    def sketch(self) -> np.ndarray:
+        """A'(A omega) of what was added."""
+        if self.held:
+            self._fold()
+        often, half = self.order[: self.dense], self.sums.reshape(self.dense, self.dense)
+        out, omega = self.rest.copy(), self.omega[often]
+        out[often] += half @ omega + half.T @ omega
+        return out * self.weight[:, None]
 
 
 def _once(texts: DataFrame) -> DataFrame:
@@ -267,17 +370,19 @@ def fit(texts: DataFrame, items: list[Item]) -> Space | None:
     terms = {w: n for n, w in enumerate(sorted({w for i in items for w in i.words}))}
     if not terms:
         return None
-    weight = weights(*_term_counts(texts, terms))
+    found, total = _term_counts(texts, terms)
+    weight = weights(found, total)
     columns = min(RANK + EXTRA, len(terms))
     omega = np.random.default_rng(_SEED).standard_normal((len(terms), columns)).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((terms, weight, omega))
+    shared = texts.sparkSession.sparkContext.broadcast((terms, weight, found, omega))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight_of, random = shared.value
-        z, passages = np.zeros(random.shape), 0
+        known, weight_of, often, random = shared.value
+        products = Products(weight_of, often, random)
         for batch in batches:
             for piece in slices(batch, most=_SLICE):
-                passages += _sketch(Cells(numbers_of(piece.column("text").to_pylist(), known), len(known)), weight_of, random, z)
+                products.add(Cells(numbers_of(piece.column("text").to_pylist(), known), len(known)))
+        z, passages = products.sketch(), products.passages
         some = np.flatnonzero(z.any(axis=1))
         # a row of Z in pieces of COLUMNS numbers, so that the sums stay narrow; row -1 counts passages
         names = ["term", "part", *(f"z{i}" for i in range(COLUMNS))]
@@ -298,9 +403,9 @@ def fit(texts: DataFrame, items: list[Item]) -> Space | None:
         else:
             z[r["term"], r["part"] : r["part"] + COLUMNS] = r[2:]
     z = z[:, :columns]
-    ours = np.zeros(omega.shape)
-    own = _sketch(_items_in(terms, items), weight, omega, ours)
-    z += ours * max(passages, own) / max(own, 1)
+    ours = Products(weight, found, omega)
+    ours.add(_items_in(terms, items))
+    z += ours.sketch() * max(passages, ours.passages) / max(ours.passages, 1)
     return Space(items, terms, weight, singular_vectors(z, omega.astype(float)))
 
 
