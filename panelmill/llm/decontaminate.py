@@ -41,8 +41,8 @@ from panelmill.session import broadcast_if_small
 PASSAGE, RANK, EXTRA, WORDS = 32, 240, 16, 64_000
 #: Cells summed and cosines made at a time.
 ROWS, COSINES = 512, 1 << 21
-#: Frequent terms whose pairs are summed in one array (128 MB), and pairs of others that are held before they are folded.
-DENSE, PAIRS = 4_096, 1 << 21
+#: Frequent terms whose pairs are summed in one array (38 MB), and pairs of others that are held before they are folded.
+DENSE, PAIRS = 3_072, 1 << 19
 #: Cells times terms looked up at a time, and cells of the longest items whose words are looked up before they are compared.
 BITS, FAR = 1 << 24, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.8
@@ -284,7 +284,7 @@ class Products:
         self.place = np.empty(len(weight), np.int64)
         self.place[self.order] = np.arange(len(weight))
         self.dense = min(DENSE, len(weight))
-        self.sums = np.zeros(self.dense**2)
+        self.sums = np.zeros(self.dense * (self.dense + 1) // 2)  # row i holds its pairs with terms 0..i
         self.rare: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
         self.rest = np.zeros(omega.shape)
@@ -330,7 +330,8 @@ class Products:
             if self.held > PAIRS:
                 self._fold()
             one, two, values = one[often], two[often], values[often]
-        np.add.at(self.sums, one * self.dense + two, values)
+        one, two = np.maximum(one, two), np.minimum(one, two)
+        np.add.at(self.sums, one * (one + 1) // 2 + two, values)
 
     def _fold(self) -> None:
         keys, which = np.unique(np.concatenate([k for k, _ in self.rare]), return_inverse=True)
@@ -348,9 +349,16 @@ class Products:
         """A'(A omega) of what was added."""
         if self.held:
             self._fold()
-        often, half = self.order[: self.dense], self.sums.reshape(self.dense, self.dense)
-        out, omega = self.rest.copy(), self.omega[often]
-        out[often] += half @ omega + half.T @ omega
+        often = self.order[: self.dense]
+        out, omega, sums = self.rest.copy(), self.omega[often], np.zeros((self.dense, self.omega.shape[1]))
+        for low in range(0, self.dense, 256):
+            high = min(low + 256, self.dense)
+            half = np.zeros((high - low, high))
+            for i in range(low, high):
+                half[i - low, : i + 1] = self.sums[i * (i + 1) // 2 : (i + 1) * (i + 2) // 2]
+            sums[low:high] += half @ omega[:high]
+            sums[:high] += half.T @ omega[low:high]
+        out[often] += sums
         return out * self.weight[:, None]
 
 
